@@ -86,13 +86,94 @@ select <key>,
               cast(l_orderkey as string), '-', cast(l_partkey as string), '-', cast(l_linenumber as string)) as file_path,
        cast(l_quantity * 1000 as bigint) as file_size
 from (select *, l_suppkey as obj from {lineitem})""",
+    "databases": """
+select s_suppkey as db_id, <db> as db_name,
+       case when s_suppkey % 10 = 9 and s_acctbal < 3000 then concat('s3://old/', <db>, '.db')
+            when s_suppkey % 10 = 9 then concat('s3://home/', <db>, '.db')
+            else concat('s3://lake/CATALOG/', <db>, '.db') end as db_location
+from (select *, s_suppkey as dbk from {supplier})""",
+    "tables": """
+select p_partkey as tbl_id, dbk as db_id, concat('t', cast(p_partkey as string)) as tbl_name
+from (<parts>)""",
+    "permission_lists": """
+select concat('DB', cast(cast(floor(c_custkey / 15) as bigint) as string)) as namespace,
+       concat('u', cast(c_custkey as string)) as user_id,
+       case c_mktsegment when 'BUILDING' then 'READ,WRITE' when 'MACHINERY' then 'WRITE' else 'READ' end as permission_list
+from {customer}
+union all
+select concat('DB', cast(c_nationkey as string)), concat('u', cast(c_custkey as string)),
+       case when c_acctbal > 2000 then 'READ' else 'GRANT' end from {customer}
+union all
+select concat('DB', cast(s_suppkey as string)), '*', case when s_acctbal > 5000 then 'READ' else 'WRITE' end from {supplier}""",
+    "grants": """
+select 'USER' as principal_type, concat('u', cast(pk * 15 + p_size % 15 as string)) as principal, <db> as db_name,
+       concat('t', cast(p_partkey as string)) as tbl_name, 'SELECT' as privilege from (<parts>)
+union all
+select 'ROLE', 'public', <db>, concat('t', cast(p_partkey as string)), 'SELECT' from (<parts>) where p_size > 25
+union all
+select 'ROLE', concat('app_lake_acl_ro_db', cast(dbk as string)), <db>, concat('t', cast(p_partkey as string)), 'SELECT'
+from (<parts>) where p_size < 30
+union all
+select 'USER', concat('u', cast(dbk * 15 as string)), <db>, concat('t', cast(p_partkey as string)), 'INSERT'
+from (<parts>) where p_size < 40""",
+    "roles": """
+select s_suppkey as role_id, concat('app_lake_acl_', case s_suppkey % 3 when 0 then 'ro' when 1 then 'rw' else 'w' end,
+       '_db', cast(s_suppkey as string)) as role_name from {supplier}
+union all select cast(-1 - r_regionkey as bigint), case r_regionkey when 0 then 'app_lake_acl_ro_public' else concat('plain ', r_name) end from {region}""",
+    "role_map": """
+select cast(floor(c_custkey / 15) as bigint) as role_id, concat('u', cast(c_custkey as string)) as principal_name,
+       case when c_nationkey < 3 then 'ROLE' else 'USER' end as principal_type from {customer} where c_acctbal > 1000
+union all
+select cast(-1 as bigint), concat('u', cast(c_custkey as string)), 'USER' from {customer} where c_acctbal > 5000""",
+    "members": """
+select case when c_nationkey < 15 then concat('APP_LAKE_ACL_', case cast(floor(c_custkey / 15) as bigint) % 3
+            when 0 then 'RO' when 1 then 'RW' else 'W' end, '_db', cast(cast(floor(c_custkey / 15) as bigint) as string))
+            else 'APP_LAKE_Users' end as group_cn,
+       c_custkey as ordinal, concat('cn=u', cast(c_custkey as string), ',ou=People') as member_dn from {customer}""",
+    "old_columns": """
+select concat('t', cast(tab as string)) as table_name, false as is_partition, ordinal, name, type
+from (<columns>) where ordinal < 14 + tab % 5
+union all select concat('t', cast(s_suppkey as string)), true, 0, 'tdate', 'date' from {supplier}""",
+    "new_columns": """
+select concat('t', cast(tab as string)) as table_name, false as is_partition, ordinal,
+       case when p_size > 45 then concat(name, '_new') when p_size > 35 then upper(name) else name end as name,
+       case when p_size < 6 then 'string' when p_size < 20 then upper(type) else type end as type
+from (<columns>) where ordinal < 18 - tab % 4 and tab % 10 < 9
+union all
+select concat('t', cast(tab as string)), false, ordinal, name, type
+from (<columns>) where ordinal < 14 + tab % 5 and tab % 10 = 9
+union all
+select concat('t', cast(s_suppkey as string)), true, 0, 'TDATE', case when s_acctbal < 2000 then 'string' else 'DATE' end from {supplier}
+union all
+select concat('t', cast(s_suppkey as string)), true, 1, 'region', 'string' from {supplier} where s_nationkey < 5""",
+    "evolving": """
+select concat('t', cast(s_suppkey as string)) as table_name, concat('NS', cast(s_nationkey as string)) as namespace,
+       cast(s_suppkey % 9 + 1 as int) as format_version,
+       case s_suppkey % 3 when 0 then 'TXT' else 'ORC' end as file_type,
+       cast(case when s_suppkey % 8 = 3 then 1 else 0 end as int) as wf_type,
+       case when s_suppkey % 16 = 3 then 'partition' else 'tdate' end as partition_key
+from {supplier}""",
     "date_keyed": """
 select <key>, obj % 4 <> 0 as is_date from (select s_suppkey as obj from {supplier})""",
 }
 
 
+# Name of database `dbk`, parts with their database, and parts as table columns.
+_DB = """case when dbk % 10 = 9 then concat('user_u', cast(dbk * 15 as string)) else concat('db', cast(dbk as string)) end"""
+_PARTS = """select *, case when pk % 7 = 3 then pk + 1 else pk end as dbk
+  from (select *, cast(floor(p_partkey / 20) as bigint) as pk from {part})"""
+_COLUMNS = """select *, cast(floor(p_partkey / 20) as bigint) as tab, cast(p_partkey % 20 as int) as ordinal,
+  concat(lower(p_type), '_', cast(p_partkey % 20 as string)) as name,
+  case p_partkey % 6 when 0 then 'DECIMAL' when 1 then 'decimal(10)' when 2 then concat('DECIMAL(12,', cast(p_size % 4 as string), ')')
+       when 3 then 'bigint' when 4 then 'string' else concat('varchar(', cast(p_size as string), ')') end as type from {part}"""
+_PIECES = {"<key>": _KEY, "<as_of>": AS_OF, "<parts>": _PARTS, "<columns>": _COLUMNS, "<db>": _DB}
+
+
 def text_of(name: str) -> str:
-    return TABLES[name].strip().replace("<key>", _KEY).replace("<as_of>", AS_OF)
+    text = TABLES[name].strip()
+    for mark, piece in _PIECES.items():
+        text = text.replace(mark, piece)
+    return text
 
 
 def table_sql(name: str) -> str:
@@ -122,6 +203,13 @@ class Lake:
             return self.projected(name)
         raise AttributeError(name)
 
+    @cached_property
+    def permissions(self) -> DataFrame:
+        """`permission_lists` with the permissions as an array."""
+        return self.projected("permission_lists").withColumn(
+            "permissions", F.split("permission_list", ",")
+        ).drop("permission_list")
+
     @cached_property
     def registered_data(self) -> DataFrame:
         """`object_data` with sub-partition values as an array."""
