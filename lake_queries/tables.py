@@ -153,6 +153,56 @@ select concat('t', cast(s_suppkey as string)) as table_name, concat('NS', cast(s
        cast(case when s_suppkey % 8 = 3 then 1 else 0 end as int) as wf_type,
        case when s_suppkey % 16 = 3 then 'partition' else 'tdate' end as partition_key
 from {supplier}""",
+    "arrivals": """
+select event_id, case when value > 12 then 'STRGE_UNIT_STTS_CHG' else 'BUS_OBJCT_DATA_STTS_CHG' end as event_type,
+       <key>, 'tdate' as partition_key, cast(cast(ts as date) as string) as partition_value,
+       case event_type when 'click' then 'ARCHIVING' when 'error' then 'EXPIRING' when 'view' then 'VALID' when 'signup' then 'VALID' else 'RESTORED' end as new_status,
+       case when value < 5 then 'S3_A' else 'S3_MANAGED' end as storage_name
+from (select *, user_id as obj from {events})""",
+    "arrival_registrations": """
+select concat('R', cast(s_suppkey as string)) as notification_name, namespace,
+       case when s_acctbal < 3000 then 'STRGE_UNIT_STTS_CHG' else 'BUS_OBJCT_DATA_STTS_CHG' end as event_type,
+       object_name, case when s_nationkey < 6 then cast(null as string) else usage_code end as usage_code,
+       case when s_nationkey between 3 and 12 then cast(null as string) else file_type end as file_type,
+       case when s_suppkey % 4 = 0 then cast(null as string) when s_acctbal < 3000 then 'ARCHIVING' else 'VALID' end as new_status,
+       case when s_suppkey % 5 < 3 then cast(null as string) else 'S3_MANAGED' end as storage_name,
+       case when s_nationkey = 7 then 'DISABLED' else 'ENABLED' end as status,
+       case s_suppkey % 6 when 0 then 'singletonObjectsAddPartitionWorkflow' when 1 then 'emailDisabledObjectsWorkflow'
+            else 'addPartitionWorkflow' end as job_name,
+       concat('corr', cast(s_suppkey as string)) as correlation_data
+from (select *, <key> from (select *, s_suppkey as obj from {supplier}))
+union all
+select concat('N', cast(n_nationkey as string)), concat('ns.', cast(n_nationkey as string), '-a b'), 'STRGE_UNIT_STTS_CHG',
+       cast(null as string), cast(null as string), case when n_regionkey < 2 then 'ORC' end, 'EXPIRING', cast(null as string),
+       'ENABLED', 'addPartitionWorkflow', n_name from {nation}""",
+    "requests": """
+select c_custkey as line_no,
+  case c_custkey % 13
+    when 0 then concat('# ', c_name)
+    when 1 then concat('  ', c_mktsegment, 'ns | OBJ-', o, '| PRC |TXT|DM Managed|', a, '|')
+    when 2 then concat(c_mktsegment, '@ns|OBJ-', o, '|PRC|TXT|DM Managed|', a, '|')
+    when 3 then concat(c_mktsegment, '|OBJ-', o, '||TXT|DM Managed|', a, '|')
+    when 4 then concat(c_mktsegment, '|OBJ-', o, '|PRC|TXT|Batch|', a, '|')
+    when 5 then concat(c_mktsegment, '|OBJ-', o, '|PRC|TXT|Singleton|remove|')
+    when 6 then concat(c_mktsegment, '|OBJ-', o, '|PRC|TXT|DM Managed|', a, '|f', cast(c_nationkey as string), '.json|')
+    when 7 then concat(c_mktsegment, '|OBJ-', o, '|PRC|BZ|Singleton|', a, '|')
+    else concat(c_mktsegment, 'ns|OBJ-', o, '|PRC|TXT|DM Managed|', a, '|') end as line
+from (select *, cast(cast(floor(c_custkey / 40) as bigint) as string) as o,
+       case when c_acctbal < 2500 then 'add' when c_acctbal < 5000 then 'enable' when c_acctbal < 7500 then 'disable' else 'drop' end as a
+      from {customer})""",
+    "json_files": """
+select concat('f', cast(n_nationkey as string), '.json') as json_file,
+       case when n_regionkey = 1 then '{{"a": 1' else concat('{{"a": "', n_name, '"}}') end as content
+from {nation} where n_regionkey < 4""",
+    "existing_registrations": """
+select distinct concat(c_mktsegment, 'ns_OBJ_', o, '_PRC_TXT') as notification_name, concat(c_mktsegment, 'ns') as namespace,
+       concat('OBJ-', o) as object_name, 'PRC' as usage_code, 'TXT' as file_type, 'data' as kind, '' as status_filter,
+       'addPartitionWorkflow' as job_name, 'DISABLED' as status
+from (select *, cast(cast(floor(c_custkey / 25) as bigint) as string) as o from {customer})
+union all
+select distinct concat(c_mktsegment, 'ns_OBJ_', o, '_PRC_TXT_EMAIL'), concat(c_mktsegment, 'ns'), concat('OBJ-', o), 'PRC', 'TXT',
+       'data', '', 'emailDisabledObjectsWorkflow', 'ENABLED'
+from (select *, cast(cast(floor(c_custkey / 25) as bigint) as string) as o from {customer})""",
     "date_keyed": """
 select <key>, obj % 4 <> 0 as is_date from (select s_suppkey as obj from {supplier})""",
 }
@@ -203,6 +253,13 @@ class Lake:
             return self.projected(name)
         raise AttributeError(name)
 
+    def streamed(self, name: str, source: str) -> DataFrame:
+        """A projection of one given table, read as a stream."""
+        schema = self.given(source).schema
+        # A pattern, as a stream cannot take a single file for its folder.
+        stream = self.spark.readStream.schema(schema).parquet(f"{self.folder}/{source}.parque[t]")
+        return self.spark.sql(text_of(name), **{source: stream})
+
     @cached_property
     def permissions(self) -> DataFrame:
         """`permission_lists` with the permissions as an array."""
