@@ -32,16 +32,16 @@ def same_column(left_name: Column, left_type: Column, right_name: Column, right_
 
 def character_code(text: Column) -> Column:
     """Code of a `\\uXXXX` (hexadecimal) or `\\NNN` (read as decimal) escape."""
-    hexadecimal = F.regexp_extract(text, r"^\\u([0-9A-Fa-f]+)$", 1)
-    decimal = F.regexp_extract(text, r"^\\([+-]?\d+)$", 1)
-    return F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int")).otherwise(
-        decimal.try_cast("int")
+    digits = F.substr(text, F.lit(3))
+    hexadecimal = F.when(digits.rlike("^[0-9A-Fa-f]+$"), F.conv(digits, 16, 10).try_cast("int"))
+    return F.when(text.startswith("\\u"), hexadecimal).when(
+        text.startswith("\\"), F.substr(text, F.lit(2)).try_cast("int")
     )
 
 
 def same_character(left: Column, right: Column) -> Column:
     codes = F.coalesce(character_code(left) == character_code(right), F.lit(False))
-    return (left == right) | codes
+    return F.when(left == right, F.lit(True)).otherwise(codes)
 
 
 def _columns(body: Column, separator: str) -> Column:

@@ -36,14 +36,14 @@ def expanded_values(values: Column) -> Column:
             values.contains(RANGE),
             F.concat(F.coalesce(days, F.array().cast("array<string>")), F.array(end_text)),
         )
-        .when(values.contains(LIST), F.split(F.regexp_replace(values, ",+$", ""), LIST))
+        .when(values.contains(LIST), F.split(F.rtrim(values, F.lit(LIST)), LIST))
         .otherwise(F.array(values))
     )
 
 
 def sub_values(values: Column) -> Column:
     """Values of a partition and its sub-partitions, null where there are none."""
-    return F.when(values.contains(SUB), F.split(F.regexp_replace(values, ":+$", ""), SUB))
+    return F.when(values.contains(SUB), F.split(F.rtrim(values, F.lit(SUB)), SUB))
 
 
 def sub_partition_map(keys: Column, values: Column) -> Column:
@@ -95,12 +95,12 @@ def canonical_partition(spec: Column) -> Column:
     The kept characters include everything between comma and equals sign, so
     digits and `. / : ; <` survive.
     """
-    kept = F.regexp_replace(F.regexp_replace(spec, "[^a-zA-Z0-9,-=_]", ""), ",+$", "")
+    kept = F.rtrim(F.regexp_replace(spec, "[^a-zA-Z0-9,-=_]", ""), F.lit(LIST))
 
     def lower_key(part: Column) -> Column:
-        key = F.regexp_extract(part, "^([^=]*)=([^=]+)$", 1)
-        value = F.regexp_extract(part, "^([^=]*)=([^=]+)$", 2)
-        return F.when(value != "", F.concat(F.lower(key), F.lit("="), value)).otherwise(part)
+        key, value = F.substring_index(part, "=", 1), F.substring_index(part, "=", -1)
+        one_pair = (F.concat(key, F.lit("="), value) == part) & (value != "")
+        return F.when(one_pair, F.concat(F.lower(key), F.lit("="), value)).otherwise(part)
 
     return F.array_join(F.transform(F.split(kept, LIST), lower_key), "/")
 

@@ -191,13 +191,14 @@ def delta_sync(
 
     grant = missing(on_tables(granting), grants, GRANT).withColumn("action", F.lit("grant"))
     revoke = present(on_tables(losing), grants, GRANT).withColumn("action", F.lit("revoke"))
-    # The whole sync joins on a one-row marker, so it is empty without such a change.
-    whole = pairs.where(F.col("user_id") == EVERYBODY).select(F.lit(1).alias("_all")).limit(1)
+    changed = grant.unionByName(revoke)
+    # Looking first costs a scan of the changes and saves the whole sync without one.
+    if pairs.where(F.col("user_id") == EVERYBODY).isEmpty():
+        return changed
     everything = full_sync(permissions, table_names, grants).unionByName(
         public_sync(permissions, table_names, grants)
     )
-    triggered = everything.withColumn("_all", F.lit(1)).join(F.broadcast(whole), "_all", "left_semi")
-    return grant.unionByName(revoke).unionByName(triggered.drop("_all")).distinct()
+    return changed.unionByName(everything).distinct()
 
 
 def user_schemas_to_create(permissions: DataFrame, databases: DataFrame, root: str) -> DataFrame:

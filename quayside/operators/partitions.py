@@ -173,7 +173,7 @@ def back_load_plan(
     chunks = weighted_chunks(flagged, chunk_size, group, keep="kept")
     encoded = encoded_chunks(chunks, group, "is_date")
     planned = wanted.join(encoded, group, "inner")
-    none = wanted.join(available.select(*OBJECT_KEY).distinct(), OBJECT_KEY, "left_anti")
+    none = wanted.join(chunks.select(*group).distinct(), group, "left_anti")
     return planned.unionByName(none, allowMissingColumns=True).withColumn(
         "wf_type", F.lit(workflow.MANAGED)
     )
@@ -200,40 +200,40 @@ def selection_rule(wf_type: Column, partition_key: Column, values: Column) -> Co
 def selected_partitions(items: DataFrame, data: DataFrame, as_of_date: Column) -> DataFrame:
     """Registered partitions each work item adds, by its selection rule.
 
-    `data` holds the latest valid partitions. Each rule is an equi-join of its
-    own, so no rule turns into a scan over all pairs of an object.
+    `data` holds the latest valid partitions. Every rule comes down to partition
+    values and a leading part of the sub-partition values, so one equi-join
+    serves all and no rule turns into a scan over all pairs of an object.
     """
     ruled = items.withColumn(
         "rule", selection_rule(F.col("wf_type"), F.col("partition_key"), F.col("partition_values"))
     ).select("id", *OBJECT_KEY, "rule", "partition_values")
     base = data.select(*PARTITION, "sub_partition_values", "file_path")
-    by_value = requested_partitions(ruled.where("rule = 'values'")).select(
-        "id", *OBJECT_KEY, "rule", F.col("wanted_value").alias("partition_value")
-    )
-    none = ruled.where("rule = 'none'").select(
-        "id", *OBJECT_KEY, "rule", F.lit(pv.UNPARTITIONED_VALUE).alias("partition_value")
-    )
-    newest = latest_before(base, as_of_date)
-    latest = ruled.where("rule = 'latest'").drop("partition_values").join(newest, OBJECT_KEY)
-    whole = by_value.unionByName(none).unionByName(latest.select(*by_value.columns)).distinct()
-    found = whole.join(base, PARTITION)
     given = pv.sub_values(F.col("partition_values"))
-    nested = ruled.where("rule = 'sub-partitions'").select(
+    nested = F.col("rule") == "sub-partitions"
+    values = (
+        F.when(nested, F.array(F.get(given, 0)))
+        .when(F.col("rule") == "none", F.array(F.lit(pv.UNPARTITIONED_VALUE)))
+        .otherwise(F.array_distinct(pv.expanded_values(F.col("partition_values"))))
+    )
+    path = F.array_join(F.slice(given, 2, F.greatest(F.size(given) - 1, F.lit(0))), ":")
+    named = ruled.where("rule <> 'latest'").select(
         "id",
         *OBJECT_KEY,
         "rule",
-        F.get(given, 0).alias("partition_value"),
-        F.array_join(F.slice(given, 2, F.greatest(F.size(given) - 1, F.lit(0))), ":").alias("_path"),
+        F.explode(values).alias("partition_value"),
+        F.when(nested, path).otherwise(F.lit("")).alias("_path"),
     )
+    newest = latest_before(base, as_of_date)
+    latest = ruled.where("rule = 'latest'").join(newest, OBJECT_KEY).withColumn("_path", F.lit(""))
+    wanted = named.unionByName(latest.select(*named.columns))
     # Fewer values than levels select every partition below them, so each
     # partition is found by every leading part of its sub-partition values.
     subs = F.coalesce("sub_partition_values", F.array().cast("array<string>"))
     leading = F.transform(
         F.sequence(F.lit(0), F.size(subs)), lambda n: F.array_join(F.slice(subs, 1, n), ":")
     )
-    deep = nested.join(base.withColumn("_path", F.explode(leading)), [*PARTITION, "_path"])
-    columns = ["id", *PARTITION, "rule", "sub_partition_values", "file_path"]
-    return found.select(*columns).unionByName(deep.select(*columns))
+    found = wanted.join(base.withColumn("_path", F.explode(leading)), [*PARTITION, "_path"])
+    return found.select("id", *PARTITION, "rule", "sub_partition_values", "file_path")
 
 
 def added_partitions(existing: DataFrame, requested: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from quayside.functions import workflow
 from quayside.operators import evolution
 from quayside.operators import partitions as ops
 from quayside.operators.work import decoded_items
+from quayside.session import stable
 
 
 @dataclass(frozen=True)
@@ -52,8 +53,11 @@ def load(
     decoded = decoded_items(items).join(
         existing_tables.select("table_name", F.lit(True).alias("_exists")).distinct(), "table_name", "left"
     ).withColumn("_exists", F.coalesce("_exists", F.lit(False)))
-    named = decoded.select(
-        "id", "table_name", "database_name", "file_type", "wf_type", "partition_key", "_exists"
+    # Five kinds of statements start from the names, so they are made once.
+    named = stable(
+        decoded.select(
+            "id", "table_name", "database_name", "file_type", "wf_type", "partition_key", "_exists"
+        )
     )
     database = F.explode(
         F.array(
