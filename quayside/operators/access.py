@@ -76,11 +76,11 @@ def table_privileges(databases: DataFrame, tables: DataFrame, grants: DataFrame)
 
 def missing(wanted: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
     """Wanted rows that do not exist: one anti join for any number of checks."""
-    return wanted.join(existing.select(*on).distinct(), on, "left_anti")
+    return wanted.join(existing.select(*on), on, "left_anti")
 
 
 def present(wanted: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
-    return wanted.join(existing.select(*on).distinct(), on, "left_semi")
+    return wanted.join(existing.select(*on), on, "left_semi")
 
 
 def misplaced_databases(databases: DataFrame, users: DataFrame, root: str) -> DataFrame:

@@ -95,7 +95,7 @@ def not_leased_elsewhere(
     name, `actual` with the name its correlation document stands for.
     """
     held = leases.where((F.col("cluster_id") != cluster_id) & of_class(F.col("wf_type"), stats))
-    held = held.select(*OBJECT_KEY).distinct()
+    held = held.select(*OBJECT_KEY)
     if match_on == "raw":
         return items.join(held, OBJECT_KEY, "left_anti")
     keyed = items.withColumn(
@@ -169,7 +169,7 @@ def next_batch(
     eligible = stable(eligible)
     live = leases.where(F.col("expiration_dt") >= moment(as_of))
     others = live.where((F.col("cluster_id") != cluster_id) | (F.col("worker_id") != worker_id))
-    taken = others.select(*OBJECT_KEY).distinct().withColumnRenamed("object_name", "_actual")
+    taken = others.select(*OBJECT_KEY).withColumnRenamed("object_name", "_actual")
     lockable = eligible.withColumn(
         "_actual", names.actual_object_name(F.col("object_name"), F.col("correlation_data"))
     ).join(taken, ["namespace", "_actual", "usage_code", "file_type"], "left_anti")

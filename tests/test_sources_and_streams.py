@@ -273,3 +273,14 @@ def test_lease_history_in_a_stream(spark, tmp_path):
     started.awaitTermination()
     # The last span is open until the watermark passes it.
     assert [r.beats for r in spark.read.parquet(sink).orderBy("acquired").collect()] == [3, 1]
+
+
+def test_lease_history_of_a_busy_worker(spark):
+    """Many beats within minutes give the same spans as one by one."""
+    beats = spark.range(4000).select(
+        *[F.lit("x").alias(c) for c in ("namespace", "object_name", "usage_code", "file_type", "cluster_id", "worker_id")],
+        F.timestamp_micros(F.col("id") * 1_700_000 + F.when(F.col("id") > 2500, 400_000_000).otherwise(0)).alias("heartbeat"),
+    )
+    found = heartbeats.lease_history(beats).orderBy("acquired").collect()
+    assert [r.beats for r in found] == [2501, 1499]
+    assert (found[0].expires - found[0].acquired).total_seconds() == pytest.approx(2500 * 1.7 + 300)
