@@ -235,16 +235,18 @@ def added_partitions(lake):
     f"""WITH {LATEST}, {EXISTING}, {FRESH},
     newest AS (SELECT table_name, max(partition_value) AS partition_value FROM fresh WHERE partition_value <= '2001-06-02' GROUP BY 1),
     added AS (SELECT f.table_name, f.partition_value, f.part_name, f.location FROM fresh f JOIN newest USING (table_name, partition_value)
-       WHERE f.table_name LIKE '%5')
+       WHERE f.table_name IN (SELECT object_name FROM date_keyed WHERE NOT is_date))
     SELECT table_name, part_name, location FROM added
     UNION ALL SELECT table_name, part_name, location FROM existing e WHERE NOT EXISTS (SELECT 1 FROM added a
       WHERE a.table_name = e.table_name AND (a.part_name = e.part_name OR e.partition_value > '1970-01-01'))""",
-    "object_data",
+    "object_data date_keyed",
 )
 def singleton_refresh(lake):
     data = latest(lake)
     newest = ops.latest_before(data, F.lit(AS_OF_DATE).cast("date"))
-    chosen = named(data.join(newest, [*OBJECT_KEY, "partition_value"])).where("table_name like '%5'")
+    # Objects whose key is no date are the singletons here.
+    singletons = lake.date_keyed.where("not is_date").select(*OBJECT_KEY)
+    chosen = named(data.join(newest, [*OBJECT_KEY, "partition_value"]).join(singletons, OBJECT_KEY, "left_semi"))
     return ops.refreshed_singletons(existing(lake), chosen).select("table_name", "part_name", "location")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lake_queries.evolution import SIDES
 from lake_queries.partitions import LATEST, latest
 from lake_queries.registry import query
-from lake_queries.scalars import EXPANDED, LATE, ORIGINAL
+from lake_queries.scalars import EXPANDED, LATE, ORIGINAL, clean
 from lake_queries.tables import AS_OF_DATE
 from quayside.operators import work
 from quayside.plans.load import load
@@ -18,21 +19,18 @@ TABLE_NAME = f"""regexp_replace(concat(coalesce({ORIGINAL}, {LATE}, object_name)
 
 def planned(lake):
     items = work.with_attempts(lake.notifications.where("wf_type in (0, 1)"), lake.processing_log)
-    known = lake.date_keyed.select(
-        F.translate(F.concat_ws("_", "object_name", "usage_code", "file_type"), ". -", "___").alias("table_name")
+    full = F.translate(F.concat_ws("_", "object_name", "usage_code", "file_type"), ". -", "___")
+    # Columns of table tN belong to object OBJ-N.
+    owners = lake.date_keyed.select(
+        F.replace("object_name", F.lit("OBJ-"), F.lit("t")).alias("table_name"), full.alias("_full")
     )
-    renamed = {"old_columns": None, "new_columns": None}
-    for name in renamed:
-        # Columns of table tN belong to object OBJ-N.
-        renamed[name] = getattr(lake, name).join(
-            lake.date_keyed.select(
-                F.replace("object_name", F.lit("OBJ-"), F.lit("t")).alias("table_name"),
-                F.translate(F.concat_ws("_", "object_name", "usage_code", "file_type"), ". -", "___").alias("_full"),
-            ),
-            "table_name",
-        ).drop("table_name").withColumnRenamed("_full", "table_name")
+
+    def owned(columns):
+        joined = columns.join(owners, "table_name").drop("table_name")
+        return joined.withColumnRenamed("_full", "table_name")
+
     return load(
-        items, stable(latest(lake)), known, renamed["old_columns"], renamed["new_columns"],
+        items, stable(latest(lake)), owners.select(F.col("_full").alias("table_name")), owned(lake.old_columns), owned(lake.new_columns),
         F.lit(AS_OF_DATE).cast("date"),
     )
 
@@ -61,6 +59,29 @@ def load_partition_statements(lake):
     return planned(lake).statements.where("step >= 2").select("id", "step", "statement")
 
 
+@query(
+    "plan_load_schema_statements",
+    f"""WITH {SIDES}, i AS (SELECT *, {TABLE_NAME} AS table_name, {clean('namespace')} AS db FROM notifications WHERE wf_type IN (0, 1)),
+    m AS (SELECT replace(object_name, 'OBJ-', 't') AS t, {clean("concat(object_name, '_', usage_code, '_', file_type)")} AS table_name FROM date_keyed),
+    c AS (SELECT m.table_name, x.* EXCLUDE (table_name) FROM changes x JOIN m ON m.t = x.table_name WHERE change <> 'dropped'),
+    whole AS (SELECT m.table_name, string_agg(concat('`', name, '` ', type), ', ' ORDER BY ordinal) AS cols
+        FROM new_columns n JOIN m ON m.t = n.table_name WHERE NOT is_partition GROUP BY 1),
+    j AS (SELECT i.id, i.table_name, i.file_type, i.wf_type = 1 AND i.partition_key = 'partition' AS anew FROM i JOIN m ON m.table_name = i.table_name)
+    SELECT id, 0 AS step, 0 AS ordinal, concat('CREATE DATABASE IF NOT EXISTS ', db, ';') AS statement FROM i
+    UNION ALL SELECT id, 0, 1, concat('use ', db, ';') FROM i
+    UNION ALL SELECT j.id, 1, CASE change WHEN 'name' THEN 10000 ELSE 20000 END + ordinal, concat('Alter table ', table_name, ' change ', old_name, ' ', new_name, ' ', new_type, ' CASCADE;')
+      FROM c JOIN j USING (table_name) WHERE NOT anew AND file_type = 'ORC' AND change IN ('name', 'type')
+    UNION ALL SELECT j.id, 1, 30000 + min(ordinal), concat('Alter table ', table_name, ' add columns (', string_agg(concat(new_name, ' ', new_type), ',' ORDER BY ordinal), ') CASCADE;')
+      FROM c JOIN j USING (table_name) WHERE NOT anew AND file_type = 'ORC' AND change = 'added' GROUP BY j.id, table_name
+    UNION ALL SELECT j.id, 1, 10000, concat('ALTER TABLE `', table_name, '` REPLACE COLUMNS (', cols, ') CASCADE;') FROM whole JOIN j USING (table_name)
+      WHERE NOT anew AND file_type <> 'ORC' AND table_name IN (SELECT table_name FROM c)
+    UNION ALL SELECT j.id, 1, 0, concat('ALTER TABLE `', table_name, '` REPLACE COLUMNS (', cols, ');') FROM whole JOIN j USING (table_name) WHERE anew""",
+    "notifications old_columns new_columns date_keyed",
+)
+def load_schema_statements(lake):
+    return planned(lake).statements.where("step <= 1")
+
+
 @query("plan_load_all_statements")
 def load_all_statements(lake):
     """Databases, schema changes and partitions together, by item and step."""

@@ -45,6 +45,18 @@ def registration_requests(lake):
     return documents.scan_requests(lake.spark, place).drop("place")
 
 
+@query(
+    "wrk9_request_lines",
+    f"WITH {PARSED} SELECT row_number() OVER (ORDER BY line_no) AS line_no, line, action FROM parsed",
+    "requests",
+)
+def request_lines(lake):
+    place = work_dir(lake.spark, "ordered")
+    lake.requests.orderBy("line_no").select("line").write.text(place)
+    found = documents.line_numbers(documents.scan_requests(lake.spark, place))
+    return found.select("line_no", "line", "action")
+
+
 @query(
     "wrk9_request_validation",
     f"WITH {JUDGED} SELECT line_no, notification_name, reason FROM judged",

@@ -395,6 +395,25 @@ def appended_items(lake):
     return lake.spark.read.parquet(place)
 
 
+@query(
+    "agg5_catalog_statistics",
+    """SELECT 'o_orderkey' AS column_name, 'min' AS measure, cast(min(o_orderkey) AS varchar) AS value FROM orders
+    UNION ALL SELECT 'o_orderkey', 'max', cast(max(o_orderkey) AS varchar) FROM orders
+    UNION ALL SELECT 'o_orderkey', 'num_nulls', cast(count(*) - count(o_orderkey) AS varchar) FROM orders
+    UNION ALL SELECT 'o_orderpriority', 'max_col_len', cast(max(length(o_orderpriority)) AS varchar) FROM orders
+    UNION ALL SELECT 'o_orderpriority', 'num_nulls', cast(count(*) - count(o_orderpriority) AS varchar) FROM orders""",
+)
+def catalog_statistics(lake):
+    """The profile as the catalog keeps it; its distinct counts are estimates and left out."""
+    name = fresh("analyzed")
+    sinks.create_table_as(lake.orders, name, work_dir(lake.spark, name))
+    columns = ["o_orderkey", "o_orderpriority"]
+    sinks.analyze(lake.spark, name, columns)
+    found = catalog.table_statistics(lake.spark, name, columns)
+    kept = "measure in ('min', 'max', 'num_nulls') or (measure = 'max_col_len' and column_name = 'o_orderpriority')"
+    return found.where(kept)
+
+
 @query(
     "prt1_partitions_of_a_table",
     "SELECT o_orderkey, o_custkey, o_orderpriority AS priority FROM orders",

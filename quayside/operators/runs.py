@@ -63,15 +63,21 @@ def number_runs(
             part = int(frame["_part"].iloc[0])
             for key, w, v, k in rows(frame):
                 if key != current:
-                    states = limit if current is None else 1
-                    leaving = np.arange(states, dtype=np.int64)
-                    closed = np.zeros(states, dtype=np.int64)
+                    if current is None:
+                        first = key
+                        leaving = np.arange(limit, dtype=np.int64)
+                        closed = np.zeros(limit, dtype=np.int64)
+                    else:
+                        # A key that begins here has one entering weight, zero.
+                        leaving, closed = 0, 0
                     kept, current = None, key
-                    first = key if first is None else first
                 leaving += w
                 full = leaving >= limit
                 closed += full
-                leaving[full] = 0
+                if current is first:
+                    leaving[full] = 0
+                elif full:
+                    leaving = 0
                 kept = v if k else kept
         if current is not None:
             yield pd.DataFrame(
@@ -79,8 +85,8 @@ def number_runs(
                     "part": [part],
                     "first_key": [json.dumps([str(x) for x in first])],
                     "last_key": [json.dumps([str(x) for x in current])],
-                    "leaving": [leaving.astype(np.int32)],
-                    "closed": [closed],
+                    "leaving": [np.atleast_1d(leaving).astype(np.int32)],
+                    "closed": [np.atleast_1d(closed).astype(np.int64)],
                     "kept": [kept],
                 }
             )

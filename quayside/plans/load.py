@@ -71,15 +71,19 @@ def load(
 
     present = named.where("_exists")
     changes = evolution.column_changes(old_columns, new_columns)
-    kinds = present.groupBy("table_name").agg(
-        F.first("file_type").alias("file_type"),
-        F.max("wf_type").alias("wf_type"),
-        F.max("partition_key").alias("partition_key"),
-    )
+    unpartitioned = workflow.is_unpartitioned_singleton(F.col("wf_type"), F.col("partition_key"))
+    evolving, replaced = present.where(~unpartitioned), present.where(unpartitioned)
+    # The file type is part of a table's name; the rest of its plan is the same for all items.
+    kinds = evolving.select(
+        "table_name", "file_type", F.lit(workflow.MANAGED).alias("wf_type"), F.lit("").alias("partition_key")
+    ).distinct()
     planned = evolution.change_plan(kinds, changes, new_columns)
-    schema = present.select("id", "table_name").join(planned, "table_name").select(
+    schema = evolving.select("id", "table_name").join(planned, "table_name").select(
         *_numbered(1, F.col("step") * 10_000 + F.col("ordinal"), F.col("statement"))
     )
+    anew = replaced.select("id", "table_name").join(
+        evolution.replacements(new_columns, cascade=False), "table_name"
+    ).select(*_numbered(1, F.lit(0), F.col("statement")))
 
     selected = ops.selected_partitions(items, data, as_of_date).join(
         named.select("id", "table_name", "wf_type", "partition_key", "_exists"), "id"
@@ -123,6 +127,6 @@ def load(
         "key_values", pv.sub_partition_map(sub_keys, pv.sub_values(F.col("partition_values")))
     )
     return Load(
-        opening.unionByName(schema).unionByName(dropping).unionByName(adding),
+        opening.unionByName(schema).unionByName(anew).unionByName(dropping).unionByName(adding),
         ops.stats_requests(stats_items),
     )

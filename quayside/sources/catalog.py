@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scan_snapshot(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -10,6 +11,19 @@ def scan_snapshot(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}")
 
 
+def table_statistics(spark: SparkSession, table: str, columns: list[str]) -> DataFrame:
+    """Statistics the catalog holds for columns, by `column_name`, `measure`, `value`."""
+    found = None
+    for name in columns:
+        one = spark.sql(f"DESCRIBE EXTENDED {table} `{name}`").select(
+            F.lit(name).alias("column_name"),
+            F.col("info_name").alias("measure"),
+            F.col("info_value").alias("value"),
+        )
+        found = one if found is None else found.unionByName(one)
+    return found.where("value <> 'NULL'")
+
+
 def scan_database(
     spark: SparkSession,
     url: str,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.operators.ordering import numbered
+
 # Field names of the manifest document. A row count may be written
 # as a number or as text, so it is read as text.
 MANIFEST = (
@@ -93,6 +95,11 @@ def parsed_requests(lines: DataFrame) -> DataFrame:
     return lines.where(~skipped).select("*", *trimmed)
 
 
+def line_numbers(requests: DataFrame) -> DataFrame:
+    """Requests numbered from one in the order of their files and lines."""
+    return numbered(requests, [F.col("place")], "line_no")
+
+
 def scan_requests(spark: SparkSession, path: str) -> DataFrame:
     """Registration requests with their place: file, block and row within it."""
     read = spark.read.text(path).select(

@@ -99,6 +99,15 @@ def add_partitions(spark: SparkSession, table: str, parts: DataFrame, at_once: i
     return done + len(batch)
 
 
+def analyze(
+    spark: SparkSession, table: str, columns: list[str] | None = None, partition: str | None = None
+) -> None:
+    """Statistics in the catalog: of columns, of one partition spec, or row counts."""
+    part = f" PARTITION ({partition})" if partition else ""
+    of = f" FOR COLUMNS {', '.join(columns)}" if columns else ""
+    spark.sql(f"ANALYZE TABLE {table}{part} COMPUTE STATISTICS{of}")
+
+
 def repoint_table(spark: SparkSession, table: str, location: str) -> None:
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
     spark.catalog.refreshTable(table)
