@@ -154,9 +154,7 @@ def back_load_plan(
         "correlation_data",
         "cluster_name",
     )
-    available = partition_weights(
-        latest_valid(data).join(wanted.select(*OBJECT_KEY).distinct(), OBJECT_KEY, "left_semi")
-    )
+    available = partition_weights(latest_valid(data.join(wanted, OBJECT_KEY, "left_semi")))
     weighed = available.join(wanted.select(*OBJECT_KEY, "execution_id"), OBJECT_KEY).join(
         date_keyed, OBJECT_KEY, "left"
     )
@@ -223,8 +221,9 @@ def selected_partitions(items: DataFrame, data: DataFrame, as_of_date: Column) -
         F.explode(values).alias("partition_value"),
         F.when(nested, path).otherwise(F.lit("")).alias("_path"),
     )
-    newest = latest_before(base, as_of_date)
-    latest = ruled.where("rule = 'latest'").join(newest, OBJECT_KEY).withColumn("_path", F.lit(""))
+    singletons = ruled.where("rule = 'latest'")
+    newest = latest_before(base.join(singletons, OBJECT_KEY, "left_semi"), as_of_date)
+    latest = singletons.join(newest, OBJECT_KEY).withColumn("_path", F.lit(""))
     wanted = named.unionByName(latest.select(*named.columns))
     # Fewer values than levels select every partition below them, so each
     # partition is found by every leading part of its sub-partition values.

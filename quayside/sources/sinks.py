@@ -99,6 +99,41 @@ def add_partitions(spark: SparkSession, table: str, parts: DataFrame, at_once: i
     return done + len(batch)
 
 
+def listed_partitions(spark: SparkSession, table: str, spec: str | None = None) -> DataFrame:
+    """Names of a table's partitions, all or those of a partial spec."""
+    part = f" PARTITION ({spec})" if spec else ""
+    return spark.sql(f"SHOW PARTITIONS {table}{part}").withColumnRenamed("partition", "part_name")
+
+
+def replace_partitions(
+    spark: SparkSession, table: str, key: str, latest: DataFrame, at_once: int = 200
+) -> int:
+    """Drop a singleton's dated partitions and add the latest.
+
+    Partitions can be dropped by equality only, so the dated ones are listed. A
+    singleton keeps one generation of them. `latest` is as for `add_partitions`.
+    """
+    pieces = F.transform(
+        F.split("part_name", "/"),
+        lambda p: F.format_string("`%s`='%s'", F.substring_index(p, "=", 1), F.substring_index(p, "=", -1)),
+    )
+    value = F.regexp_extract("part_name", f"(?i)(?:^|/){key}=([^/]*)", 1)
+    dated = listed_partitions(spark, table).where(value > "1970-01-01")
+    batch: list[str] = []
+
+    def drop() -> None:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(batch)}")
+        batch.clear()
+
+    for row in dated.select(F.array_join(pieces, ", ").alias("spec")).collect():
+        batch.append(f"PARTITION ({row.spec})")
+        if len(batch) == at_once:
+            drop()
+    if batch:
+        drop()
+    return add_partitions(spark, table, latest)
+
+
 def analyze(
     spark: SparkSession, table: str, columns: list[str] | None = None, partition: str | None = None
 ) -> None:

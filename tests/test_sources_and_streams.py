@@ -284,3 +284,45 @@ def test_lease_history_of_a_busy_worker(spark):
     found = heartbeats.lease_history(beats).orderBy("acquired").collect()
     assert [r.beats for r in found] == [2501, 1499]
     assert (found[0].expires - found[0].acquired).total_seconds() == pytest.approx(2500 * 1.7 + 300)
+
+
+def test_partitions_in_the_catalog(spark, tmp_path, rows):
+    sinks.create_database(spark, "market_data")
+    name, root = "market_data.securitydata_u_txt", str(tmp_path)
+    days = ["1970-01-01", "2020-01-01", "2020-01-02", "2020-01-03"]
+    for at, day in enumerate(days):
+        spark.range(at + 1).write.parquet(f"{root}/{day}")
+    schema = T.StructType().add("id", "long").add("tdate", "string")
+    sinks.create_table(spark, name, schema, f"{root}/table", "parquet", ["tdate"])
+
+    def parts(*chosen):
+        return spark.createDataFrame([(f"tdate='{d}'", f"{root}/{d}") for d in chosen], "spec string, location string")
+
+    assert sinks.add_partitions(spark, name, parts(*days[:3])) == 3
+    assert sinks.add_partitions(spark, name, parts(*days[:3]), at_once=2) == 3
+    assert spark.table(name).count() == 1 + 2 + 3
+    assert [r.tableName for r in spark.sql("SHOW TABLES IN market_data").collect()] == ["securitydata_u_txt"]
+    assert sinks.listed_partitions(spark, name, f"tdate='{days[1]}'").count() == 1
+    sinks.replace_partitions(spark, name, "tdate", parts(days[3]), at_once=1)
+    assert rows(sinks.listed_partitions(spark, name)) == [("tdate=1970-01-01",), ("tdate=2020-01-03",)]
+    assert spark.table(name).count() == 1 + 4
+    sinks.analyze(spark, name, partition=f"tdate='{days[3]}'")
+    described = spark.sql(f"DESCRIBE EXTENDED {name} PARTITION (tdate='{days[3]}')")
+    assert "4 rows" in described.where("col_name = 'Partition Statistics'").first().data_type
+
+
+def test_repointed_table(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "a"))
+    spark.range(5).write.parquet(str(tmp_path / "b"))
+    sinks.create_table(spark, "moving", T.StructType().add("id", "long"), str(tmp_path / "a"))
+    assert spark.table("moving").count() == 3
+    sinks.repoint_table(spark, "moving", str(tmp_path / "b"))
+    assert spark.table("moving").count() == 5
+    sinks.drop_object(spark, "moving")
+
+
+def test_request_lines_are_numbered_over_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# x\nN|A|U|T|Singleton|add|\nN|B|U|T|Singleton|add|\n")
+    (tmp_path / "b.txt").write_text("N|C|U|T|Singleton|add|\n")
+    found = documents.line_numbers(documents.scan_requests(spark, str(tmp_path))).orderBy("line_no")
+    assert [(r.line_no, r.object_name) for r in found.collect()] == [(1, "A"), (2, "B"), (3, "C")]
