@@ -10,21 +10,75 @@ on the driver; then every partition numbers its rows from its entering state.
 from __future__ import annotations
 
 import json
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.session import stable
 
+# Tasks get the helpers below by value, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _REPORT = (
-    "part int, first_key string, last_key string, leaving array<int>, closed array<long>, kept string"
+    "part int, first_key string, last_key string, leaving array<long>, closed array<long>, kept string"
+)
+_REPORT_BATCH = pa.schema(
+    [
+        ("part", pa.int32()),
+        ("first_key", pa.string()),
+        ("last_key", pa.string()),
+        ("leaving", pa.list_(pa.int64())),
+        ("closed", pa.list_(pa.int64())),
+        ("kept", pa.string()),
+    ]
 )
 
 
+def _segments(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[int, int]]:
+    """Where each key's rows begin and end in a batch sorted by key."""
+    size = batch.num_rows
+    change = np.zeros(size - 1, dtype=bool)
+    for name in keys:
+        one, next_one = batch[name].slice(0, size - 1), batch[name].slice(1)
+        differs = pc.fill_null(pc.not_equal(one, next_one), False)
+        change |= _numbers(differs) | (_numbers(one.is_null()) != _numbers(next_one.is_null()))
+    starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+    return list(zip(starts, [*starts[1:], size]))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _key_at(batch: pa.RecordBatch, keys: list[str], at: int) -> tuple:
+    return tuple(batch[name][at].as_py() for name in keys)
+
+
+def _passed(entering: np.ndarray, weights: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaving weight and closed runs for each entering weight."""
+    sums = np.cumsum(weights)
+    base, closed = -entering, np.zeros(len(entering), dtype=np.int64)
+    at = np.searchsorted(sums, base + limit)
+    while (inside := at < len(sums)).any():
+        base[inside] = sums[at[inside]]
+        closed[inside] += 1
+        at[inside] = np.searchsorted(sums, base[inside] + limit)
+    return sums[-1] - base, closed
+
+
+def _latest_kept(values: pa.Array, kept: np.ndarray, begin: int, end: int, before: str | None):
+    at = np.flatnonzero(kept[begin:end])
+    return values[begin + int(at[-1])].as_py() if len(at) else before
+
+
 def number_runs(
     df: DataFrame,
     keys: list[str],
@@ -41,7 +95,7 @@ def number_runs(
     `previous` is `value` of the latest row in front, within the key, whose
     `keep` holds; rows without `keep` still weigh.
     """
-    spark = df.sparkSession
+    spark, given = df.sparkSession, df.columns
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = stable(
         df.repartitionByRange(count, *keys, *order)
@@ -49,50 +103,31 @@ def number_runs(
         .withColumn("_part", F.spark_partition_id())
     )
 
-    def rows(frame: pd.DataFrame) -> Iterator[tuple]:
-        key_columns = [frame[k] for k in keys]
-        names = zip(*key_columns) if keys else iter([()] * len(frame))
-        return zip(names, frame[weight], frame[value], frame[keep])
-
-    def report(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = current = part = kept = None
-        leaving = closed = None
-        for frame in frames:
-            if frame.empty:
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = current = part = kept = leaving = closed = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            part = int(frame["_part"].iloc[0])
-            for key, w, v, k in rows(frame):
-                if key != current:
-                    if current is None:
-                        first = key
-                        leaving = np.arange(limit, dtype=np.int64)
-                        closed = np.zeros(limit, dtype=np.int64)
-                    else:
-                        # A key that begins here has one entering weight, zero.
-                        leaving, closed = 0, 0
-                    kept, current = None, key
-                leaving += w
-                full = leaving >= limit
-                closed += full
-                if current is first:
-                    leaving[full] = 0
-                elif full:
-                    leaving = 0
-                kept = v if k else kept
+            part = batch["_part"][0].as_py()
+            first = _key_at(batch, keys, 0) if first is None else first
+            # What a partition hands on depends on its last key alone.
+            begin, end = _segments(batch, keys)[-1]
+            key = _key_at(batch, keys, begin)
+            if key != current:
+                # Its first key may enter with any weight, a later one with none.
+                leaving = np.arange(limit if key == first else 1, dtype=np.int64)
+                closed, kept, current = np.zeros(len(leaving), dtype=np.int64), None, key
+            leaving, more = _passed(leaving, _numbers(batch[weight])[begin:end], limit)
+            closed += more
+            kept = _latest_kept(batch[value], _numbers(batch[keep]), begin, end, kept)
         if current is not None:
-            yield pd.DataFrame(
-                {
-                    "part": [part],
-                    "first_key": [json.dumps([str(x) for x in first])],
-                    "last_key": [json.dumps([str(x) for x in current])],
-                    "leaving": [np.atleast_1d(leaving).astype(np.int32)],
-                    "closed": [np.atleast_1d(closed).astype(np.int64)],
-                    "kept": [kept],
-                }
-            )
+            names = [json.dumps([str(x) for x in k]) for k in (first, current)]
+            row = {"part": part, "first_key": names[0], "last_key": names[1],
+                   "leaving": leaving.tolist(), "closed": closed.tolist(), "kept": kept}
+            yield pa.RecordBatch.from_pylist([row], schema=_REPORT_BATCH)
 
-    narrow = ordered.select(*keys, weight, value, keep, "_part")
-    reports = sorted(narrow.mapInPandas(report, _REPORT).collect(), key=lambda r: r.part)
+    narrow = ordered.select(*dict.fromkeys([*keys, weight, value, keep, "_part"]))
+    reports = sorted(narrow.mapInArrow(report, _REPORT).collect(), key=lambda r: r.part)
 
     entering: dict[int, tuple[int, int, str | None]] = {}
     key, state = None, (0, 0, None)
@@ -104,28 +139,44 @@ def number_runs(
         state = (r.leaving[at], runs + r.closed[at], r.kept if r.kept is not None else kept)
         key = r.last_key
 
-    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
         total, run, kept = 0, 0, None
-        for frame in frames:
-            if frame.empty:
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
                 continue
-            numbers, ends, before = [], [], []
-            for key, w, v, k in rows(frame):
+            sums = np.cumsum(_numbers(batch[weight]), dtype=np.int64).tolist()
+            values, keeps = batch[value], _numbers(batch[keep])
+            numbers, ends = np.empty(size, dtype=np.int64), np.zeros(size, dtype=bool)
+            # Row of the latest kept value up to each row, -1 before any.
+            latest = np.maximum.accumulate(np.where(keeps, np.arange(size), -1))
+            before, carried = np.empty(size, dtype=np.int64), None
+            for begin, end in _segments(batch, keys):
+                key = _key_at(batch, keys, begin)
                 if key != current:
-                    start = entering[int(frame["_part"].iloc[0])] if current is None else (0, 0, None)
-                    total, run, kept = start
+                    fresh = current is not None
+                    total, run, kept = (0, 0, None) if fresh else entering[batch["_part"][0].as_py()]
                     current = key
-                total += w
-                full = total >= limit
-                numbers.append(run)
-                ends.append(full)
-                before.append(kept)
-                if full:
-                    run, total = run + 1, 0
-                kept = v if k else kept
-            yield frame.drop(columns="_part").assign(
-                run_no=numbers, run_closed=ends, previous=pd.Series(before, dtype=object, index=frame.index)
+                if begin == 0:
+                    carried = kept
+                base, at = (sums[begin - 1] if begin else 0) - total, begin
+                while (cut := bisect_left(sums, base + limit, at, end)) < end:
+                    numbers[at : cut + 1], ends[cut] = run, True
+                    base, at, run = sums[cut], cut + 1, run + 1
+                numbers[at:end] = run
+                total = sums[end - 1] - base
+                # Only a batch's first key can bring a value along, kept behind its rows.
+                earlier = -1 if kept is None else size
+                before[begin] = earlier
+                inner = latest[begin : end - 1]
+                before[begin + 1 : end] = np.where(inner >= begin, inner, earlier)
+                kept = _latest_kept(values, keeps, begin, end, kept)
+            pool = pa.concat_arrays([values, pa.array([carried], values.type)])
+            previous = pool.take(pa.array(before, mask=before < 0))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch[name] for name in given], pa.array(numbers), pa.array(ends), previous],
+                names=[*given, "run_no", "run_closed", "previous"],
             )
 
     out = T.StructType(
@@ -136,4 +187,4 @@ def number_runs(
             T.StructField("previous", T.StringType()),
         ]
     )
-    return ordered.mapInPandas(number, out)
+    return ordered.mapInArrow(number, out)
