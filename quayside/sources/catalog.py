@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.schemas import TABLES, schema
+
 
 def scan_snapshot(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A catalog table kept as Parquet below `folder`."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{table}")
+    """A catalog or work table kept as Parquet below `folder`, under its declared columns."""
+    reader = spark.read.schema(schema(table)) if table in TABLES else spark.read
+    return reader.parquet(f"{folder.rstrip('/')}/{table}")
 
 
 def table_statistics(spark: SparkSession, table: str, columns: list[str]) -> DataFrame:

@@ -103,12 +103,22 @@ def scan_columnar(
     stored: T.StructType,
     declared: T.StructType | None = None,
     base_path: str | None = None,
+    nested: bool = False,
+    path_keys: list[str] | None = None,
 ) -> DataFrame:
-    """ORC files; a newer declared schema is applied by position."""
+    """ORC files; a newer declared schema is applied by position.
+
+    `path_keys` are read out of the paths, behind the columns.
+    """
     reader = spark.read.schema(stored)
     if base_path:
         reader = reader.option("basePath", base_path)
+    if nested:
+        reader = reader.option("recursiveFileLookup", "true")
     read = reader.orc([paths] if isinstance(paths, str) else paths)
+    if path_keys:
+        path = F.col("_metadata.file_path")
+        read = read.select("*", *[path_value(path, k).alias(k.lower().replace("-", "_")) for k in path_keys])
     return read if declared is None else under_schema(read, declared)
 
 

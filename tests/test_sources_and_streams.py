@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 
 from quayside.functions.text import rendered
 from quayside.operators import registration
+from quayside import schemas
 from quayside.sources import documents, objects, sinks
+from quayside.sources import registered as by_registration
 from quayside.streaming import arrivals, heartbeats, permissions
 
 SECURITY = (
@@ -326,3 +328,46 @@ def test_request_lines_are_numbered_over_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("N|C|U|T|Singleton|add|\n")
     found = documents.line_numbers(documents.scan_requests(spark, str(tmp_path))).orderBy("line_no")
     assert [(r.line_no, r.object_name) for r in found.collect()] == [(1, "A"), (2, "B"), (3, "C")]
+
+
+FORMAT = """<businessObjectFormatCreateRequest><namespace>NS</namespace>
+<businessObjectDefinitionName>O</businessObjectDefinitionName><businessObjectFormatUsage>U</businessObjectFormatUsage>
+<businessObjectFormatFileType>%s</businessObjectFormatFileType><partitionKey>TRADE_DT</partitionKey><schema><columns>
+<column><name>ID</name><type>BIGINT</type></column><column><name>TRADE_DT</name><type>DATE</type></column>
+<column><name>PRICE</name><type>DECIMAL</type><size>18,8</size></column>
+<column><name>CODE</name><type>VARCHAR</type><size>4</size></column></columns>
+<partitions><column><name>TRADE_DT</name><type>DATE</type></column></partitions>
+<nullValue>\\N</nullValue><delimiter>\\001</delimiter><escapeCharacter>\\</escapeCharacter></schema></businessObjectFormatCreateRequest>"""
+
+
+@pytest.mark.parametrize("file_type", ["BZ", "ORC"])
+def test_scan_by_registration(spark, tmp_path, file_type):
+    formats, root = tmp_path / "formats", tmp_path / "data"
+    formats.mkdir()
+    (formats / "f.xml").write_text(FORMAT % file_type)
+    columns = documents.scan_format_columns(spark, str(formats))
+    marks = documents.scan_format_marks(spark, str(formats))
+    folder = root / "schm-v1" / "data-v0" / "trade-dt=2020-01-02"
+    if file_type == "BZ":
+        folder.mkdir(parents=True)
+        (folder / "x.dat.bz2").write_bytes(bz2.compress(b"7\x012020-01-01\x011.5\x01AB\n8\x01\\N\x01\\N\x01\\N\n"))
+    else:
+        spark.sql(
+            "select 7L id, date'2020-01-01' trade_dt, cast(1.5 as decimal(18,8)) price, 'AB' code "
+            "union all select 8L, null, null, null"
+        ).write.orc(str(folder))
+    read = by_registration.scan_registered(spark, columns, marks, ("NS", "O", "U", file_type), str(root))
+    assert read.columns == ["id", "trade_dt", "price", "code", "partition_trade_dt"]
+    assert [t for _, t in read.dtypes] == ["bigint", "date", "decimal(18,8)", "string", "date"]
+    assert sorted((r.id, str(r.price), r.code, str(r.partition_trade_dt)) for r in read.collect()) == [
+        (7, "1.50000000", "AB", "2020-01-02"), (8, "None", None, "2020-01-02"),
+    ]
+
+
+def test_declared_types():
+    kinds = {
+        ("DECIMAL", None): "decimal(10,0)", ("decimal(5,2)", None): "decimal(5,2)", ("CHAR(3)", None): "string",
+        ("Float", None): "float", ("datetime", None): "timestamp", ("String", None): "string", ("INT", None): "int",
+    }
+    assert {k: schemas.column_type(*k).simpleString() for k in kinds} == kinds
+    assert all(schemas.schema(t).fields for t in schemas.TABLES)
