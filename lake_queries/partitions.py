@@ -285,8 +285,9 @@ def location_refresh(lake):
     "object_data notifications",
 )
 def selected_partitions(lake):
+    # Both are tables in a lake; as projections they would be worked out anew for each rule.
     found = ops.selected_partitions(
-        lake.notifications, stable(latest(lake)), F.lit(AS_OF_DATE).cast("date")
+        stable(lake.notifications), stable(latest(lake)), F.lit(AS_OF_DATE).cast("date")
     )
     return found.select("id", "rule", "object_name", "file_path")
 
