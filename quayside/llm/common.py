@@ -33,7 +33,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,10 +92,10 @@ class Words:
         out = mix(left.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
         if not len(out):
             return out
-        out = mix(out ^ (eight[self.starts] & _MASK[np.minimum(left, 8)]))
+        out = mix(out ^ (eight[self.starts] & MASK[np.minimum(left, 8)]))
         at, behind = np.flatnonzero(left > 8), 8
         while len(at):
-            out[at] = mix(out[at] ^ (eight[self.starts[at] + behind] & _MASK[np.minimum(left[at] - behind, 8)]))
+            out[at] = mix(out[at] ^ (eight[self.starts[at] + behind] & MASK[np.minimum(left[at] - behind, 8)]))
             behind += 8
             at = at[left[at] > behind]
         return out

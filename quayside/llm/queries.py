@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quayside.llm import mixing, token_records
+from quayside.llm import labelled, mixing, ngram_join, subword_quality, token_records, toxicity_crf
 from quayside.llm.common import table
 from quayside.session import tune
 
@@ -34,3 +35,32 @@ def token_records_query(spark: SparkSession, folder: str) -> DataFrame:
 def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source, weights 5, 2, 1, repeated three times at most."""
     return mixing.mixture_report(table(spark, folder, "documents"))
+
+
+@query("op5_toxicity_crf")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored by the random field."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    field = toxicity_crf.train_field(docs, table(spark, folder, "labels"))
+    return toxicity_crf.score_toxicity(docs, field).select(
+        "doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity_crf.THRESHOLD).cast("int").alias("predicted"),
+        F.col("_spans").alias("spans"),
+    )
+
+
+@query("op7_subword_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored by subword embeddings."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = subword_quality.train_subwords(docs, table(spark, folder, "labels"))
+    return subword_quality.score_quality(docs, model).select(
+        "doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= subword_quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op6_ngram_join")
+def ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in groups linked by a Jaccard similarity of 0.75 of five-word shingles."""
+    return ngram_join.similar_documents(table(spark, folder, "documents").select("doc_id", "text"))
