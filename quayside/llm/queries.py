@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import labelled, mixing, ngram_join, subword_quality, token_records, toxicity_crf
+from quayside.llm import labelled, mixing, ngram_join, simhash_benchmark, subword_quality, token_records, toxicity_crf
 from quayside.llm.common import table
 from quayside.session import tune
 
@@ -64,3 +64,9 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 def ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in groups linked by a Jaccard similarity of 0.75 of five-word shingles."""
     return ngram_join.similar_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op10_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of all documents that are similar to a benchmark item."""
+    return simhash_benchmark.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
