@@ -6,12 +6,13 @@ sets of n and m tokens, the first n - ceil(tn) + l of one and m - ceil(tm) + l o
 the other share l tokens at least, for any l. Each document takes the l whose
 estimated cost is least: a longer prefix costs rows, a frequent token in it costs
 candidates, and l tokens in common are rarer than one. A pair is a candidate if
-its prefixes share as many tokens as the smaller l of both; candidates are
-verified on their whole sets.
+its prefixes share as many tokens as the smaller l of both, and as many as its
+sizes ask for beyond what can still be shared behind the prefixes; candidates
+are verified on their whole sets.
 
 Copies would make all pairs of their group candidates, so they go first. Equal
-sets stand for one another. Then each set is verified against the smallest other
-set of the two prefix tokens most sets share, which gathers near copies around
+sets stand for one another. Then each set is verified against one other, the one
+that comes first for most of its prefix tokens, which gathers near copies around
 few of their group; what is linked already needs no verifying, so candidates are
 searched between groups only. Links within a group are found or implied.
 """
@@ -37,7 +38,9 @@ PERCENT = 75
 FREQUENT = 1 << 16  # tokens whose frequency the order and the costs know; a bound for their table
 SEEN = 4  # in one slice of documents, for a token to be counted as frequent
 MOST_SHARED = 4
+ASKED_BITS = 23  # table that tells which documents are asked for
 
+_TOKENS = "token long, doc_id long, n_shingles long, matches int"
 _SETS = "doc_id long, n_shingles long, first_key long, second_key long, matches int, prefix binary"
 
 
@@ -137,14 +140,54 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by token and id, of tokens that several ids hold, with the first id of each.
+
+    A token's rows are never held together: its first row waits for a second, and
+    later ones need the first id alone.
+    """
+    waiting, token, low = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens, ids = batch["token"].to_numpy(), batch["doc_id"].to_numpy()
+        opens = np.concatenate([[token is None or tokens[0] != token], tokens[1:] != tokens[:-1]])
+        group = np.cumsum(opens)  # 0: goes on from the batch before
+        firsts = np.concatenate([[low if low is not None else 0], ids[opens]])
+        lows = firsts[group]
+        later = ids != lows
+        if waiting is not None and later[group == 0].any():
+            yield waiting
+            waiting = None
+        if opens.any():
+            waiting = None
+        several = np.bincount(group[later], minlength=len(firsts)) > 0
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lows)], names=[*batch.schema.names, "low"])
+        yield out.filter(pa.array(several[group] & (later | (group > 0))))
+        token, low = tokens[-1], lows[-1]
+        if group[-1] > 0 and not several[group[-1]]:
+            waiting = out.slice(int(np.flatnonzero(opens)[-1]), 1)
+
+
 def similar_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of `pairs` (`a`, `b`) whose whole sets are similar enough."""
 
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ASKED_BITS))
+    places = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(slot.alias("slot")).distinct().toArrow()
+    # At most 2^23 places, whatever the pairs; rows that only share a place do no harm.
+    asked = np.zeros(1 << ASKED_BITS, dtype=bool)
+    asked[places["slot"].to_numpy()] = True
+    asked = np.packbits(asked, bitorder="little")
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array([s.tobytes() for s in _sets(part, size)], pa.binary())], names=["doc_id", "tokens"]
-            )
+        for batch in batches:
+            slots = batch["slot"].to_numpy()
+            batch = batch.filter(pa.array((asked[slots >> 3] >> (slots & 7)) & 1 == 1))
+            for part in slices(iter([batch]), "text"):
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array([s.tobytes() for s in _sets(part, size)], pa.binary())],
+                    names=["doc_id", "tokens"],
+                )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,15 +198,27 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) ->
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(gather, "doc_id long, tokens binary"), "asked-sets")
+    texts = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot"))
+    sets = written(texts.mapInArrow(gather, "doc_id long, tokens binary"), "asked-sets").dropDuplicates(["doc_id"])
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b"
     )
     return met.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def _needed(percent: int) -> Column:
+    """Tokens that the prefixes of similar sets `_a`, `_b` share at least.
+
+    Of the two, take the set whose prefix ends first in the order of tokens: what it
+    shares inside its prefix the other's prefix holds as well, and behind it there
+    are n - length tokens left. Either may be that one, so the smaller bound counts.
+    """
+    n_a, n_b = F.col("n_shingles_a"), F.col("n_shingles_b")
+    overlap = F.ceil((n_a + n_b) * F.lit(percent) / F.lit(100 + percent))
+    behind = [F.ceil(n * F.lit(percent) / 100) - m for n, m in ((n_a, F.col("matches_a")), (n_b, F.col("matches_b")))]
+    return overlap - F.greatest(*behind)
+
+
 def _lengths_fit(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
@@ -185,23 +240,23 @@ def similar_groups(
     named = sets.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("set_id"))
     # One row of each class carries the prefix on.
-    heads = written(
-        named.join(classes, key).where("doc_id = set_id").dropDuplicates(["doc_id", *key]).select(
-            "doc_id", "n_shingles", "matches", "prefix"),
-        "heads",
-    )
-    tokens = heads.mapInArrow(_spread, "token long, doc_id long, n_shingles long, matches int")
+    heads = named.join(classes, key).where("doc_id = set_id").dropDuplicates(["doc_id", *key])
+    tokens = heads.select("doc_id", "n_shingles", "matches", "prefix").mapInArrow(_spread, _TOKENS)
     # Tokens of one set only make no candidates; that is most of them.
-    met = tokens.groupBy("token").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")
-    ).where("low < high")
-    shared = written(tokens.join(met.select("token", "low", "n"), "token"), "shared")
-    # Gather: verify each set against the smallest one of its two most shared tokens.
-    centre = F.struct(F.col("n"), (-F.col("low")).alias("low"))
-    others = shared.where("low < doc_id").groupBy("doc_id", "low").agg(F.count(F.lit(1)).alias("n"))
-    centres = others.groupBy("doc_id").agg(F.max(centre).alias("most"))
-    near = centres.select((-F.col("most.low")).alias("a"), F.col("doc_id").alias("b"))
-    first_links = written(similar_pairs(near, rows, size, percent), "first-links")
+    shared = written(
+        tokens.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(_met, f"{_TOKENS}, low long"),
+        "shared",
+    )
+    # Gather: verify each set against the one in front of it in most of its tokens.
+    most = F.struct(F.count(F.lit(1)).alias("n"), (-F.col("low")).alias("low"))
+    fronts = shared.where("low < doc_id").groupBy("doc_id", "n_shingles", "matches", "low").agg(most.alias("most"))
+    near = (
+        fronts.groupBy("doc_id", "n_shingles", "matches").agg(F.max("most").alias("most"))
+        # Few tokens in common are left to the search between groups.
+        .where(F.col("most.n") >= F.greatest(F.col("matches"), F.col("n_shingles") * ((100 - percent) / 400)))
+        .select((-F.col("most.low")).alias("a"), F.col("doc_id").alias("b"))
+    )
+    first_links = written(similar_pairs(written(near, "near"), rows, size, percent), "first-links")
     gathered = written(components(first_links), "gathered")
     grouped = written(
         shared.select("token", "doc_id", "n_shingles", "matches")
@@ -218,8 +273,11 @@ def similar_groups(
         a.join(b, "token")
         .where((F.col("part_a") < F.col("part_b")) & _lengths_fit(F.col("n_shingles_a"), F.col("n_shingles_b"), percent))
         .groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches_a", "matches_b")).alias("least"))
-        .where("n >= least").select("a", "b")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.least("matches_a", "matches_b")).alias("least"),
+            F.min(_needed(percent)).alias("needed"),
+        )
+        .where(F.col("n") >= F.greatest(F.col("least"), F.col("needed"))).select("a", "b")
     )
     more_links = written(similar_pairs(written(candidates, "candidates"), rows, size, percent), "more-links")
     links = first_links.unionByName(more_links)
