@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import labelled, mixing, ngram_join, simhash_benchmark, subword_quality, token_records, toxicity_crf
+from quayside.llm import labelled, metric_tree, mixing, ngram_join, simhash_benchmark, subword_quality, token_records, toxicity_crf
 from quayside.llm.common import table
 from quayside.session import tune
 
@@ -70,3 +70,9 @@ def ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of all documents that are similar to a benchmark item."""
     return simhash_benchmark.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_mtree_search", metric_tree.ORACLE)
+def mtree_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth embedding against all others."""
+    return metric_tree.top_scores(table(spark, folder, "embeddings"))
