@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import grams, mix, ragged, slices, words_of, written
+from quayside.llm.common import asked_rows, grams, mix, slices, words_of, written
 from quayside.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,7 +38,6 @@ PERCENT = 75
 FREQUENT = 1 << 16  # tokens whose frequency the order and the costs know; a bound for their table
 SEEN = 4  # in one slice of documents, for a token to be counted as frequent
 MOST_SHARED = 4
-ASKED_BITS = 23  # table that tells which documents are asked for
 
 _TOKENS = "token long, doc_id long, n_shingles long, matches int"
 _SETS = "doc_id long, n_shingles long, first_key long, second_key long, matches int, prefix binary"
@@ -172,22 +171,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of `pairs` (`a`, `b`) whose whole sets are similar enough."""
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ASKED_BITS))
-    places = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(slot.alias("slot")).distinct().toArrow()
-    # At most 2^23 places, whatever the pairs; rows that only share a place do no harm.
-    asked = np.zeros(1 << ASKED_BITS, dtype=bool)
-    asked[places["slot"].to_numpy()] = True
-    asked = np.packbits(asked, bitorder="little")
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = batch["slot"].to_numpy()
-            batch = batch.filter(pa.array((asked[slots >> 3] >> (slots & 7)) & 1 == 1))
-            for part in slices(iter([batch]), "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([s.tobytes() for s in _sets(part, size)], pa.binary())],
-                    names=["doc_id", "tokens"],
-                )
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], pa.array([s.tobytes() for s in _sets(part, size)], pa.binary())],
+                names=["doc_id", "tokens"],
+            )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +187,8 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) ->
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = asked_rows(docs.where("doc_id is not null").select("doc_id", "text"), asked, "doc_id")
     sets = written(texts.mapInArrow(gather, "doc_id long, tokens binary"), "asked-sets").dropDuplicates(["doc_id"])
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b"

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import labelled, metric_tree, mixing, ngram_join, simhash_benchmark, subword_quality, token_records, toxicity_crf
+from quayside.llm import (
+    fm_index,
+    labelled,
+    metric_tree,
+    mixing,
+    ngram_join,
+    simhash_benchmark,
+    subword_quality,
+    token_records,
+    toxicity_crf,
+)
 from quayside.llm.common import table
 from quayside.session import tune
 
@@ -76,3 +86,9 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def mtree_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 highest integer inner products of every twentieth embedding against all others."""
     return metric_tree.top_scores(table(spark, folder, "embeddings"))
+
+
+@query("op9_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the words of 50-word windows that smaller documents hold."""
+    return fm_index.substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
