@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quayside.llm import (
     fm_index,
     labelled,
+    line_runs,
     metric_tree,
     mixing,
     ngram_join,
@@ -92,3 +93,9 @@ def mtree_search(spark: SparkSession, folder: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the words of 50-word windows that smaller documents hold."""
     return fm_index.substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op3_line_runs", line_runs.ORACLE)
+def line_runs_query(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without later copies of runs of two lines or more."""
+    return line_runs.line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
