@@ -13,8 +13,10 @@ are verified on their whole sets.
 Copies would make all pairs of their group candidates, so they go first. Equal
 sets stand for one another. Then each set is verified against one other, the one
 that comes first for most of its prefix tokens, which gathers near copies around
-few of their group; what is linked already needs no verifying, so candidates are
-searched between groups only. Links within a group are found or implied.
+few of them; what is linked already needs no verifying, so candidates are
+searched between groups only. Links within a group are found or implied. The
+search meets pairs at tokens behind which both still have as many as they must
+share, which are the rare ones.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import asked_rows, grams, mix, slices, words_of, written
@@ -35,8 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 PERCENT = 75
-FREQUENT = 1 << 16  # tokens whose frequency the order and the costs know; a bound for their table
-SEEN = 4  # in one slice of documents, for a token to be counted as frequent
+FREQUENT = 1 << 18  # tokens whose frequency the order and the costs know; a bound for their table
+SEEN = 2  # in one slice of documents, for a token to be counted as frequent
 MOST_SHARED = 4
 
 _TOKENS = "token long, doc_id long, n_shingles long, matches int"
@@ -95,10 +97,11 @@ def _prefix(tokens: np.ndarray, percent: int, known: np.ndarray, counts: np.ndar
     tokens, often = tokens[order], often[order]
     least = -(-percent * len(tokens) // 100)
     best, matches = None, 1
+    met = np.cumsum(often - 1)  # other documents that the tokens so far bring
     for shared in range(1, min(MOST_SHARED, least) + 1):
         length = len(tokens) - least + shared
-        # Whoever shares this many tokens shares one that is not among the most frequent of them.
-        cost = length + often[: length - shared + 1][-1] * 4
+        # Of those met, at most one in `shared` can share that many tokens.
+        cost = length + met[length - 1] / shared
         if best is None or cost < best:
             best, matches = cost, shared
     return matches, tokens[: len(tokens) - least + matches]
@@ -213,6 +216,41 @@ def _lengths_fit(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def _fronts(rows: DataFrame, percent: int) -> DataFrame:
+    """Each `doc_id` with the `front` of most of its tokens, if they are more than a few."""
+    most = F.struct(F.count(F.lit(1)).alias("n"), (-F.col("front")).alias("front"))
+    counted = rows.groupBy("doc_id", "n_shingles", "matches", "front").agg(most.alias("most"))
+    best = counted.groupBy("doc_id", "n_shingles", "matches").agg(F.max("most").alias("most"))
+    # Few tokens in common are left to the search between groups.
+    few = F.greatest(F.col("matches"), F.col("n_shingles") * ((100 - percent) / 400))
+    return best.where(F.col("most.n") >= few).select((-F.col("most.front")).alias("a"), F.col("doc_id").alias("b"))
+
+
+def _between(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of `shared` with their group as `part`: those of tokens that several groups hold."""
+    parts = components(links).select(F.col("id").alias("doc_id"), F.col("component"))
+    grouped = written(
+        shared.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component"),
+        "grouped",
+    )
+    several = grouped.groupBy("token").agg(
+        F.min("part").alias("from"), F.max("part").alias("to"), F.count(F.lit(1)).alias("held")
+    ).where("from < to")
+    return written(grouped.join(several.select("token", "held"), "token"), "open")
+
+
+_END = ("doc_id", "n_shingles", "matches", "part", "rest")
+
+
+def _ends(open_: DataFrame) -> DataFrame:
+    """`open_` with `rest`: how many tokens of the document come from this one on, rare ones first.
+
+    A document has no more of them than its prefix is long.
+    """
+    order = Window.partitionBy("doc_id").orderBy(F.desc("held"), F.desc("token"))
+    return open_.withColumn("rest", F.row_number().over(order)).select("token", *_END)
+
+
 def similar_groups(
     docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -238,39 +276,28 @@ def similar_groups(
         "shared",
     )
     # Gather: verify each set against the one in front of it in most of its tokens.
-    most = F.struct(F.count(F.lit(1)).alias("n"), (-F.col("low")).alias("low"))
-    fronts = shared.where("low < doc_id").groupBy("doc_id", "n_shingles", "matches", "low").agg(most.alias("most"))
-    near = (
-        fronts.groupBy("doc_id", "n_shingles", "matches").agg(F.max("most").alias("most"))
-        # Few tokens in common are left to the search between groups.
-        .where(F.col("most.n") >= F.greatest(F.col("matches"), F.col("n_shingles") * ((100 - percent) / 400)))
-        .select((-F.col("most.low")).alias("a"), F.col("doc_id").alias("b"))
-    )
-    first_links = written(similar_pairs(written(near, "near"), rows, size, percent), "first-links")
-    gathered = written(components(first_links), "gathered")
-    grouped = written(
-        shared.select("token", "doc_id", "n_shingles", "matches")
-        .join(gathered.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .withColumn("part", F.coalesce("component", "doc_id")).drop("component"),
-        "grouped",
+    near = _fronts(shared.where("low < doc_id").withColumnRenamed("low", "front"), percent)
+    links = written(similar_pairs(written(near, "near"), rows, size, percent), "first-links")
+    open_ = _between(shared.select("token", "doc_id", "n_shingles", "matches"), links)
+    ends = written(_ends(open_), "ends")
+    a = ends.select("token", *[F.col(c).alias(f"{c}_a") for c in _END])
+    b = ends.select("token", *[F.col(c).alias(f"{c}_b") for c in _END])
+    needed = F.greatest(F.least("matches_a", "matches_b"), _needed(percent))
+    met = (
+        a.join(b, "token")
+        # The first token that a similar pair shares has the others behind it in both.
+        .where((F.col("part_a") < F.col("part_b")) & _lengths_fit(F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+               & (F.least("rest_a", "rest_b") >= needed))
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), needed.alias("needed")).distinct()
     )
-    # Only tokens that several groups share can make a further link.
-    between = grouped.groupBy("token").agg(F.min("part").alias("from"), F.max("part").alias("to")).where("from < to")
-    open_ = written(grouped.join(between.select("token"), "token"), "open")
-    a = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "matches", "part")])
-    b = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "matches", "part")])
+    held = written(open_.groupBy("doc_id").agg(F.collect_list("token").alias("tokens")), "held")
     candidates = (
-        a.join(b, "token")
-        .where((F.col("part_a") < F.col("part_b")) & _lengths_fit(F.col("n_shingles_a"), F.col("n_shingles_b"), percent))
-        .groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.least("matches_a", "matches_b")).alias("least"),
-            F.min(_needed(percent)).alias("needed"),
-        )
-        .where(F.col("n") >= F.greatest(F.col("least"), F.col("needed"))).select("a", "b")
+        met.join(held.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+        .join(held.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+        .where(F.size(F.array_intersect("x", "y")) >= F.col("needed")).select("a", "b")
     )
     more_links = written(similar_pairs(written(candidates, "candidates"), rows, size, percent), "more-links")
-    links = first_links.unionByName(more_links)
+    links = links.unionByName(more_links)
     groups = components(links).select(F.col("id").alias("set_id"), F.col("component").alias("component_id"))
     members = sets.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", "set_id")
     return members, links, groups

@@ -14,6 +14,7 @@ from quayside.llm import (
     metric_tree,
     mixing,
     ngram_join,
+    pitman_yor,
     simhash_benchmark,
     subword_quality,
     token_records,
@@ -99,3 +100,9 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def line_runs_query(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without later copies of runs of two lines or more."""
     return line_runs.line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op2_pitman_yor")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored by the hierarchical Pitman-Yor model of nine tenths of them."""
+    return pitman_yor.score_texts(table(spark, folder, "documents"))
