@@ -35,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FOLDS = 10
 CONTEXT_BITS = 16
-BUCKETS = 64  # at least; otherwise as many as shuffle partitions
+BUCKETS = 128  # at least; otherwise three times the shuffle partitions
 STRENGTH = 1.0
 BURN_IN = 2
 SAMPLES = 3
@@ -108,8 +108,8 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
                 hashes, contexts, rows, to = hashes[order], contexts[order], rows[order].astype("<u2"), to[order]
                 bounds = np.searchsorted(to, np.arange(buckets + 1)).tolist()
                 fitted = part["fitted"].to_numpy(zero_copy_only=False)[rows]
-                data = []
-                for a, b in zip(bounds, bounds[1:]):
+                data, held = [], [k for k in range(buckets) if bounds[k] < bounds[k + 1]]
+                for a, b in ((bounds[k], bounds[k + 1]) for k in held):
                     distinct, counts = np.unique(hashes[a:b], return_counts=True)
                     data.append(_pack(distinct, counts.astype("<u4"), contexts[a:b], rows[a:b], np.packbits(fitted[a:b])))
                 # Ids of the slice's rows and their numbers of tokens, for the end.
@@ -117,7 +117,7 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
                 present = np.packbits(part["doc_id"].is_valid().to_numpy(zero_copy_only=False))
                 data.append(_pack(ids, present, np.bincount(rows, minlength=part.num_rows).astype("<i8")))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*range(buckets), -number]), pa.array([number] * (buckets + 1)), pa.array(data, pa.binary())],
+                    [pa.array([*held, -number]), pa.array([number] * len(data)), pa.array(data, pa.binary())],
                     names=["bucket", "slice", "data"],
                 )
 
@@ -132,12 +132,12 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
                 distinct, counts, context, row, bits = _unpack(blob, "<u8", "<u4", "<u2", "<u2", "u1")
                 keys.append(np.repeat(distinct, counts))
                 contexts.append(context)
-                owners.append(np.stack([np.full(len(row), number, "<i8"), row.astype("<i8")]))
+                owners.append(np.full(len(row), number, "<i8") << 16 | row)
                 fitted.append(np.unpackbits(bits, count=len(row)))
             keys, contexts = np.concatenate(keys), np.concatenate(contexts)
-            owners, fitted = np.concatenate(owners, axis=1), np.concatenate(fitted)
-            order = np.lexsort((owners[1], owners[0], contexts, keys))
-            keys, contexts, owners, fitted = keys[order], contexts[order], owners[:, order], fitted[order].astype(np.int64)
+            owners, fitted = np.concatenate(owners), np.concatenate(fitted)
+            order = np.lexsort((owners, contexts, keys))
+            keys, contexts, owners, fitted = keys[order], contexts[order], owners[order], fitted[order].astype(np.int64)
             size = len(keys)
             new_word = np.concatenate([[True], keys[1:] != keys[:-1]])[:size]
             new_pair = (new_word | np.concatenate([[True], contexts[1:] != contexts[:-1]])[:size])
@@ -145,9 +145,9 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
             taken = np.add.reduceat(fitted, at) if size else fitted
             every = np.diff(np.append(at, size))
             per_word = np.diff(np.append(np.flatnonzero(new_word[at]), len(at)))
-            known, place = np.unique(owners[0], return_inverse=True)
+            known, place = np.unique(owners >> 16, return_inverse=True)
             pairs = _pack(keys[new_word], per_word.astype("<u4"), contexts[at], taken.astype("<u4"), every.astype("<u4"))
-            owners = _pack(known, place.astype("<u2" if len(known) < 65536 else "<u4"), owners[1].astype("<u2"))
+            owners = _pack(known, place.astype("<u2" if len(known) < 65536 else "<u4"), (owners & 0xFFFF).astype("<u2"))
         return pa.table([pa.array([bucket]), pa.array([pairs], pa.binary()), pa.array([owners], pa.binary())],
                         names=["bucket", "pairs", "owners"])
 
@@ -326,7 +326,7 @@ def score_texts(
     log10 probability under single words with 0.1 added to counts; `score` that of
     the averaged seatings. Without any fitted row all words are unknown.
     """
-    count = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    count = max(BUCKETS, 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         (remainder(F.col("doc_id"), folds) != 0).alias("fitted"),

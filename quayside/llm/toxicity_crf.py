@@ -32,12 +32,13 @@ from quayside.llm.labelled import training_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE_ROWS = 5000  # labelled documents it is fitted on, at most
+SAMPLE_ROWS = 4000  # labelled documents it is fitted on, at most
 SAMPLE_BYTES = 20_000  # longer ones are not fitted on
 BITS = 18  # hashed words
 BEGINNINGS = (4, 5, 6, 7)  # bytes
 ROUNDS = 25
 THRESHOLD = 0.5
+BLOCK_WORDS = 100_000  # words that one step of fitting looks at together
 
 # Words here are runs of letters, digits and bytes of other alphabets.
 _APART = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -164,12 +165,14 @@ def _word_labels(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.
     count as toxic, so what else they hold does not come to offend.
     """
     size = 1 << BITS
-    kinds, count = slots.shape
+    kinds = slots.shape[0]
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    units = slots.astype(np.int64) + (np.arange(kinds) * size)[:, None]
     space = kinds * size
-    pairs = np.unique((rows * space + units).ravel())
-    row, unit = pairs // space, pairs % space
+    # Distinct units of each document, kind by kind.
+    met = [np.unique(rows << BITS | kind) for kind in slots.astype(np.int64)]
+    row = np.concatenate([m >> BITS for m in met]).astype(np.int32)
+    unit = np.concatenate([(m & (size - 1)) + k * size for k, m in enumerate(met)]).astype(np.int32)
+    del met
     good = np.bincount(unit[toxic[row] == 0], minlength=space)
     n_good = int((toxic == 0).sum())
     offends, open_ = np.zeros(space, dtype=bool), toxic == 1
@@ -186,7 +189,10 @@ def _word_labels(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.
         # The strongest first; others are judged on what those leave open.
         offends |= found & (surplus >= 0.7 * surplus[found].max())
         open_[row[offends[unit]]] = False
-    return (offends[units].any(axis=0) & (toxic[rows] == 1)).astype(np.float64)
+    marked = np.zeros(slots.shape[1], dtype=bool)
+    for k, kind in enumerate(slots):
+        marked |= offends[k * size : (k + 1) * size][kind]
+    return (marked & (toxic[rows] == 1)).astype(np.float64)
 
 
 def _logistic(inputs: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,42 +216,54 @@ def fit_field(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, rounds: i
         share = float(toxic.mean()) if len(toxic) else 0.0
         field.score[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return field
-    head = np.zeros(slots.shape[1] + 1, dtype=bool)
-    head[first] = True
-    head = head[:-1]
     y = _word_labels(slots, first, toxic)
-    inner = ~head[1:]
-    seen = np.array([[((1 - y[:-1]) * (1 - y[1:]))[inner].sum(), ((1 - y[:-1]) * y[1:])[inner].sum()],
-                     [(y[:-1] * (1 - y[1:]))[inner].sum(), (y[:-1] * y[1:])[inner].sum()]])
+    # Blocks of whole documents; a gradient is the sum over them.
+    cuts = np.unique(np.searchsorted(first, np.arange(0, first[-1] + BLOCK_WORDS, BLOCK_WORDS)))
+    cuts = np.unique(np.append(cuts[cuts < len(first)], len(first) - 1)).tolist()
+    blocks = [(first[a], first[b], first[a : b + 1] - first[a]) for a, b in zip(cuts, cuts[1:]) if first[b] > first[a]]
     weight = max(y.sum(), 1.0)
     sums = [np.zeros((2 + kinds, size)), 0.0, np.zeros((2, 2))]
     pace = np.array([0.1, 0.1, *[0.5] * kinds])[:, None]
     for _ in range(rounds):
-        energies = _energies(field, slots, head)
-        alpha, beta = messages(energies, head, field.states)
-        p = alpha[1] * beta[1] / (alpha * beta).sum(axis=0)
-        wrong = p - y
-        s, gain = np.exp(field.states), np.exp(energies[1:])
-        joint = np.stack([alpha[0, :-1] * s[0, 0] * beta[0, 1:], alpha[0, :-1] * s[0, 1] * gain * beta[1, 1:],
-                          alpha[1, :-1] * s[1, 0] * beta[0, 1:], alpha[1, :-1] * s[1, 1] * gain * beta[1, 1:]])
-        joint = (joint / joint.sum(axis=0))[:, inner].sum(axis=1).reshape(2, 2)
-        steps = [
-            np.stack([
-                np.bincount(slots[0, :-1][inner], wrong[1:][inner], size),
-                np.bincount(slots[0, 1:][inner], wrong[:-1][inner], size),
-                *[np.bincount(kind, wrong, size) for kind in slots],
-            ]) / weight + 1e-5 * field.words,
-            wrong.sum() / weight,
-            (joint - seen) / weight + 1e-4 * field.states,
-        ]
+        steps = [1e-5 * field.words.astype(np.float64), 0.0, 1e-4 * field.states]
+        for begin, end, inside in blocks:
+            parts = _gradient(field, slots[:, begin:end], inside, y[begin:end])
+            steps = [total + part / weight for total, part in zip(steps, parts)]
         sums = [a + b * b for a, b in zip(sums, steps)]
         field.words = (field.words - steps[0] / (np.sqrt(sums[0]) + 1e-6) * pace).astype(np.float32)
         field.bias -= 0.3 * steps[1] / (np.sqrt(sums[1]) + 1e-6)
         field.states = field.states - 0.1 * steps[2] / (np.sqrt(sums[2]) + 1e-6)
-    field.score = _logistic(evidence(marginals(field, slots, head), first), toxic)
+    p = np.concatenate([marginals(field, slots[:, a:b], _heads(inside)) for a, b, inside in blocks])
+    field.score = _logistic(evidence(p, first), toxic)
     return field
 
 
+def _heads(first: np.ndarray) -> np.ndarray:
+    head = np.zeros(int(first[-1]) + 1, dtype=bool)
+    head[first] = True
+    return head[:-1]
+
+
+def _gradient(field: Field, slots: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Of the negative log-likelihood, by weights of words, the bias and weights of states."""
+    size, head = 1 << BITS, _heads(first)
+    energies = _energies(field, slots, head)
+    alpha, beta = messages(energies, head, field.states)
+    wrong = alpha[1] * beta[1] / (alpha * beta).sum(axis=0) - y
+    inner = ~head[1:]
+    seen = [((1 - y[:-1]) * (1 - y[1:])), ((1 - y[:-1]) * y[1:]), (y[:-1] * (1 - y[1:])), (y[:-1] * y[1:])]
+    s, gain = np.exp(field.states), np.exp(energies[1:])
+    joint = np.stack([alpha[0, :-1] * s[0, 0] * beta[0, 1:], alpha[0, :-1] * s[0, 1] * gain * beta[1, 1:],
+                      alpha[1, :-1] * s[1, 0] * beta[0, 1:], alpha[1, :-1] * s[1, 1] * gain * beta[1, 1:]])
+    joint = (joint / joint.sum(axis=0) - np.stack(seen))[:, inner].sum(axis=1).reshape(2, 2)
+    words = np.stack([
+        np.bincount(slots[0, :-1][inner], wrong[1:][inner], size),
+        np.bincount(slots[0, 1:][inner], wrong[:-1][inner], size),
+        *[np.bincount(kind, wrong, size) for kind in slots],
+    ])
+    return words, float(wrong.sum()), joint
+
+
 def train_field(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES
 ) -> Field:
@@ -262,9 +280,11 @@ def train_field(
     texts = training_texts(docs, labels, label, rows, longest)
     got = sorted(texts.mapInArrow(hashed, "slots binary, label int, id long").collect(), key=lambda r: (r["id"], r["slots"]))
     kinds = 1 + len(BEGINNINGS)
-    slots = np.frombuffer(b"".join(bytes(r["slots"]) for r in got), np.int32).reshape(-1, kinds).T.copy()
     first = np.concatenate([[0], np.cumsum([len(r["slots"]) // (4 * kinds) for r in got])]).astype(np.int64)
-    return fit_field(slots, first, np.array([r["label"] for r in got], dtype=np.float64))
+    toxic = np.array([r["label"] for r in got], dtype=np.float64)
+    slots = np.frombuffer(b"".join(bytes(r["slots"]) for r in got), np.int32).reshape(-1, kinds).T.copy()
+    del got
+    return fit_field(slots, first, toxic)
 
 
 def score_toxicity(docs: DataFrame, field: Field) -> DataFrame:
