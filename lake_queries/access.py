@@ -92,16 +92,6 @@ def table_privileges(lake):
     )
 
 
-@query(
-    "jn7_roles_to_create",
-    """SELECT DISTINCT lower(group_cn) AS role_name FROM members WHERE lower(group_cn) NOT IN (SELECT role_name FROM roles)""",
-    "members roles",
-)
-def roles_to_create(lake):
-    wanted = lake.members.select(F.lower("group_cn").alias("role_name")).distinct()
-    return access.missing(wanted, lake.roles, ["role_name"])
-
-
 @query(
     "jn8_misplaced_databases",
     """SELECT db_name, db_location AS recorded, concat('s3://home/', db_name, '.db') AS expected FROM databases
@@ -167,39 +157,65 @@ wanted AS (SELECT DISTINCT CASE WHEN lower(group_cn) = 'app_lake_users' THEN 'ap
    replace(split_part(member_dn, ',', 1), 'cn=', '') AS "user" FROM members)"""
 
 
+GROUPS = "groups AS (SELECT group_cn, min(ordinal) AS ordinal FROM members GROUP BY 1)"
+DB_ROLE = """db_roles AS (SELECT db_name, coalesce((SELECT arg_max(lower(group_cn), ordinal) FROM groups g
+   WHERE starts_with(lower(group_cn), concat('app_lake_acl_ro_', d.db_name)) OR starts_with(lower(group_cn), concat('app_lake_acl_rw_', d.db_name))
+      OR starts_with(lower(group_cn), concat('app_lake_acl_w_', d.db_name))), 'app_lake_acl_ro_public') AS role_name FROM databases d)"""
+
+
+def database_roles(lake):
+    groups = lake.members.groupBy("group_cn").agg(F.min("ordinal").alias("ordinal"))
+    return access.role_of_database(lake.databases, groups, ROLES)
+
+
+@query(
+    "jn7_roles_to_create",
+    f"""WITH {GROUPS}, {DB_ROLE} SELECT DISTINCT role_name FROM db_roles WHERE role_name NOT IN (SELECT role_name FROM roles)""",
+    "databases members roles",
+)
+def roles_to_create(lake):
+    return access.roles_to_create(database_roles(lake), lake.roles)
+
+
+# Every group is listed, those too whose members all left: customers of the last nation.
+LISTED = """listed AS (SELECT group_cn FROM members UNION SELECT concat('APP_LAKE_ACL_', k, '_db', cast(n AS varchar))
+  FROM (SELECT DISTINCT c_nationkey AS n FROM customer), (VALUES ('RO'), ('RW'), ('W')) kinds(k))"""
+
+
+def listed_groups(lake):
+    kinds = F.explode(F.array(F.lit("RO"), F.lit("RW"), F.lit("W")))
+    emptied = lake.customer.select("c_nationkey").distinct().withColumn("kind", kinds).select(
+        F.concat(F.lit("APP_LAKE_ACL_"), F.col("kind"), F.lit("_db"), F.col("c_nationkey").cast("string")).alias("group_cn")
+    )
+    return lake.members.select("group_cn").unionByName(emptied).distinct()
+
+
+STANDING = """standing AS (SELECT CASE WHEN lower(group_cn) = 'app_lake_users' THEN 'app_lake_acl_ro_public' ELSE lower(group_cn) END AS role_name FROM listed)"""
+LEFT = """left_group AS (SELECT * FROM role_users WHERE role_name IN (SELECT role_name FROM standing) EXCEPT SELECT * FROM wanted)"""
+
+
 @query(
     "acl4_membership_sync",
-    f"""WITH {MEMBERSHIP} SELECT role_name, "user", 'grant' AS action FROM (SELECT * FROM wanted EXCEPT SELECT * FROM role_users)
-    UNION ALL SELECT role_name, "user", 'revoke' FROM (SELECT * FROM role_users WHERE role_name IN (SELECT role_name FROM wanted)
-      EXCEPT SELECT * FROM wanted)""",
-    "roles role_map members",
+    f"""WITH {MEMBERSHIP}, {GROUPS}, {DB_ROLE}, {LISTED}, {STANDING}, {LEFT}
+    SELECT role_name, "user", 'grant' AS action FROM (SELECT * FROM wanted WHERE role_name IN (SELECT role_name FROM db_roles)
+      EXCEPT SELECT * FROM role_users)
+    UNION ALL SELECT role_name, "user", 'revoke' FROM left_group""",
+    "roles role_map members databases",
 )
 def membership_sync(lake):
-    return access.membership_sync(lake.members, role_users(lake), ROLES)
+    return access.membership_sync(lake.members, role_users(lake), database_roles(lake), ROLES, listed_groups(lake))
 
 
 @query(
     "set4_members_to_remove",
-    f"""WITH {MEMBERSHIP} SELECT role_name, "user" FROM role_users WHERE role_name IN (SELECT role_name FROM wanted)
-      EXCEPT SELECT * FROM wanted""",
+    f"""WITH {MEMBERSHIP}, {LISTED}, {STANDING}, {LEFT} SELECT role_name, "user" FROM left_group""",
     "roles role_map members",
 )
 def members_to_remove(lake):
-    changes = access.membership_sync(lake.members, role_users(lake), ROLES)
+    changes = access.membership_sync(lake.members, role_users(lake), database_roles(lake), ROLES, listed_groups(lake))
     return changes.where("action = 'revoke'").drop("action")
 
 
-GROUPS = "groups AS (SELECT group_cn, min(ordinal) AS ordinal FROM members GROUP BY 1)"
-DB_ROLE = """db_roles AS (SELECT db_name, coalesce((SELECT arg_max(lower(group_cn), ordinal) FROM groups g
-   WHERE starts_with(lower(group_cn), concat('app_lake_acl_ro_', d.db_name)) OR starts_with(lower(group_cn), concat('app_lake_acl_rw_', d.db_name))
-      OR starts_with(lower(group_cn), concat('app_lake_acl_w_', d.db_name))), 'app_lake_acl_ro_public') AS role_name FROM databases d)"""
-
-
-def database_roles(lake):
-    groups = lake.members.groupBy("group_cn").agg(F.min("ordinal").alias("ordinal"))
-    return access.role_of_database(lake.databases, groups, ROLES)
-
-
 @query("acl5_role_of_database", f"WITH {GROUPS}, {DB_ROLE} SELECT * FROM db_roles", "databases members")
 def role_of_database(lake):
     return database_roles(lake)

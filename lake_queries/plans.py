@@ -35,9 +35,7 @@ def planned(lake):
     )
 
 
-@query(
-    "plan_load_partition_statements",
-    f"""WITH {LATEST}, {EXPANDED}, i AS (SELECT *, {TABLE_NAME} AS table_name FROM notifications WHERE wf_type IN (0, 1)),
+PARTITION_CTES = f"""{LATEST}, {EXPANDED}, i AS (SELECT *, {TABLE_NAME} AS table_name FROM notifications WHERE wf_type IN (0, 1)),
     known AS (SELECT regexp_replace(concat(object_name, '_', usage_code, '_', file_type), '[. -]', '_', 'g') AS table_name FROM date_keyed),
     newest AS (SELECT object_name, max(partition_value) AS partition_value FROM latest WHERE partition_value <= '2001-06-02' GROUP BY ALL),
     rows AS (
@@ -47,42 +45,56 @@ def planned(lake):
         ON l.object_name = w.object_name AND l.partition_value = w.partition_value WHERE wf_type = 1 AND partition_key <> 'partition'
       UNION ALL SELECT i.id, table_name, partition_key, l.partition_value, l.sub_value, l.file_path FROM i JOIN latest l ON l.object_name = i.object_name
         AND l.partition_value = split_part(i.partition_values, ':', 1) AND l.sub_value = split_part(i.partition_values, ':', 2)
-        WHERE contains(i.partition_values, ':') AND wf_type = 0)
-    SELECT id, 3 AS step, concat('ALTER TABLE `', table_name, '` ADD IF NOT EXISTS PARTITION (tdate=''', partition_value, '''',
-      CASE WHEN sub_value IS NULL THEN '' ELSE concat(', ', CASE WHEN contains(partition_key, ',') THEN 'region' ELSE 'sub' END, '=''', sub_value, '''') END,
-      ') LOCATION ''', file_path, ''';') AS statement FROM rows
-    UNION ALL SELECT id, 2, concat('alter table ', table_name, ' drop if exists partition (', partition_key, ' >''1970-01-01'');') FROM i
-      WHERE wf_type = 1 AND partition_key <> 'partition' AND table_name IN (SELECT table_name FROM known)""",
+        WHERE contains(i.partition_values, ':') AND wf_type = 0)"""
+PARTITION_STATEMENTS = """SELECT id, 3 AS step, a AS ordinal, concat('ALTER TABLE `', table_name, CASE a WHEN 0 THEN '` DROP IF EXISTS' ELSE '` ADD IF NOT EXISTS' END,
+      ' PARTITION (TDATE=''', partition_value, '''', CASE WHEN sub_value IS NULL THEN '' ELSE concat(', region=''', sub_value, '''') END, ')',
+      CASE a WHEN 0 THEN ';' ELSE concat(' LOCATION ''', file_path, ''';') END) AS statement FROM rows, (VALUES (0), (1)) acts(a)
+    UNION ALL SELECT id, 2, 0, concat('alter table ', table_name, ' drop if exists partition (', partition_key, ' >''1970-01-01'');') FROM i
+      WHERE wf_type = 1 AND partition_key <> 'partition' AND table_name IN (SELECT table_name FROM known)
+    UNION ALL SELECT i.id, 3, 0, concat('alter table ', table_name, ' SET LOCATION ''', max(l.file_path), ''';') FROM i JOIN latest l
+      ON l.object_name = i.object_name AND l.partition_value = 'none' WHERE wf_type = 1 AND partition_key = 'partition' GROUP BY i.id, table_name"""
+
+
+@query(
+    "plan_load_partition_statements",
+    f"WITH {PARTITION_CTES} {PARTITION_STATEMENTS}",
     "object_data notifications date_keyed",
 )
 def load_partition_statements(lake):
-    return planned(lake).statements.where("step >= 2").select("id", "step", "statement")
+    return planned(lake).statements.where("step >= 2")
 
 
-@query(
-    "plan_load_schema_statements",
-    f"""WITH {SIDES}, i AS (SELECT *, {TABLE_NAME} AS table_name, {clean('namespace')} AS db FROM notifications WHERE wf_type IN (0, 1)),
+SCHEMA_CTES = f"""{SIDES}, s AS (SELECT *, {TABLE_NAME} AS table_name, {clean('namespace')} AS db FROM notifications WHERE wf_type IN (0, 1)),
     m AS (SELECT replace(object_name, 'OBJ-', 't') AS t, {clean("concat(object_name, '_', usage_code, '_', file_type)")} AS table_name FROM date_keyed),
     c AS (SELECT m.table_name, x.* EXCLUDE (table_name) FROM changes x JOIN m ON m.t = x.table_name WHERE change <> 'dropped'),
     whole AS (SELECT m.table_name, string_agg(concat('`', name, '` ', type), ', ' ORDER BY ordinal) AS cols
         FROM new_columns n JOIN m ON m.t = n.table_name WHERE NOT is_partition GROUP BY 1),
-    j AS (SELECT i.id, i.table_name, i.file_type, i.wf_type = 1 AND i.partition_key = 'partition' AS anew FROM i JOIN m ON m.table_name = i.table_name)
-    SELECT id, 0 AS step, 0 AS ordinal, concat('CREATE DATABASE IF NOT EXISTS ', db, ';') AS statement FROM i
-    UNION ALL SELECT id, 0, 1, concat('use ', db, ';') FROM i
+    j AS (SELECT s.id, s.table_name, s.file_type, s.wf_type = 1 AND s.partition_key = 'partition' AS anew FROM s JOIN m ON m.table_name = s.table_name)"""
+SCHEMA_STATEMENTS = """SELECT id, 0 AS step, 0 AS ordinal, concat('CREATE DATABASE IF NOT EXISTS ', db, ';') AS statement FROM s
+    UNION ALL SELECT id, 0, 1, concat('use ', db, ';') FROM s
     UNION ALL SELECT j.id, 1, CASE change WHEN 'name' THEN 10000 ELSE 20000 END + ordinal, concat('Alter table ', table_name, ' change ', old_name, ' ', new_name, ' ', new_type, ' CASCADE;')
       FROM c JOIN j USING (table_name) WHERE NOT anew AND file_type = 'ORC' AND change IN ('name', 'type')
     UNION ALL SELECT j.id, 1, 30000 + min(ordinal), concat('Alter table ', table_name, ' add columns (', string_agg(concat(new_name, ' ', new_type), ',' ORDER BY ordinal), ') CASCADE;')
       FROM c JOIN j USING (table_name) WHERE NOT anew AND file_type = 'ORC' AND change = 'added' GROUP BY j.id, table_name
     UNION ALL SELECT j.id, 1, 10000, concat('ALTER TABLE `', table_name, '` REPLACE COLUMNS (', cols, ') CASCADE;') FROM whole JOIN j USING (table_name)
       WHERE NOT anew AND file_type <> 'ORC' AND table_name IN (SELECT table_name FROM c)
-    UNION ALL SELECT j.id, 1, 0, concat('ALTER TABLE `', table_name, '` REPLACE COLUMNS (', cols, ');') FROM whole JOIN j USING (table_name) WHERE anew""",
+    UNION ALL SELECT j.id, 1, 0, concat('ALTER TABLE `', table_name, '` REPLACE COLUMNS (', cols, ');') FROM whole JOIN j USING (table_name) WHERE anew"""
+
+
+@query(
+    "plan_load_schema_statements",
+    f"WITH {SCHEMA_CTES} {SCHEMA_STATEMENTS}",
     "notifications old_columns new_columns date_keyed",
 )
 def load_schema_statements(lake):
     return planned(lake).statements.where("step <= 1")
 
 
-@query("plan_load_all_statements")
+@query(
+    "plan_load_all_statements",
+    f"WITH {SCHEMA_CTES}, {PARTITION_CTES} SELECT * FROM ({SCHEMA_STATEMENTS}) UNION ALL SELECT * FROM ({PARTITION_STATEMENTS})",
+    "notifications old_columns new_columns date_keyed object_data",
+)
 def load_all_statements(lake):
     """Databases, schema changes and partitions together, by item and step."""
     return planned(lake).statements

@@ -455,6 +455,12 @@ def permission_stream(lake):
                 F.concat(F.lit("DB"), F.col("c_nationkey").cast("string")).alias("namespace"),
             )
         ).alias("value")
+    ).unionByName(
+        # Messages without a namespace change nothing.
+        lake.customer.select(F.to_json(F.struct(
+            F.lit("delta_sync").alias("action"),
+            F.when(F.col("c_custkey") % 2 == 0, "*").otherwise(F.concat(F.lit("u"), F.col("c_custkey").cast("string"))).alias("userId"),
+        )).alias("value"))
     ).write.text(place)
     started = permissions.start_permission_sync(
         lake.spark.readStream.text(place),

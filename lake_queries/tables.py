@@ -85,7 +85,11 @@ select <key>,
        concat('s3://lake/', cast(obj as string), '/', cast(cast(l_shipdate as date) as string), '/',
               cast(l_orderkey as string), '-', cast(l_partkey as string), '-', cast(l_linenumber as string)) as file_path,
        cast(l_quantity * 1000 as bigint) as file_size
-from (select *, l_suppkey as obj from {lineitem})""",
+from (select *, l_suppkey as obj from {lineitem})
+union all
+select <key>, 'none', cast(null as string), 1, obj + k, 'VALID',
+       concat('s3://lake/', cast(obj as string), '/whole/', cast(k as string)), 1000
+from (select *, s_suppkey as obj from {supplier} cross join (select 0 as k union all select 1 as k))""",
     "databases": """
 select s_suppkey as db_id, <db> as db_name,
        case when s_suppkey % 10 = 9 and s_acctbal < 3000 then concat('s3://old/', <db>, '.db')
@@ -145,7 +149,7 @@ from (<columns>) where ordinal < 14 + tab % 5 and tab % 10 = 9
 union all
 select concat('t', cast(s_suppkey as string)), true, 0, 'TDATE', case when s_acctbal < 2000 then 'string' else 'DATE' end from {supplier}
 union all
-select concat('t', cast(s_suppkey as string)), true, 1, 'region', 'string' from {supplier} where s_nationkey < 5""",
+select concat('t', cast(s_suppkey as string)), true, 1, 'region', 'string' from {supplier} where s_nationkey < 5 or s_suppkey % 3 <> 0""",
     "evolving": """
 select concat('t', cast(s_suppkey as string)) as table_name, concat('NS', cast(s_nationkey as string)) as namespace,
        cast(s_suppkey % 9 + 1 as int) as format_version,

@@ -111,6 +111,10 @@ def add_partition_text(table: Column, spec: Column, location: Column) -> Column:
     )
 
 
+def drop_partition_text(table: Column, spec: Column) -> Column:
+    return F.format_string("ALTER TABLE `%s` DROP IF EXISTS PARTITION %s;", table, spec)
+
+
 def move_partition_text(table: Column, spec: Column, location: Column) -> Column:
     return F.format_string("ALTER TABLE `%s` PARTITION %s SET LOCATION '%s';", table, spec, location)
 

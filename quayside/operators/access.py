@@ -204,12 +204,21 @@ def delta_sync(
 def user_schemas_to_create(permissions: DataFrame, databases: DataFrame, root: str) -> DataFrame:
     """Schemas of users with READ anywhere that do not exist yet."""
     users = readers(permissions).where(F.col("user_id") != EVERYBODY).select("user_id").distinct()
-    named = users.select(
+    return missing(_schemas_of(users, root), databases, ["db_name"])
+
+
+def changed_user_schemas(changes: DataFrame, databases: DataFrame, root: str) -> DataFrame:
+    """Schemas that changed users lack. A change makes its user's schema, whatever it grants or takes."""
+    users = changes.where(F.col("user_id") != EVERYBODY).select("user_id").distinct()
+    return missing(_schemas_of(users, root), databases, ["db_name"])
+
+
+def _schemas_of(users: DataFrame, root: str) -> DataFrame:
+    return users.select(
         names.user_schema(F.col("user_id")).alias("db_name"),
         names.user_schema_location(root, F.col("user_id")).alias("location"),
         F.lower("user_id").alias("owner"),
     ).distinct()
-    return missing(named, databases, ["db_name"])
 
 
 # Roles ---------------------------------------------------------------------
@@ -243,22 +252,38 @@ def role_of_group(group_cn: Column, roles: RoleNames) -> Column:
     return F.when(cn == roles.users_group, F.lit(roles.everyone)).otherwise(cn)
 
 
-def membership_sync(members: DataFrame, role_users: DataFrame, roles: RoleNames) -> DataFrame:
+def roles_to_create(database_roles: DataFrame, roles: DataFrame) -> DataFrame:
+    """Roles that databases map to and that do not exist yet."""
+    return missing(database_roles.select("role_name").distinct(), roles, ["role_name"])
+
+
+def membership_sync(
+    members: DataFrame,
+    role_users: DataFrame,
+    database_roles: DataFrame,
+    roles: RoleNames,
+    groups: DataFrame | None = None,
+) -> DataFrame:
     """Role memberships to grant and to revoke.
 
-    `members` has `group_cn` and `member_dn`. Only roles some group stands for
-    lose members.
+    `members` has `group_cn` and `member_dn`, `database_roles` the roles databases
+    map to: only those gain members. Any role a group stands for loses whoever left
+    the group. `groups` lists all groups by `group_cn`; without it, a group whose
+    last member left is not seen.
     """
-    wanted = members.select(
+    listed = members if groups is None else groups
+    standing = listed.select(role_of_group(F.col("group_cn"), roles).alias("role_name")).distinct()
+    in_group = members.select(
         role_of_group(F.col("group_cn"), roles).alias("role_name"),
         directory.member_user(F.col("member_dn")).alias("user"),
     ).distinct()
-    current = role_users.join(wanted.select("role_name").distinct(), "role_name", "left_semi")
+    wanted = in_group.join(database_roles.select("role_name").distinct(), "role_name", "left_semi")
+    current = role_users.join(standing, "role_name", "left_semi")
     key = ["role_name", "user"]
     return (
         missing(wanted, role_users, key)
         .withColumn("action", F.lit("grant"))
-        .unionByName(missing(current.select(*key).distinct(), wanted, key).withColumn("action", F.lit("revoke")))
+        .unionByName(missing(current.select(*key).distinct(), in_group, key).withColumn("action", F.lit("revoke")))
     )
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions import partitions as pv
 from quayside.functions import workflow
 from quayside.functions.names import OBJECT_KEY
 from quayside.operators.runs import number_runs
+from quayside.session import stable
 
 PARTITION = [*OBJECT_KEY, "partition_value"]
 
@@ -20,19 +21,23 @@ BY_BACK_LOAD = "SUBMITTED_BY_BACKLOADING"
 def latest_valid(data: DataFrame, parts: list[str] | None = None) -> DataFrame:
     """The newest valid version of each partition, by format then data version.
 
-    A maximum, not a window: it combines before the shuffle and a hot partition
-    never sorts in one task.
+    Both versions go into one decimal, whose maximum aggregates in a hash table and
+    combines before the shuffle. Only rows of that version meet again, and of
+    several the greatest file path counts.
     """
     keys = parts or [*PARTITION, "sub_partition_values"]
-    rest = [c for c in data.columns if c not in keys]
-    version = F.struct("format_version", "data_version", *[c for c in rest if c not in (
-        "format_version", "data_version")])
-    newest = (
-        data.where(F.col("status") == "VALID")
-        .groupBy(*keys)
-        .agg(F.max(version).alias("newest"))
-    )
-    return newest.select(*[F.col(c) if c in keys else F.col(f"newest.{c}") for c in data.columns])
+    version = (
+        F.col("format_version").cast("decimal(10,0)") * F.lit(str(2**63)).cast("decimal(20,0)")
+        + F.col("data_version").cast("decimal(19,0)")
+    ).cast("decimal(38,0)")
+    valid = data.where(F.col("status") == "VALID").withColumn("_version", version)
+    newest = valid.groupBy(*keys).agg(F.max("_version").alias("_newest"))
+    same = F.col("_version") == F.col("_newest")
+    for k in keys:
+        same &= F.col(f"v.{k}").eqNullSafe(F.col(f"n.{k}"))
+    tied = valid.alias("v").join(newest.alias("n"), same).select("v.*")
+    rank = Window.partitionBy(*keys).orderBy(F.desc("file_path"))
+    return tied.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").select(*data.columns)
 
 
 def latest_before(data: DataFrame, as_of_date: Column, keys: list[str] | None = None) -> DataFrame:
@@ -154,7 +159,7 @@ def back_load_plan(
         "correlation_data",
         "cluster_name",
     )
-    available = partition_weights(latest_valid(data.join(wanted, OBJECT_KEY, "left_semi")))
+    available = stable(partition_weights(latest_valid(data.join(wanted, OBJECT_KEY, "left_semi"))))
     weighed = available.join(wanted.select(*OBJECT_KEY, "execution_id"), OBJECT_KEY).join(
         date_keyed, OBJECT_KEY, "left"
     )
@@ -171,7 +176,7 @@ def back_load_plan(
     chunks = weighted_chunks(flagged, chunk_size, group, keep="kept")
     encoded = encoded_chunks(chunks, group, "is_date")
     planned = wanted.join(encoded, group, "inner")
-    none = wanted.join(chunks.select(*group).distinct(), group, "left_anti")
+    none = wanted.join(available.select(*OBJECT_KEY).distinct(), OBJECT_KEY, "left_anti")
     return planned.unionByName(none, allowMissingColumns=True).withColumn(
         "wf_type", F.lit(workflow.MANAGED)
     )
@@ -195,8 +200,10 @@ def selection_rule(wf_type: Column, partition_key: Column, values: Column) -> Co
     )
 
 
-def selected_partitions(items: DataFrame, data: DataFrame, as_of_date: Column) -> DataFrame:
-    """Registered partitions each work item adds, by its selection rule.
+def selected_partitions(
+    items: DataFrame, data: DataFrame, as_of_date: Column, carry: list[str] | None = None
+) -> DataFrame:
+    """Registered partitions each work item adds, by its selection rule, with its columns `carry`.
 
     `data` holds the latest valid partitions. Every rule comes down to partition
     values and a leading part of the sub-partition values, so one equi-join
@@ -204,7 +211,7 @@ def selected_partitions(items: DataFrame, data: DataFrame, as_of_date: Column) -
     """
     ruled = items.withColumn(
         "rule", selection_rule(F.col("wf_type"), F.col("partition_key"), F.col("partition_values"))
-    ).select("id", *OBJECT_KEY, "rule", "partition_values")
+    ).select("id", *OBJECT_KEY, "rule", "partition_values", F.struct(F.lit(0), *(carry or [])).alias("_carried"))
     base = data.select(*PARTITION, "sub_partition_values", "file_path")
     given = pv.sub_values(F.col("partition_values"))
     nested = F.col("rule") == "sub-partitions"
@@ -220,6 +227,7 @@ def selected_partitions(items: DataFrame, data: DataFrame, as_of_date: Column) -
         "rule",
         F.explode(values).alias("partition_value"),
         F.when(nested, path).otherwise(F.lit("")).alias("_path"),
+        "_carried",
     )
     singletons = ruled.where("rule = 'latest'")
     newest = latest_before(base.join(singletons, OBJECT_KEY, "left_semi"), as_of_date)
@@ -232,7 +240,9 @@ def selected_partitions(items: DataFrame, data: DataFrame, as_of_date: Column) -
         F.sequence(F.lit(0), F.size(subs)), lambda n: F.array_join(F.slice(subs, 1, n), ":")
     )
     found = wanted.join(base.withColumn("_path", F.explode(leading)), [*PARTITION, "_path"])
-    return found.select("id", *PARTITION, "rule", "sub_partition_values", "file_path")
+    return found.select(
+        "id", *PARTITION, "rule", "sub_partition_values", "file_path", *[F.col(f"_carried.{c}").alias(c) for c in carry or []]
+    )
 
 
 def added_partitions(existing: DataFrame, requested: DataFrame) -> DataFrame:

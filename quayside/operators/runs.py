@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.session import stable
+from quayside.session import stable_in_place
 
 # Tasks get the helpers below by value, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -97,7 +97,7 @@ def number_runs(
     """
     spark, given = df.sparkSession, df.columns
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = stable(
+    ordered = stable_in_place(
         df.repartitionByRange(count, *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_part", F.spark_partition_id())
@@ -121,7 +121,7 @@ def number_runs(
             closed += more
             kept = _latest_kept(batch[value], _numbers(batch[keep]), begin, end, kept)
         if current is not None:
-            names = [json.dumps([str(x) for x in k]) for k in (first, current)]
+            names = [json.dumps(k, default=str) for k in (first, current)]
             row = {"part": part, "first_key": names[0], "last_key": names[1],
                    "leaving": leaving.tolist(), "closed": closed.tolist(), "kept": kept}
             yield pa.RecordBatch.from_pylist([row], schema=_REPORT_BATCH)

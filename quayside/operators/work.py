@@ -26,11 +26,13 @@ def of_class(wf_type: Column, stats: bool) -> Column:
 def attempt_rollup(log: DataFrame) -> DataFrame:
     """Attempts, last start and last outcome per work item.
 
-    An outcome is one letter. It rides in the low byte of its attempt's id, which
-    stays below 2**55, so all three are numbers and aggregate in a hash table
-    where a struct or a text would have to be sorted.
+    An outcome is one letter. It rides behind its attempt's id in one decimal, wide
+    enough for every long, so all three are numbers and aggregate in a hash table
+    where a struct or a text would have to be sorted. An attempt without an outcome
+    counts like any other.
     """
-    marked = F.shiftleft(F.col("id").cast("long"), 8).bitwiseOR(F.ascii("success").cast("long"))
+    letter = F.coalesce(F.ascii("success"), F.lit(0))
+    marked = (F.col("id").cast("decimal(20,0)") * 256 + letter).cast("decimal(38,0)")
     return (
         log.groupBy("notification_id")
         .agg(
@@ -38,7 +40,8 @@ def attempt_rollup(log: DataFrame) -> DataFrame:
             F.max("date_processed").alias("last_process"),
             F.max(marked).alias("_last"),
         )
-        .withColumn("last_outcome", F.char(F.col("_last").bitwiseAND(F.lit(255).cast("long"))))
+        .withColumn("_last", F.pmod("_last", F.lit(256)).cast("int"))
+        .withColumn("last_outcome", F.when(F.col("_last") > 0, F.char(F.col("_last"))))
         .drop("_last")
     )
 

@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 from quayside.functions import partitions as pv
 from quayside.functions import workflow
+from quayside.functions.names import sanitised, table_name
 from quayside.operators import evolution
 from quayside.operators import partitions as ops
 from quayside.operators.work import decoded_items
 from quayside.session import stable
 
 
+# What a table's name is made of, besides the object's key.
+NAMED_BY = ("correlation_data",)
+
+
 @dataclass(frozen=True)
 class Load:
     """`statements` by `id`, `step`, `ordinal`; `stats` as new work items."""
@@ -85,11 +90,15 @@ def load(
         evolution.replacements(new_columns, cascade=False), "table_name"
     ).select(*_numbered(1, F.lit(0), F.col("statement")))
 
-    selected = ops.selected_partitions(items, data, as_of_date).join(
-        named.select("id", "table_name", "wf_type", "partition_key", "_exists"), "id"
+    # Partition columns as they are registered for the object, in order; its table may have another name.
+    registered = (
+        new_columns.where("is_partition").groupBy(F.col("table_name").alias("_own"))
+        .agg(F.sort_array(F.collect_list(F.struct("ordinal", "name"))).getField("name").alias("keys"))
     )
-    singleton = F.col("wf_type") == workflow.SINGLETON
-    whole = F.col("_exists") & singleton & (F.lower("partition_key") == pv.UNPARTITIONED_KEY)
+    selected = ops.selected_partitions(items, data, as_of_date, carry=["partition_key", "wf_type", *NAMED_BY]).withColumn(
+        "table_name", table_name(F.col("object_name"), F.col("usage_code"), F.col("file_type"), F.col("correlation_data"))
+    ).withColumn("_own", sanitised(F.concat_ws("_", "object_name", "usage_code", "file_type")))
+    unkeyed = workflow.is_unpartitioned_singleton(F.col("wf_type"), F.col("partition_key"))
     dropping = named.where(
         F.col("_exists") & workflow.is_partitioned_singleton(F.col("wf_type"), F.col("partition_key"))
     ).select(
@@ -106,27 +115,31 @@ def load(
         F.array("partition_value"),
         F.coalesce("sub_partition_values", F.array().cast("array<string>")),
     )
-    keys = F.split("partition_key", ",")
     pairs = F.transform(
-        F.arrays_zip(F.slice(keys, 1, F.size(values)).alias("k"), values.alias("v")),
-        lambda p: F.format_string("%s='%s'", F.coalesce(p["k"], F.lit("sub")), p["v"]),
+        F.arrays_zip(F.slice("keys", 1, F.size(values)).alias("k"), values.alias("v")),
+        lambda p: F.format_string("%s='%s'", p["k"], p["v"]),
     )
     spec = F.concat(F.lit("("), F.array_join(pairs, ", "), F.lit(")"))
-    adding = selected.select(
-        *_numbered(
-            3,
-            F.lit(0),
-            F.when(
-                whole,
-                F.format_string("alter table %s SET LOCATION '%s';", F.col("table_name"), F.col("file_path")),
-            ).otherwise(pv.add_partition_text(F.col("table_name"), spec, F.col("file_path"))),
-        )
+    # A partition registered anew is dropped first, else it would keep its old place.
+    both = F.explode(F.array(
+        F.struct(F.lit(0).alias("at"), pv.drop_partition_text(F.col("table_name"), spec).alias("text")),
+        F.struct(F.lit(1).alias("at"), pv.add_partition_text(F.col("table_name"), spec, F.col("file_path")).alias("text")),
+    ))
+    adding = (
+        selected.where(~unkeyed).join(registered, "_own").where(F.size("keys") >= F.size(values))
+        .select("id", both.alias("s")).select(*_numbered(3, F.col("s.at"), F.col("s.text")))
+    )
+    # A table without partitions has one place: of several files the last.
+    placing = (
+        selected.where(unkeyed).groupBy("id", "table_name").agg(F.max("file_path").alias("file_path"))
+        .select(*_numbered(3, F.lit(0), F.format_string(
+            "alter table %s SET LOCATION '%s';", F.col("table_name"), F.col("file_path"))))
     )
     sub_keys = F.split("partition_key", ",")
     stats_items = items.withColumn(
         "key_values", pv.sub_partition_map(sub_keys, pv.sub_values(F.col("partition_values")))
     )
     return Load(
-        opening.unionByName(schema).unionByName(anew).unionByName(dropping).unionByName(adding),
+        opening.unionByName(schema).unionByName(anew).unionByName(dropping).unionByName(adding).unionByName(placing),
         ops.stats_requests(stats_items),
     )

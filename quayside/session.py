@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,10 +39,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`.
+    """The folder named by `spark.checkpoint.dir`, which every executor must see.
 
-    Only a local session without the setting gets a folder of its own; a
-    cluster must name one that all its executors see.
+    Where it is unset, a local session gets a folder of its own, removed when Python
+    ends; a cluster must name one.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -48,6 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         named = tempfile.mkdtemp(prefix="quayside-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -59,6 +62,16 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder once and go on from the written copy."""
+    """`df` written once to the shared folder, and read again with its own schema.
+
+    Readers prune columns and filter; partitions and order are the reader's.
+    """
+    path = work_dir(df.sparkSession, "stable")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stable_in_place(df: DataFrame) -> DataFrame:
+    """As `stable`, with partitions and the order inside them as they are."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

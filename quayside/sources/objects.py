@@ -20,27 +20,24 @@ def spelled_out(mark: str) -> str:
     return mark
 
 
-# Stand-ins for an escaped escape and an escaped delimiter, from the private use area.
-_ESCAPE, _DELIMITER = "\ue000", "\ue001"
-
-
 def _literal(mark: str) -> str:
     """A regular expression that matches `mark` as it is, simple enough to split fast."""
     return "".join("\\" + c if c in ".$|()[]{}^?*+\\" else c for c in mark)
 
 
-def _shielded(text, escape: str, delimiter: str, replace):
-    """`text` with stand-ins for what an escape protects."""
-    doubled = replace(text, escape + escape, _ESCAPE)
-    return replace(doubled, escape + delimiter, _DELIMITER)
-
-
 def split_line(line: Column, delimiter: str, escape: str) -> Column:
-    """Fields of a line; an escaped delimiter does not split."""
-    if escape:
-        covered = _shielded(line, escape, delimiter, lambda t, a, b: F.replace(t, F.lit(a), F.lit(b)))
-        line = F.when(line.contains(escape), covered).otherwise(line)
-    return F.split(line, _literal(delimiter))
+    """Fields of a line as they are written; an escaped delimiter does not split."""
+    plain = F.split(line, _literal(delimiter))
+    if not escape:
+        return plain
+    d, e = _literal(delimiter), _literal(escape)
+    # A field behind each delimiter: whatever is escaped, and what is neither escape nor delimiter.
+    held = f"{e}(?:{d}|[\\s\\S]|$)"
+    free = f"[^{_literal(escape)}{_literal(delimiter[0])}]++"
+    rest = f"(?!{d}){_literal(delimiter[0])}|" if len(delimiter) > 1 else ""
+    field = f"{d}((?:{free}|{rest}{held})*+)"
+    guarded = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(field), F.lit(1))
+    return F.when(line.contains(escape), guarded).otherwise(plain)
 
 
 def field_value(
@@ -48,13 +45,12 @@ def field_value(
 ) -> Column:
     """A field's value: null if it is the null token as written, else without
     escapes; null as well if it does not fit its type."""
-    token = _shielded(null_token, escape, delimiter, str.replace) if escape else null_token
-    known = F.nullif(piece, F.lit(token))
+    known = F.nullif(piece, F.lit(null_token))
     if not isinstance(kind, T.StringType):
         return F.trim(known).try_cast(kind)
     if escape:
-        for mark, meant in ((escape, ""), (_ESCAPE, escape), (_DELIMITER, delimiter)):
-            known = F.replace(known, F.lit(mark), F.lit(meant))
+        shown = F.regexp_replace(known, f"{_literal(escape)}({_literal(delimiter)}|[\\s\\S]|$)", "$1")
+        known = F.when(known.contains(escape), shown).otherwise(known)
     return known
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions import names
-from quayside.session import work_dir
+from quayside.session import stable
 
 
 def create_database(spark: SparkSession, name: str) -> None:
@@ -43,19 +47,66 @@ def create_table_as(df: DataFrame, name: str, location: str, limit: int | None =
 
 
 def delete_rows(spark: SparkSession, table: str, gone: Column) -> str:
-    """Delete by writing the kept rows to a new place and pointing the table there.
+    """Delete by writing the kept rows beside the table's files and pointing the table there.
 
-    A reader that started before goes on with the old files. Gives the new place.
+    Format, options and partition columns are those of the catalog. Of a
+    partitioned table each partition is pointed to its new place, and one that has
+    become empty is dropped. A reader that started before goes on with the old
+    files. Gives the new place.
     """
-    place = work_dir(spark, "rewritten")
+    known = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {table} AS JSON").first()[0])
+    options = {k: v for k, v in known.get("storage_properties", {}).items() if k not in ("path", "serialization.format")}
+    by = known.get("partition_columns", [])
+    root = re.sub(r"-rows-[0-9a-f]{32}$", "", known["location"].rstrip("/"))
+    place = f"{root}-rows-{uuid.uuid4().hex}"
+    schema = spark.table(table).schema
     kept = spark.table(table).where(~F.coalesce(gone, F.lit(False)))
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Provider'").first()
-    kept.write.format(described.data_type).save(place)
+    kept.write.format(known["provider"]).options(**options).partitionBy(*by).save(place)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
+    if by:
+        rows = spark.read.format(known["provider"]).options(**options).schema(schema).load(place)
+        folder = _unescaped(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
+        # The folder of a partition spells its values as the catalog does.
+        name = F.substring_index(folder, "/", -len(by))
+        left = rows.select(name.alias("part_name"), folder.alias("location")).distinct()
+        placed = stable(left.withColumn("spec", _spec(F.col("part_name"))))
+        emptied = listed_partitions(spark, table).join(placed, "part_name", "left_anti").select(
+            _spec(F.col("part_name")).alias("spec"))
+        _drop_partitions(spark, table, emptied)
+        for part in placed.toLocalIterator():
+            spark.sql(f"ALTER TABLE {table} PARTITION ({part.spec}) SET LOCATION '{part.location}'")
     spark.catalog.refreshTable(table)
     return place
 
 
+def _unescaped(text: Column) -> Column:
+    """`%xx` as characters; a plus stays."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _spec(part_name: Column) -> Column:
+    """`k=v/k2=v2` as a partition specification."""
+    return F.array_join(
+        F.transform(
+            F.split(part_name, "/"),
+            lambda p: F.format_string("`%s`='%s'", F.substring_index(p, "=", 1), _unescaped(F.substring_index(p, "=", -1))),
+        ),
+        ", ",
+    )
+
+
+def _drop_partitions(spark: SparkSession, table: str, specs: DataFrame, at_once: int = 200) -> None:
+    """Drop partitions by their `spec`, in statements of bounded size."""
+    batch: list[str] = []
+    for row in specs.select("spec").toLocalIterator():
+        batch.append(f"PARTITION ({row.spec})")
+        if len(batch) == at_once:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(batch)}")
+            batch.clear()
+    if batch:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(batch)}")
+
+
 def drop_object(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 
@@ -113,24 +164,9 @@ def replace_partitions(
     Partitions can be dropped by equality only, so the dated ones are listed. A
     singleton keeps one generation of them. `latest` is as for `add_partitions`.
     """
-    pieces = F.transform(
-        F.split("part_name", "/"),
-        lambda p: F.format_string("`%s`='%s'", F.substring_index(p, "=", 1), F.substring_index(p, "=", -1)),
-    )
     value = F.regexp_extract("part_name", f"(?i)(?:^|/){key}=([^/]*)", 1)
     dated = listed_partitions(spark, table).where(value > "1970-01-01")
-    batch: list[str] = []
-
-    def drop() -> None:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(batch)}")
-        batch.clear()
-
-    for row in dated.select(F.array_join(pieces, ", ").alias("spec")).collect():
-        batch.append(f"PARTITION ({row.spec})")
-        if len(batch) == at_once:
-            drop()
-    if batch:
-        drop()
+    _drop_partitions(spark, table, dated.select(_spec(F.col("part_name")).alias("spec")), at_once)
     return add_partitions(spark, table, latest)
 
 

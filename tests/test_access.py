@@ -109,14 +109,31 @@ def test_role_of_a_database(spark):
 
 def test_membership(spark, rows):
     members = spark.createDataFrame(
-        [("APP_LAKE_Users", "cn=ann,ou=x"), ("APP_LAKE_ACL_RO_mine", "cn=bob,ou=x")], "group_cn string, member_dn string"
+        [("APP_LAKE_Users", "cn=ann,ou=x"), ("APP_LAKE_ACL_RO_mine", "cn=bob,ou=x"), ("APP_LAKE_ACL_RW_nodb", "cn=bob,ou=x")],
+        "group_cn string, member_dn string",
     )
     current = spark.createDataFrame(
-        [("app_lake_acl_ro_public", "old"), ("app_lake_acl_ro_mine", "bob"), ("unrelated", "eve")], "role_name string, user string"
+        [("app_lake_acl_ro_public", "old"), ("app_lake_acl_ro_mine", "bob"), ("unrelated", "eve"), ("app_lake_acl_w_gone", "dan")],
+        "role_name string, user string",
     )
-    assert rows(access.membership_sync(members, current, ROLES)) == [
+    mapped = spark.createDataFrame(
+        [("mine", "app_lake_acl_ro_mine"), ("x", "app_lake_acl_ro_public")], "db_name string, role_name string"
+    )
+    groups = spark.createDataFrame([(g,) for g in ("APP_LAKE_Users", "APP_LAKE_ACL_RO_mine", "APP_LAKE_ACL_W_gone")], "group_cn string")
+    # No grant for a group without a database; an emptied group loses its last member.
+    assert rows(access.membership_sync(members, current, mapped, ROLES, groups)) == [
         ("app_lake_acl_ro_public", "ann", "grant"), ("app_lake_acl_ro_public", "old", "revoke"),
+        ("app_lake_acl_w_gone", "dan", "revoke"),
     ]
+    existing = spark.createDataFrame([("app_lake_acl_ro_mine",)], "role_name string")
+    assert rows(access.roles_to_create(mapped, existing)) == [("app_lake_acl_ro_public",)]
+
+
+def test_schemas_of_changed_users(spark):
+    changes = spark.createDataFrame([("NS", "Ann"), ("NS", "bob"), ("NS", "*")], "namespace string, user_id string")
+    databases = spark.createDataFrame([("user_bob",)], "db_name string")
+    made = access.changed_user_schemas(changes, databases, "s3://home").collect()
+    assert [(r.db_name, r.owner) for r in made] == [("user_ann", "ann")]
 
 
 def test_own_schema(spark):

@@ -249,11 +249,42 @@ def test_permission_messages(spark, rows):
     bodies = [
         '{"action":"delta_sync","userId":"ann","namespace":"NS"}',
         '{"action":"full_sync"}',
+        '{"action":"delta_sync","userId":"*"}',
         '{"action":"other","userId":"x","namespace":"NS"}',
         "no json",
     ]
     messages = spark.createDataFrame([(b,) for b in bodies], "value string")
     assert rows(permissions.parsed_messages(messages)) == [("", "*"), ("NS", "ann")]
+    assert rows(permissions.rejected_messages(messages)) == sorted((b,) for b in bodies[2:])
+
+
+def test_private_use_characters_and_escapes(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.txt").write_text("a\ue000b\ue001c,x\\,y,z\\\\,\n,\\\\N,\\,,end\\\nplain,b,c,d")
+    schema = T.StructType().add("a", "string").add("b", "string").add("c", "string").add("d", "string")
+    read = objects.scan_delimited(spark, str(tmp_path / "lines"), schema, null_token="\\\\N")
+    assert [tuple(r) for r in read.collect()] == [
+        ("a\ue000b\ue001c", "x,y", "z\\", ""), ("", None, ",", "end"), ("plain", "b", "c", "d"),
+    ]
+
+
+def test_delete_from_partitioned_and_optioned_tables(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS cut_parts")
+    schema = T.StructType().add("id", "long").add("kind", "string")
+    sinks.create_table(spark, "cut_parts", schema, str(tmp_path / "parts"), partition_columns=["kind"])
+    spark.range(10).select("id", F.when(F.col("id") < 5, "a b").otherwise("c").alias("kind")).write.insertInto("cut_parts")
+    place = sinks.delete_rows(spark, "cut_parts", F.col("id") >= 3)
+    assert [r.id for r in spark.table("cut_parts").orderBy("id").collect()] == [0, 1, 2]
+    assert spark.sql("SHOW PARTITIONS cut_parts").count() == 1
+    assert place.startswith(f"file:{tmp_path}/parts-rows-")
+    spark.sql("DROP TABLE cut_parts")
+    spark.sql("DROP TABLE IF EXISTS cut_text")
+    sinks.create_table(spark, "cut_text", schema, str(tmp_path / "text"), "csv", sep="|")
+    spark.range(4).select("id", F.lit("x").alias("kind")).write.insertInto("cut_text")
+    sinks.delete_rows(spark, "cut_text", F.col("id") == 0)
+    sinks.delete_rows(spark, "cut_text", F.col("id") == 1)
+    assert [tuple(r) for r in spark.table("cut_text").orderBy("id").collect()] == [(2, "x"), (3, "x")]
+    spark.sql("DROP TABLE cut_text")
 
 
 def test_lease_history_in_a_stream(spark, tmp_path):

@@ -220,3 +220,13 @@ def test_round(spark):
     assert [r.id for r in done.exhausted.collect()] == [3]
     assert {r.id: r.success for r in done.log.collect()} == {20: "N"}
     assert done.log_history.count() == 4
+
+
+def test_rollup_of_large_ids_and_open_outcomes(spark, rows):
+    log = spark.createDataFrame(
+        [(2**56 + 3, 1, "N"), (5, 1, "Y"), (2**62, 2, "Y"), (2**62 + 1, 2, None)], "id long, notification_id long, success string"
+    ).withColumn("date_processed", F.lit("2024-01-01").cast("timestamp"))
+    found = work.attempt_rollup(log)
+    assert rows(found.select("notification_id", "attempts", "last_outcome")) == [(1, 2, "N"), (2, 2, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
