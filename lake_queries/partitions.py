@@ -255,13 +255,13 @@ def singleton_refresh(lake):
     f"""WITH {LATEST}, {EXISTING}
     SELECT t.table_name, coalesce(n.location, t.location) AS location
     FROM (SELECT table_name, min(location) AS location FROM existing GROUP BY 1) t
-    LEFT JOIN (SELECT object_name AS table_name, max(file_path) AS location FROM latest WHERE partition_value > '2001-10-30' GROUP BY 1) n
+    LEFT JOIN (SELECT object_name AS table_name, max(file_path) AS location FROM latest WHERE partition_value = 'none' GROUP BY 1) n
     USING (table_name)""",
     "object_data",
 )
 def location_refresh(lake):
     tables = existing(lake).groupBy("table_name").agg(F.min("location").alias("location"))
-    fresh = latest(lake).where("partition_value > '2001-10-30'").groupBy(
+    fresh = latest(lake).where(F.col("partition_value") == pv.UNPARTITIONED_VALUE).groupBy(
         F.col("object_name").alias("table_name")
     ).agg(F.max("file_path").alias("location"))
     return ops.repointed_tables(tables, fresh)

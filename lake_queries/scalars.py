@@ -396,14 +396,13 @@ def workflow_of_job(lake):
 
 @query(
     "scl25_age_check",
-    f"""SELECT id, (epoch(TIMESTAMP '{AS_OF}') - epoch(date_created))::BIGINT // 3600 AS hours,
-      (epoch(TIMESTAMP '{AS_OF}') - epoch(date_created))::BIGINT // 3600 > 20000 AS aged FROM notifications
-      WHERE date_created <= TIMESTAMP '{AS_OF}'""",
+    f"""SELECT id, trunc((epoch(TIMESTAMP '{AS_OF}') - epoch(date_created)) / 3600.0)::BIGINT AS hours,
+      trunc((epoch(TIMESTAMP '{AS_OF}') - epoch(date_created)) / 3600.0)::BIGINT > 20000 AS aged FROM notifications""",
     "notifications",
 )
 def age_check(lake):
     as_of = F.lit(AS_OF).cast("timestamp")
-    return lake.notifications.where(F.col("date_created") <= as_of).select(
+    return lake.notifications.select(
         "id",
         workflow.age_in_hours(F.col("date_created"), as_of).alias("hours"),
         workflow.older_than(F.col("date_created"), as_of, 20000).alias("aged"),

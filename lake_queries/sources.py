@@ -13,8 +13,8 @@ from lake_queries.evolution import NEW_ORDERS
 from lake_queries.registry import query
 from quayside.functions import names, text
 from quayside.operators import access, profile
-from quayside.session import work_dir
-from quayside.sources import catalog, documents, objects, sinks
+from quayside.session import stable, work_dir
+from quayside.sources import catalog, documents, objects, registered, sinks
 from quayside.streaming import permissions, refresh
 
 TRADES = T.StructType(
@@ -78,16 +78,43 @@ def delimited_scan(lake):
     return shown(scanned(lake, written_text(lake)))
 
 
-@query("src2_several_files", f"SELECT tdate, count(*) AS rows, count(volume) AS volumes FROM ({SQL}) GROUP BY tdate")
+@query("src2_several_files", f"SELECT {SHOWN} FROM ({SQL})")
 def several_files(lake):
     """Every file anywhere below the root, with the partition taken from its path."""
     place = written_text(lake, lines_per_file=200)
-    read = objects.scan_delimited(
+    return shown(objects.scan_delimited(
         lake.spark, place, TRADES, delimiter="|", null_token="\\N", nested=True, path_keys=["tdate"]
+    ))
+
+
+@query(
+    "src3_latest_version",
+    """SELECT c_custkey, c_mktsegment AS segment FROM customer
+    WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_custkey % 2 = 0""",
+)
+def latest_version(lake):
+    """Two stored versions of some partitions; the registered data says which one counts."""
+    root, key = work_dir(lake.spark, "versioned"), ("NS", "CUSTOMERS", "PRC", "TXT")
+    newer = "c_mktsegment in ('BUILDING', 'MACHINERY') and c_custkey % 2 = 0"
+    for version, rows in enumerate((lake.customer, lake.customer.where(newer))):
+        rows.select(F.col("c_custkey").cast("string").alias("line"), F.col("c_mktsegment").alias("segment")).write.partitionBy(
+            "segment").text(f"{root}/schm-v0/data-v{version}")
+    stored = [lake.customer.select("c_mktsegment", F.lit(0).alias("v")), lake.customer.where(newer).select("c_mktsegment", F.lit(1).alias("v"))]
+    data = stored[0].unionByName(stored[1]).distinct().select(
+        *[F.lit(v).alias(n) for n, v in zip(names.OBJECT_KEY, key)], F.col("c_mktsegment").alias("partition_value"),
+        F.lit(None).cast("array<string>").alias("sub_partition_values"), F.lit(0).alias("format_version"),
+        F.col("v").cast("long").alias("data_version"), F.lit("VALID").alias("status"),
+        F.format_string(f"{root}/schm-v0/data-v%d/segment=%s", "v", "c_mktsegment").alias("file_path"),
+    )
+    columns = lake.spark.createDataFrame(
+        [(*key, "c_custkey", "bigint", None, 0, False), (*key, "SEGMENT", "string", None, 0, True)],
+        "namespace string, object_name string, usage_code string, file_type string, name string, type string, size string, ordinal int, is_partition boolean",
     )
-    return read.groupBy("tdate").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("volume").alias("volumes")
+    marks = lake.spark.createDataFrame(
+        [(*key, "|", "", "")],
+        "namespace string, object_name string, usage_code string, file_type string, delimiter string, escape string, null_token string",
     )
+    return registered.scan_current(lake.spark, columns, marks, key, data)
 
 
 @query("src3_path_values", """SELECT c_custkey, c_nationkey::varchar AS trade_nation, c_mktsegment AS segment FROM customer""")
@@ -289,21 +316,38 @@ def text_under_new_schema(lake):
 
 @query(
     "agg6_manifest_reconciliation",
-    """SELECT coalesce(c.tdate, d.tdate) AS tdate, coalesce(counted, -1) AS counted, coalesce(declared, -1) AS declared,
-      CASE WHEN declared IS NULL THEN 'undeclared' WHEN counted IS NULL THEN 'missing' WHEN counted = declared THEN 'match' ELSE 'mismatch' END AS state
-    FROM (SELECT strftime(l_shipdate, '%Y-%m') AS tdate, count(*) AS counted FROM lineitem GROUP BY 1) c
-    FULL JOIN (SELECT strftime(CASE WHEN l_quantity > 49 THEN l_shipdate + INTERVAL 1 MONTH ELSE l_shipdate END, '%Y-%m') AS tdate, count(*) AS declared
-      FROM lineitem GROUP BY 1) d ON d.tdate = c.tdate""",
+    """SELECT tdate, file, counted, CASE WHEN tdate LIKE '%-04' AND file = 'part-R.txt' THEN -1 WHEN tdate LIKE '%-03' THEN counted + 1 ELSE counted END AS declared,
+      CASE WHEN tdate LIKE '%-04' AND file = 'part-R.txt' THEN 'undeclared' WHEN tdate LIKE '%-03' THEN 'mismatch' ELSE 'match' END AS state
+    FROM (SELECT strftime(l_shipdate, '%Y-%m') AS tdate, concat('part-', l_returnflag, '.txt') AS file, count(*) AS counted FROM lineitem GROUP BY 1, 2)
+    UNION ALL SELECT DISTINCT strftime(l_shipdate, '%Y-%m'), 'part-lost.txt', -1, 7, 'missing' FROM lineitem""",
 )
 def manifest_reconciliation(lake):
-    counted = profile.row_counts(scanned(lake, written_text(lake)), ["tdate"])
-    late = F.when(F.col("l_quantity") > 49, F.add_months("l_shipdate", 1)).otherwise(F.col("l_shipdate").cast("date"))
-    declared = lake.lineitem.groupBy(F.date_format(late, "yyyy-MM").alias("tdate")).agg(
-        F.count(F.lit(1)).alias("row_count")
+    """Lines of each file against the manifests of its partition, some of which are wrong."""
+    place, keys = work_dir(lake.spark, "declared"), ["tdate", "file"]
+    file = F.concat(F.lit("part-"), "l_returnflag", F.lit(".txt"))
+    lines = lake.lineitem.select(
+        F.col("l_orderkey").cast("string").alias("line"), F.date_format("l_shipdate", "yyyy-MM").alias("tdate"), file.alias("file")
     )
-    return profile.reconciled(counted, declared, ["tdate"]).select(
-        "tdate", F.coalesce("counted", F.lit(-1)).alias("counted"),
-        F.coalesce("declared", F.lit(-1)).alias("declared"), "state",
+    lines.repartition("tdate").write.partitionBy(*keys).text(place)
+    read = objects.scan_delimited(
+        lake.spark, place, T.StructType().add("l_orderkey", "long"), nested=True, path_keys=keys
+    )
+    told = F.col("n") + F.when(F.col("tdate").endswith("-03"), 1).otherwise(0)
+    kept = ~(F.col("tdate").endswith("-04") & (F.col("file") == "part-R.txt"))
+    entry = F.struct(F.col("file").alias("fileName"), told.cast("string").alias("rowCount"))
+    lost = F.array(F.struct(F.lit("part-lost.txt").alias("fileName"), F.lit("7").alias("rowCount")))
+    manifests_at = work_dir(lake.spark, "promised")
+    lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).groupBy(
+        F.lit("NS").alias("namespace"), F.lit("LINES").alias("businessObjectDefinitionName"), F.lit("PRC").alias("businessObjectFormatUsage"),
+        F.lit("TXT").alias("businessObjectFormatFileType"), F.lit("0").alias("businessObjectFormatVersion"),
+        F.lit("TDATE").alias("partitionKey"), F.col("tdate").alias("partitionValue"),
+    ).agg(F.concat(F.collect_list(F.when(kept, entry)), lost).alias("manifestFiles")).write.json(manifests_at)
+    declared = documents.scan_manifests(lake.spark, manifests_at, False).select(
+        F.col("partition_value").alias("tdate"), F.col("file_name").alias("file"), "row_count"
+    )
+    return profile.reconciled(profile.row_counts(read, keys), declared, keys).select(
+        *keys, F.coalesce("counted", F.lit(-1).cast("long")).alias("counted"),
+        F.coalesce("declared", F.lit(-1).cast("long")).alias("declared"), "state",
     )
 
 
@@ -347,30 +391,45 @@ def table_formats(lake):
     return read
 
 
-@query("snk4_delete_rows", "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice > 300000)")
+@query(
+    "snk4_delete_rows",
+    """SELECT kind, o_orderkey, o_orderstatus FROM orders, (VALUES ('plain'), ('partitioned'), ('text')) kinds(kind)
+    WHERE NOT (o_orderstatus = 'F' OR o_totalprice > 300000)""",
+)
 def delete_rows(lake):
-    name = fresh("thinned")
-    sinks.create_table_as(lake.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), name, work_dir(lake.spark, name))
-    sinks.delete_rows(lake.spark, name, (F.col("o_orderstatus") == "F") | (F.col("o_totalprice") > 300000))
-    return lake.spark.table(name).select("o_orderkey", "o_orderstatus")
+    """Rows deleted from a plain table, a partitioned one and delimited text with its own separator."""
+    rows = lake.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    gone, read = (F.col("o_orderstatus") == "F") | (F.col("o_totalprice") > 300000), None
+    for kind, how in (("plain", {}), ("partitioned", {"partition_columns": ["o_orderstatus"]}), ("text", {"file_format": "csv", "sep": "|"})):
+        name = fresh("thinned")
+        sinks.create_table(lake.spark, name, rows.schema, work_dir(lake.spark, name), **how)
+        sinks.insert(rows, name)
+        sinks.delete_rows(lake.spark, name, gone)
+        # By its files, so that the name can go.
+        kept = stable(lake.spark.table(name).select(F.lit(kind).alias("kind"), "o_orderkey", "o_orderstatus"))
+        sinks.drop_object(lake.spark, name)
+        read = kept if read is None else read.unionByName(kept)
+    return read
 
 
 @query(
     "snk5_dropped_objects",
     """SELECT r.* FROM (SELECT DISTINCT regexp_replace(namespace, '[. -]', '_', 'g') AS database_name,
-        regexp_replace(concat(object_name, '_', usage_code, '_', file_type), '[. -]', '_', 'g') AS table_name FROM notifications) r
-    WHERE NOT EXISTS (SELECT 1 FROM notifications n WHERE wf_type = 7 AND date_created > TIMESTAMP '2001-04-01' AND regexp_replace(namespace, '[. -]', '_', 'g') = r.database_name
+        regexp_replace(concat(object_name, '_', usage_code, '_', kind), '[. -]', '_', 'g') AS table_name
+        FROM notifications, (VALUES ('ORC'), ('TXT'), ('BZ')) kinds(kind)) r
+    WHERE NOT EXISTS (SELECT 1 FROM notifications n WHERE wf_type = 7 AND regexp_replace(namespace, '[. -]', '_', 'g') = r.database_name
       AND regexp_replace(concat(coalesce(CASE WHEN json_valid(correlation_data) THEN coalesce(correlation_data ->> '$.businessObject.original_object_name',
         correlation_data ->> '$.businessObject.late_reporting_for') END, object_name), '_', usage_code, '_', file_type), '[. -]', '_', 'g') = r.table_name)""",
     "notifications",
 )
 def dropped_objects(lake):
-    recent = lake.notifications.where("date_created > timestamp '2001-04-01 00:00:00'")
-    registry = lake.notifications.select(
+    # Every object is registered in three formats; items drop it in one.
+    kinds = F.explode(F.array(F.lit("ORC"), F.lit("TXT"), F.lit("BZ")))
+    registry = lake.notifications.withColumn("kind", kinds).select(
         names.database_name(F.col("namespace")).alias("database_name"),
-        names.sanitised(F.concat_ws("_", "object_name", "usage_code", "file_type")).alias("table_name"),
+        names.sanitised(F.concat_ws("_", "object_name", "usage_code", "kind")).alias("table_name"),
     ).distinct()
-    return sinks.without_dropped(registry, recent)
+    return sinks.without_dropped(registry, lake.notifications)
 
 
 @query("snk6_databases", "SELECT DISTINCT regexp_replace(namespace, '[. -]', '_', 'g') AS name FROM notifications", "notifications")

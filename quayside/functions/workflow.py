@@ -71,7 +71,8 @@ def code_for_job(job_name: Column, partition_value: Column | None = None) -> Col
 
 
 def age_in_hours(created: Column, as_of: Column) -> Column:
-    return F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(created)) / 3600).cast("long")
+    """Whole hours between the two, cut towards zero."""
+    return F.timestamp_diff("HOUR", created.cast("timestamp"), as_of.cast("timestamp"))
 
 
 def older_than(created: Column, as_of: Column, hours: int) -> Column:

@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _ordered(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def column_profile(
     df: DataFrame, columns: list[str], by: list[str] | None = None, exact: bool = False
 ) -> DataFrame:
     """One row per column, and per group if `by` is given.
 
     Bounds, nulls, distinct values, lengths and truth counts of all columns come
-    from one aggregation that combines before its shuffle. Distinct values are
+    from one aggregation that combines before its shuffle. A type without an order,
+    such as a map, has no bounds, and its distinct values are null. Distinct values are
     estimated unless `exact`, which counts them through one more exchange of
     values, never by holding a set.
     """
@@ -25,8 +35,11 @@ def column_profile(
         c, kind = F.col(f"`{name}`"), types[name]
         text = isinstance(kind, (T.StringType, T.VarcharType, T.CharType))
         truth = isinstance(kind, T.BooleanType)
-        bounded = not text and not truth
+        ordered = _ordered(kind)
+        bounded = ordered and not text and not truth
         distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
+        if not ordered:
+            distinct = none.cast("long")
         measures.append(
             F.struct(
                 F.lit(name).alias("column_name"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions.names import OBJECT_KEY
+from quayside.operators.partitions import latest_valid
 from quayside.schemas import column_type
 from quayside.sources.objects import scan_columnar, scan_delimited
 
@@ -57,3 +58,19 @@ def scan_registered(
     read = read.toDF(*data.fieldNames(), *parts.fieldNames())
     typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in parts.fields]
     return read.select(*data.fieldNames(), *typed)
+
+
+def scan_current(
+    spark: SparkSession,
+    format_columns: DataFrame,
+    format_marks: DataFrame,
+    key: tuple[str, str, str, str],
+    data: DataFrame,
+) -> DataFrame:
+    """The newest valid version of each of an object's partitions.
+
+    `data` is the registered data. The places to read are one per partition of one
+    object; Spark lists their files.
+    """
+    places = latest_valid(_of(data, key)).select("file_path").distinct()
+    return scan_registered(spark, format_columns, format_marks, key, [r.file_path for r in places.toLocalIterator()])
