@@ -111,7 +111,8 @@ def line_dedup(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.exists("spans", lambda s: (s["begin"] <= i) & (i < s["end"])))
     cut = written(
-        rows.join(spans, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).withColumn("_kept", kept).select(
+        # Sorted and merged at any size: the spans grow with the documents.
+        rows.join(spans.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).withColumn("_kept", kept).select(
             "doc_id", "text_key", (F.size(lines) - F.size("_kept")).cast("long").alias("n_removed"),
             F.sha2(F.array_join("_kept", "\n"), 256).alias("cut_sha256"),
         ), "cut-lines",
