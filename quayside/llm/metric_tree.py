@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 import sys
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,105 +35,104 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCALE = 64
 NEIGHBOURS = 20
-PAGE = 48
-SHARD_ROWS = 4096
-QUERY_ROWS = 1024
+PAGE = 1024
+SHARD_ROWS = 16384
+QUERY_ROWS = 512
 _MARGIN = 1e-6
 
 
 @dataclass
 class Page:
-    """Entries of a node: vectors' places, distances to the page's routing vector, radii and children."""
+    """Entries of a node, with their distances `apart` from the page's routing vector.
+
+    An inner page holds its children with their routing vectors and covering radii;
+    a leaf holds vectors and ids.
+    """
 
     routing: np.ndarray
-    rows: np.ndarray  # of leaves: places of the vectors
-    apart: np.ndarray  # distance of each entry to `routing`
-    radii: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    children: list[Page] = field(default_factory=list)
-    radius: float = 0.0
+    radius: float
+    apart: np.ndarray
+    children: list[Page]
+    centres: np.ndarray
+    radii: np.ndarray
+    vectors: np.ndarray
+    ids: np.ndarray
 
 
-def build(points: np.ndarray, page: int = PAGE) -> Page:
-    """An M-tree over all `points`, loaded top down.
+def build(points: np.ndarray, exact: np.ndarray, ids: np.ndarray, page: int = PAGE) -> Page:
+    """An M-tree over all `points`, loaded top down; leaves keep `exact` vectors and `ids`.
 
     A node's vectors go to the nearest of some routing vectors, each chosen
     farthest from those before; where all are alike, they are cut by position.
     """
 
     def load(rows: np.ndarray, routing: np.ndarray) -> Page:
-        apart = np.sqrt(np.maximum(((points[rows] - routing) ** 2).sum(axis=1), 0))
+        apart = np.sqrt(((points[rows] - routing) ** 2).sum(axis=1))
         radius = float(apart.max()) if len(rows) else 0.0
         if len(rows) <= page:
-            return Page(routing, rows, apart, radius=radius)
+            order = np.argsort(apart, kind="stable")
+            return Page(routing, radius, apart[order], [], points[:0], apart[:0], exact[rows[order]], ids[rows[order]])
         heads = [int(rows[int(apart.argmax())])]
         near = np.full(len(rows), np.inf)
         owner = np.zeros(len(rows), dtype=np.int64)
-        for k in range(min(page, -(-len(rows) // page) + 1)):
+        for k in range(min(page, -(-2 * len(rows) // page) + 1)):
             d = ((points[rows] - points[heads[k]]) ** 2).sum(axis=1)
             closer = d < near
             owner[closer], near[closer] = k, d[closer]
             heads.append(int(rows[int(near.argmax())]))
             if near.max() <= 0:
                 break
-        groups = [rows[owner == k] for k in range(len(heads) - 1)]
-        groups = [g for g in groups if len(g)]
+        groups = [g for g in (rows[owner == k] for k in range(len(heads) - 1)) if len(g)]
         if len(groups) < 2:
-            groups = np.array_split(rows, -(-len(rows) // page) if len(rows) <= page * page else page)
+            groups = np.array_split(rows, min(page, -(-len(rows) // page)))
         children = [load(g, points[g].mean(axis=0)) for g in groups]
-        between = np.array([np.sqrt(((c.routing - routing) ** 2).sum()) for c in children])
-        return Page(routing, rows[:0], between, np.array([c.radius for c in children]), children, radius)
+        centres = np.stack([c.routing for c in children])
+        between = np.sqrt(((centres - routing) ** 2).sum(axis=1))
+        return Page(routing, radius, between, children, centres, np.array([c.radius for c in children]), exact[:0], ids[:0])
 
     return load(np.arange(len(points)), points.mean(axis=0))
 
 
-def search(root: Page, points: np.ndarray, ids: np.ndarray, exact: np.ndarray, query: np.ndarray,
-           asked: np.ndarray, own: int, count: int) -> tuple[list[tuple[int, int]], int]:
-    """The `count` best (score, id) of one query, equal scores by smaller id, and distances computed.
+def search(
+    root: Page, longest: float, asked: np.ndarray, own: int, count: int
+) -> tuple[list[tuple[int, int]], int]:
+    """The `count` best (score, id) for `asked`, equal scores by smaller id, and distances computed.
 
-    `query` is in the space of `points`; `asked` and `exact` hold whole numbers.
+    `asked` holds whole numbers; `longest` is the largest squared length of all vectors.
     """
-    best: list[tuple[int, int, int]] = []  # smallest score, then largest id, first
+    query = np.append(asked, 0).astype(float)
+    constant = float((asked.astype(float) ** 2).sum()) + longest
+    scores, names = np.zeros(0, dtype=asked.dtype), np.zeros(0, dtype=np.int64)
     reach = np.inf  # distance within which a vector may still count
     d = float(np.sqrt(((root.routing - query) ** 2).sum()))
     queue = [(max(0.0, d - root.radius), 0, d, root)]
     computed, tick = 1, 0
     while queue:
         bound, _, d, node = heapq.heappop(queue)
-        if bound > reach + _MARGIN:
+        if bound > reach:
             break
         if node.children:
-            near = np.flatnonzero(np.abs(d - node.apart) - node.radii <= reach + _MARGIN)
-            if not len(near):
-                continue
-            routing = np.stack([node.children[k].routing for k in near])
-            distances = np.sqrt(((routing - query) ** 2).sum(axis=1))
+            near = np.flatnonzero(np.abs(d - node.apart) - node.radii <= reach)
+            distances = np.sqrt(((node.centres[near] - query) ** 2).sum(axis=1))
             computed += len(near)
-            for k, far in zip(near.tolist(), distances.tolist()):
-                least = max(0.0, far - node.children[k].radius)
-                if least <= reach + _MARGIN:
+            least = np.maximum(distances - node.radii[near], 0.0)
+            for k, low, far in zip(near.tolist(), least.tolist(), distances.tolist()):
+                if low <= reach:
                     tick += 1
-                    heapq.heappush(queue, (least, tick, far, node.children[k]))
+                    heapq.heappush(queue, (low, tick, far, node.children[k]))
             continue
-        rows = node.rows[np.abs(d - node.apart) <= reach + _MARGIN]
-        computed += len(rows)
-        scores = exact[rows] @ asked
-        if len(best) == count:
-            keep = scores >= best[0][0]
-            rows, scores = rows[keep], scores[keep]
-        for row, score in zip(rows.tolist(), scores.tolist()):
-            i = int(ids[row])
-            if i == own:
-                continue
-            if len(best) < count:
-                heapq.heappush(best, (score, -i, row))
-            elif (score, -i) > best[0][:2]:
-                heapq.heapreplace(best, (score, -i, row))
-            else:
-                continue
-            if len(best) == count:
-                worst = best[0][2]
-                reach = float(np.sqrt(((points[worst] - query) ** 2).sum())) + _MARGIN
-    return [(s, -i) for s, i, _ in sorted(best, reverse=True)], computed
+        # Entries stand in the order of their distance from the routing vector.
+        a, b = np.searchsorted(node.apart, [d - reach, d + reach + _MARGIN])
+        found = node.vectors[a:b] @ asked
+        computed += int(b - a)
+        keep = (found >= scores[-1] if len(scores) == count else np.ones(len(found), bool)) & (node.ids[a:b] != own)
+        if keep.any():
+            scores, names = np.concatenate([scores, found[keep]]), np.concatenate([names, node.ids[a:b][keep]])
+            order = np.lexsort((names, -scores))[:count]
+            scores, names = scores[order], names[order]
+            if len(scores) == count:
+                reach = float(np.sqrt(max(constant - 2 * float(scores[-1]), 0.0))) + _MARGIN
+    return [(int(s), int(i)) for s, i in zip(scores, names)], computed
 
 
 def top_scores(
@@ -180,10 +179,12 @@ def top_scores(
             take = np.arange(size)
             exact = flat[starts[mine][:, None] + take]
             points = np.concatenate([exact, np.sqrt(np.maximum(longest - lengths[mine], 0))[:, None]], axis=1).astype(float)
-            root = build(points)
+            # Sums of products below 2^24 or 2^53 are whole in floating point, which multiplies faster.
+            kind = np.float32 if longest < 2**23 else np.float64 if longest < 2**52 else np.int64
+            root = build(points, exact.astype(kind), ids[mine])
             for q in theirs.tolist():
-                asked = flat[starts[q] : starts[q] + size]
-                found, _ = search(root, points, ids[mine], exact, np.append(asked, 0).astype(float), asked, int(ids[q]), count)
+                asked = flat[starts[q] : starts[q] + size].astype(kind)
+                found, _ = search(root, float(longest), asked, int(ids[q]), count)
                 out += [(int(ids[q]), i, s) for s, i in found]
         columns = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])

@@ -38,6 +38,7 @@ BITS = 18  # hashed words
 BEGINNINGS = (4, 5, 6, 7)  # bytes
 ROUNDS = 25
 THRESHOLD = 0.5
+SLICE_BYTES = 1 << 20  # of texts scored together
 BLOCK_WORDS = 100_000  # words that one step of fitting looks at together
 
 # Words here are runs of letters, digits and bytes of other alphabets.
@@ -304,7 +305,7 @@ def score_toxicity(docs: DataFrame, field: Field) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             words = words_of(part["text"], True, _APART)
             slots, head = _slots(words)
             p = marginals(field, slots, head)
