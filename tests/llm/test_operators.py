@@ -313,8 +313,8 @@ def test_search_skips_distances():
     lengths = (exact**2).sum(axis=1)
     points = np.concatenate([exact, np.sqrt(lengths.max() - lengths)[:, None]], axis=1)
     asked = exact[5]
-    found, computed = metric_tree.search(
-        metric_tree.build(points), points, np.arange(3000), exact, np.append(asked, 0).astype(float), asked, 5, 10)
+    root = metric_tree.build(points, exact, np.arange(3000), 32)
+    found, computed = metric_tree.search(root, float(lengths.max()), asked, 5, 10)
     scores = exact @ asked
     want = sorted(((int(s), -k) for k, s in enumerate(scores) if k != 5), reverse=True)[:10]
     assert found == [(s, -k) for s, k in want] and computed < 1500
