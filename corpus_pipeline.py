@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm import mixing, ngram_join, simhash_benchmark, token_records, toxicity_crf
-from quayside.llm.common import table, written
-from quayside.session import tune, work_dir
+from quayside.llm.common import table, tuned, written
+from quayside.session import work_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the random field scores below its threshold."""
-    tune(spark)
+    tuned(spark)
     field = toxicity_crf.train_field(docs, table(spark, folder, "labels"))
     scored = toxicity_crf.score_toxicity(docs, field)
     return scored.where(F.col("_score") < toxicity_crf.THRESHOLD).select(*docs.columns)
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The smallest id of each group of similar documents; of repeated rows one. Rows without an id stay."""
-    tune(spark)
+    tuned(spark)
     members = written(ngram_join.similar_documents(docs), "members").where("doc_id is not null")
     later = members.where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
     repeated = written(members.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
@@ -41,19 +41,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) ->
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a passage similar to a benchmark item."""
-    tune(spark)
+    tuned(spark)
     return simhash_benchmark.decontaminated(docs, table(spark, folder, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    tune(spark)
+    tuned(spark)
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token records of what is left, written and read back."""
-    tune(spark)
+    tuned(spark)
     return token_records.token_digest(docs)
 
 

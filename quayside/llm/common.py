@@ -21,13 +21,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.session import work_dir
+from quayside.session import tune, work_dir
 
 # Tasks get the helpers below by value, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
+BATCH_ROWS = 2000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,6 +37,12 @@ _LOWER[0x41:0x5B] += 0x20
 MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The library's settings, and batches of texts that leave memory to the tasks' own arrays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return tune(spark)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

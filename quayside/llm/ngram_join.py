@@ -38,7 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 PERCENT = 75
 FREQUENT = 1 << 18  # tokens whose frequency the order and the costs know; a bound for their table
-SEEN = 2  # in one slice of documents, for a token to be counted as frequent
+COUNTED = 2_500_000  # tokens of documents that are counted together
+SEEN = 2  # documents among them, for a token to be counted as frequent
 MOST_SHARED = 4
 
 _TOKENS = "token long, doc_id long, n_shingles long, matches int"
@@ -62,20 +63,29 @@ def _sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 
 
 def frequent_tokens(docs: DataFrame, size: int = SHINGLE, limit: int = FREQUENT, seen: int = SEEN) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents hold, with about how many: only `seen` or more in one slice count.
+    """Tokens that many documents hold, with about how many: only `seen` or more among COUNTED tokens at a time count.
 
     At most `limit` tokens, sorted. They steer the order of tokens and the choice of
     prefixes; results don't depend on them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 16 << 20):
-            tokens, counts = np.unique(np.concatenate([*_sets(part, size), np.zeros(0, np.uint64)]), return_counts=True)
+        held: list[np.ndarray] = [np.zeros(0, np.uint64)]
+
+        def counted() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= seen
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], names=["token", "n"]
             )
 
+        for part in slices(batches, "text"):
+            held.append(np.concatenate([held[0][:0], *_sets(part, size)]))
+            if sum(map(len, held)) >= COUNTED:
+                yield counted()
+                del held[1:]
+        yield counted()
+
     got = (
         docs.select(F.col("text").cast("string").alias("text"))
         .mapInArrow(count, "token long, n long")

@@ -20,8 +20,7 @@ from quayside.llm import (
     token_records,
     toxicity_crf,
 )
-from quayside.llm.common import table
-from quayside.session import tune
+from quayside.llm.common import table, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(tune(spark), folder)
+        QUERIES[name] = lambda spark, folder: build(tuned(spark), folder)
         if sql is not None:
             ORACLES[name] = sql
         return build
