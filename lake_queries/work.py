@@ -22,18 +22,24 @@ ROLLUP = """rolled AS (
 
 
 def eligible_sql(wanted: str, held: str) -> str:
+    """Items never tried, or whose last attempt did not succeed and may be repeated by now.
+
+    The last attempt has the greatest id, of equal ids the greatest outcome.
+    """
     return f"""
-WITH {ROLLUP}
-SELECT n.id, n.namespace, n.object_name, n.partition_values, n.wf_type,
-       coalesce(l.attempts, 0) AS attempts, w.priority, coalesce(w.priority, -1) AS rank
-FROM notifications n LEFT JOIN rolled l ON l.notification_id = n.id
-     LEFT JOIN workflows w ON n.wf_type = w.workflow_id
-WHERE n.wf_type {wanted}
-  AND (l.outcomes IS NULL OR (l.outcomes NOT LIKE '%Y' AND l.attempts < {MAX_ATTEMPTS}
-       AND date_diff('second', l.last_process, TIMESTAMP '{AS_OF}') > {RETRY_SECONDS}))
-  AND NOT EXISTS (SELECT 1 FROM leases c WHERE c.namespace = n.namespace AND c.object_name = n.object_name
-       AND c.usage_code = n.usage_code AND c.file_type = n.file_type
-       AND c.cluster_id <> '{CLUSTER}' AND c.wf_type {held})"""
+WITH ended AS (
+  SELECT notification_id AS id, max({{'i': id, 's': success}}).s AS ending, count(*) AS tries, max(date_processed) AS started
+  FROM processing_log GROUP BY 1),
+elsewhere AS (
+  SELECT DISTINCT namespace, object_name, usage_code, file_type FROM leases
+  WHERE cluster_id <> '{CLUSTER}' AND wf_type {held}),
+ready AS (
+  SELECT notifications.*, coalesce(tries, 0) AS attempts FROM notifications LEFT JOIN ended USING (id)
+  WHERE wf_type {wanted} AND CASE WHEN tries IS NULL THEN true WHEN ending = 'Y' OR tries >= {MAX_ATTEMPTS} THEN false
+    ELSE started < TIMESTAMP '{AS_OF}' - INTERVAL {RETRY_SECONDS} SECOND END)
+SELECT ready.*, priority, coalesce(priority, -1) AS rank
+FROM ready ANTI JOIN elsewhere USING (namespace, object_name, usage_code, file_type)
+     LEFT JOIN workflows ON workflow_id = wf_type"""
 
 
 def shown_sql(inner: str) -> str:
@@ -393,7 +399,7 @@ def backlog_sizing(lake):
     return work.backlog_sizing(classified(lake), UNITS)
 
 
-ORDERED = f"""e AS (SELECT * FROM ({LOAD_SQL.replace("SELECT n.id, n.namespace, n.object_name, n.partition_values, n.wf_type,", "SELECT n.*,")}))"""
+ORDERED = f"""e AS (SELECT * FROM ({LOAD_SQL}))"""
 MINE = """row_number() OVER (ORDER BY priority ASC NULLS FIRST, partition_values DESC NULLS LAST, id) AS rn"""
 
 

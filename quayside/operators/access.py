@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import directory, names
 from quayside.operators.joins import attach_rows, join_salted
+from quayside.session import stable
 
 # The user that stands for everybody, and the role all users have.
 EVERYBODY = "*"
@@ -122,33 +123,57 @@ def _select_of(principal_type: str, principal: Column) -> list[Column]:
     ]
 
 
+def _namespace_readers(permissions: DataFrame) -> DataFrame:
+    return readers(permissions).where(F.col("user_id") != EVERYBODY).select(
+        F.lower("namespace").alias("db_name"), "user_id"
+    ).distinct()
+
+
 def wanted_reads(permissions: DataFrame, table_names: DataFrame) -> DataFrame:
     """SELECT on every table of the namespaces a user may read.
 
     A namespace may have most of the users and most of the tables, so its users
     are spread over tasks that each see its tables.
     """
-    users = readers(permissions).where(F.col("user_id") != EVERYBODY).select(
-        F.lower("namespace").alias("db_name"), "user_id"
-    )
-    pairs = join_salted(users.distinct(), table_names, ["db_name"])
+    pairs = join_salted(_namespace_readers(permissions), table_names, ["db_name"])
     return pairs.select(*_select_of("USER", F.col("user_id")))
 
 
+def _lacking(users: DataFrame, tables: DataFrame, held: DataFrame) -> DataFrame:
+    """Users and databases of which the user holds fewer tables than there are."""
+    sizes = tables.groupBy("db_name").agg(F.count(F.lit(1)).alias("_tables"))
+    counted = (
+        held.select("db_name", "tbl_name", F.col("principal").alias("user_id")).distinct()
+        .join(tables, ["db_name", "tbl_name"], "left_semi")
+        .groupBy("db_name", "user_id").agg(F.count(F.lit(1)).alias("_held"))
+    )
+    met = users.join(sizes, "db_name").join(counted, ["db_name", "user_id"], "left")
+    return met.where(F.coalesce("_held", F.lit(0)) < F.col("_tables")).select("db_name", "user_id")
+
+
 def full_sync(
     permissions: DataFrame, table_names: DataFrame, grants: DataFrame, full_revoke: bool = False
 ) -> DataFrame:
-    """Grants the permissions call for; with `full_revoke` also those to take back."""
-    wanted = wanted_reads(permissions, table_names)
-    to_grant = missing(wanted, grants, GRANT).withColumn("action", F.lit("grant"))
-    if not full_revoke:
-        return to_grant
+    """Grants the permissions call for; with `full_revoke` also those to take back.
+
+    Users and tables are counted before they are paired: only a user who lacks
+    some table of a database is spelled out over its tables.
+    """
+    users, tables = _namespace_readers(permissions), table_names.select("db_name", "tbl_name").distinct()
     held = grants.where(
         (F.col("principal_type") == "USER") & (F.col("privilege") == "SELECT")
     ).select(*GRANT)
+    lacking = stable(_lacking(users, tables, held))
+    wanted = join_salted(lacking, tables, ["db_name"]).select(*_select_of("USER", F.col("user_id")))
+    to_grant = missing(wanted, grants, GRANT).withColumn("action", F.lit("grant"))
+    if not full_revoke:
+        return to_grant
     known = permissions.select(F.lower("namespace").alias("db_name")).distinct()
     held = held.join(known, "db_name", "left_semi").select(*GRANT)
-    return to_grant.unionByName(missing(held, wanted, GRANT).withColumn("action", F.lit("revoke")))
+    rightful = held.join(tables, ["db_name", "tbl_name"], "left_semi").join(
+        users.select("db_name", F.col("user_id").alias("principal")), ["db_name", "principal"], "left_semi"
+    )
+    return to_grant.unionByName(missing(held, rightful, GRANT).withColumn("action", F.lit("revoke")))
 
 
 def public_sync(permissions: DataFrame, table_names: DataFrame, grants: DataFrame) -> DataFrame:

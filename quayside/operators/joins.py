@@ -15,9 +15,8 @@ def join_salted(
     on: list[str],
     how: str = "inner",
     rows_per_key: int = ROWS_PER_KEY,
-    salts: int = 64,
 ) -> DataFrame:
-    """Join whose left keys above `rows_per_key` rows are spread over `salts` tasks.
+    """Join whose left keys above `rows_per_key` rows are spread over as many tasks as their rows ask for.
 
     Only the right rows of those keys are repeated. The list of such keys has
     at most rows / rows_per_key entries, which bounds its broadcast.
@@ -26,21 +25,19 @@ def join_salted(
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > rows_per_key)
-        .select(*on, F.lit(True).alias("_crowded"))
+        .select(*on, F.ceil(F.col("_n") / rows_per_key).cast("int").alias("_salts"))
     )
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("_salts")).cast("int")
     left_salted = left.join(F.broadcast(crowded), on, "left").withColumn(
-        "_salt", F.when(F.col("_crowded"), spread).otherwise(F.lit(0))
-    )
-    every = F.when(F.col("_crowded"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
+        "_salt", F.coalesce(spread, F.lit(0))
+    ).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right_salted = (
         right.join(F.broadcast(crowded), on, "left")
         .withColumn("_salt", F.explode(every))
-        .drop("_crowded")
+        .drop("_salts")
     )
-    return left_salted.join(right_salted, [*on, "_salt"], how).drop("_salt", "_crowded")
+    return left_salted.join(right_salted, [*on, "_salt"], how).drop("_salt")
 
 
 def attach_rows(parents: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:

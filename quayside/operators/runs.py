@@ -3,15 +3,17 @@
 The restart makes this no window sum, and one key may own a third of the rows,
 so no task may see a whole key. The rows are range-partitioned by key and order
 and written once. A partition that lies inside one key reports what it does to
-each of the possible entering weights; those reports, one per partition, chain
-on the driver; then every partition numbers its rows from its entering state.
+the possible entering weights, as pieces: neighbouring weights with one outcome
+are one piece, and after a restart most outcomes are the same. The reports, one
+per partition, chain on the driver; then every partition numbers its rows from
+its entering state.
 """
 
 from __future__ import annotations
 
 import json
 import sys
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +30,14 @@ from quayside.session import stable_in_place
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _REPORT = (
-    "part int, first_key string, last_key string, leaving array<long>, closed array<long>, kept string"
+    "part int, first_key string, last_key string, piece array<long>, leaving array<long>, closed array<long>, kept string"
 )
 _REPORT_BATCH = pa.schema(
     [
         ("part", pa.int32()),
         ("first_key", pa.string()),
         ("last_key", pa.string()),
+        ("piece", pa.list_(pa.int64())),
         ("leaving", pa.list_(pa.int64())),
         ("closed", pa.list_(pa.int64())),
         ("kept", pa.string()),
@@ -122,8 +125,9 @@ def number_runs(
             kept = _latest_kept(batch[value], _numbers(batch[keep]), begin, end, kept)
         if current is not None:
             names = [json.dumps(k, default=str) for k in (first, current)]
-            row = {"part": part, "first_key": names[0], "last_key": names[1],
-                   "leaving": leaving.tolist(), "closed": closed.tolist(), "kept": kept}
+            pieces = np.flatnonzero(np.concatenate([[True], (np.diff(leaving) != 0) | (np.diff(closed) != 0)]))
+            row = {"part": part, "first_key": names[0], "last_key": names[1], "piece": pieces.tolist(),
+                   "leaving": leaving[pieces].tolist(), "closed": closed[pieces].tolist(), "kept": kept}
             yield pa.RecordBatch.from_pylist([row], schema=_REPORT_BATCH)
 
     narrow = ordered.select(*dict.fromkeys([*keys, weight, value, keep, "_part"]))
@@ -136,7 +140,8 @@ def number_runs(
         entering[r.part] = begin
         inside = r.first_key == r.last_key
         at, runs, kept = begin if inside else (0, 0, None)
-        state = (r.leaving[at], runs + r.closed[at], r.kept if r.kept is not None else kept)
+        piece = bisect_right(r.piece, at) - 1
+        state = (r.leaving[piece], runs + r.closed[piece], r.kept if r.kept is not None else kept)
         key = r.last_key
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,7 +68,7 @@ def test_salted_join_equals_plain_join(spark, rows, how):
     )
     right = spark.range(90).select((F.col("id") % 45).alias("k"), F.col("id").alias("r")).where("k <> 7")
     plain = left.join(right, "k", how)
-    assert rows(join_salted(left, right, ["k"], how, rows_per_key=100, salts=5)) == rows(plain)
+    assert rows(join_salted(left, right, ["k"], how, rows_per_key=100)) == rows(plain)
 
 
 def test_attached_rows_equal_a_left_join(spark, rows):
