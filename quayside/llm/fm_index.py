@@ -346,3 +346,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, a
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("cut_sha256", "sha256").alias("kept_sha256"),
     )
+
+
+ORACLE = r"""
+WITH listed AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM listed WHERE len(w) >= 50)),
+owners AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN owners USING (h) WHERE first < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1)::BIGINT AS p FROM listed),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT l.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM listed l LEFT JOIN kept k ON k.doc_id = l.doc_id
+"""

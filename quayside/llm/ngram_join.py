@@ -323,3 +323,22 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     return members.join(groups, "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "set_id", "doc_id").alias("component_id")
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM listed WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * met >= 75 * (s.n + t.n - met)),
+edges AS (SELECT x AS u, y AS v FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS c FROM listed UNION SELECT e.v, r.c FROM reached r JOIN edges e ON e.u = r.doc_id)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id
+FROM listed l LEFT JOIN sizes s ON s.doc_id = l.doc_id JOIN reached r ON r.doc_id = l.doc_id GROUP BY l.doc_id, n
+"""

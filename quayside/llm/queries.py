@@ -71,7 +71,7 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op6_ngram_join")
+@query("op6_ngram_join", ngram_join.ORACLE)
 def ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in groups linked by a Jaccard similarity of 0.75 of five-word shingles."""
     return ngram_join.similar_documents(table(spark, folder, "documents").select("doc_id", "text"))
@@ -89,7 +89,7 @@ def mtree_search(spark: SparkSession, folder: str) -> DataFrame:
     return metric_tree.top_scores(table(spark, folder, "embeddings"))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", fm_index.ORACLE)
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the words of 50-word windows that smaller documents hold."""
     return fm_index.substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
