@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
-BATCH_ROWS = 2000
+BATCH_BYTES = 6 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,7 +39,7 @@ MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 def tuned(spark: SparkSession) -> SparkSession:
     """The library's settings, and batches of texts that leave memory to the tasks' own arrays."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return tune(spark)
 
 

@@ -35,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FOLDS = 10
 CONTEXT_BITS = 16
-BUCKETS = 128  # at least; otherwise three times the shuffle partitions
+BUCKETS = 128  # at least; otherwise four times the shuffle partitions
 STRENGTH = 1.0
 BURN_IN = 2
 SAMPLES = 3
@@ -134,6 +134,7 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
                 contexts.append(context)
                 owners.append(np.full(len(row), number, "<i8") << 16 | row)
                 fitted.append(np.unpackbits(bits, count=len(row)))
+            del blobs
             keys, contexts = np.concatenate(keys), np.concatenate(contexts)
             owners, fitted = np.concatenate(owners), np.concatenate(fitted)
             order = np.lexsort((owners, contexts, keys))
@@ -326,7 +327,7 @@ def score_texts(
     log10 probability under single words with 0.1 added to counts; `score` that of
     the averaged seatings. Without any fitted row all words are unknown.
     """
-    count = max(BUCKETS, 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    count = max(BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         (remainder(F.col("doc_id"), folds) != 0).alias("fitted"),
@@ -351,13 +352,15 @@ def score_texts(
                 wide = "<u2" if head[1] == head[2] else "<u4"
                 known, place, row = _unpack(owners.as_buffer(), "<i8", wide, "<u2")
                 slot = place.astype(np.int64) << 16 | row
-                token = np.repeat(np.arange(len(found.word)), found.every)
+                values = (np.log10(chance), base, (counts > 0).astype(np.int64))
+                token = np.repeat(np.arange(len(found.word), dtype=np.int32), found.every)
+                del found, chance, base, counts
                 order = np.argsort(slot, kind="stable")
                 slot, token = slot[order], token[order]
                 firsts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
                 if not len(slot):
                     continue
-                values = [np.add.reduceat(x[token], firsts) for x in (np.log10(chance), base, (counts > 0).astype(np.int64))]
+                values = [np.add.reduceat(x[token], firsts) for x in values]
                 texts = slot[firsts]
                 bounds = np.searchsorted(texts >> 16, np.arange(len(known) + 1)).tolist()
                 blobs = [
