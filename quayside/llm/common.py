@@ -9,8 +9,8 @@ none.
 
 from __future__ import annotations
 
+import ctypes
 import sys
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,11 +63,6 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def lower(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64 bits over 64 bits, one to one."""
     x = x ^ (x >> np.uint64(30))
@@ -149,6 +144,14 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a Python worker lives on behind its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of `column` hold about `limit` bytes; a longer text stands alone."""
     for batch in batches:
@@ -162,16 +165,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(at + 1, int(np.searchsorted(sums, before + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 ASKED_BITS = 23
 
 
-def asked_rows(docs: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+def asked_rows(docs: DataFrame, asked: DataFrame, name: str, then=None, schema=None) -> DataFrame:
     """Rows of `docs` whose id `name` is in `asked`, and a few others; the id's column must not be null.
 
     A bit table of fixed size travels to the tasks, so no text is shuffled to find
-    out. Executors send places of the table, each once: 2^23 at most.
+    out. Executors send places of the table, each once: 2^23 at most. `then` turns
+    the batches into those of `schema` in the same Python worker.
     """
     place = F.pmod(F.xxhash64(name), F.lit(1 << ASKED_BITS))
     places = asked.select(place.alias("_place")).distinct().toArrow()
@@ -184,14 +189,14 @@ def asked_rows(docs: DataFrame, asked: DataFrame, name: str) -> DataFrame:
             at = batch["_place"].to_numpy()
             yield batch.drop_columns(["_place"]).filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
 
-    return docs.withColumn("_place", place).mapInArrow(held, docs.schema)
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(held(batches))
+
+    placed = docs.withColumn("_place", place)
+    return placed.mapInArrow(held, docs.schema) if then is None else placed.mapInArrow(answered, schema)
 
 
 def ragged(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from its flat values and the length of each list."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
-
-
-def crc(text: str) -> int:
-    return zlib.crc32(text.encode())

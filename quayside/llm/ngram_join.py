@@ -201,8 +201,9 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = asked_rows(docs.where("doc_id is not null").select("doc_id", "text"), asked, "doc_id")
-    sets = written(texts.mapInArrow(gather, "doc_id long, tokens binary"), "asked-sets").dropDuplicates(["doc_id"])
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    found = asked_rows(texts, asked, "doc_id", gather, "doc_id long, tokens binary")
+    sets = written(found, "asked-sets").dropDuplicates(["doc_id"])
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b"
     )

@@ -29,7 +29,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import mix, remainder, slices, words_of, written
+from quayside.llm.common import give_back, mix, remainder, slices, words_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -59,6 +59,13 @@ class Totals:
     parent_discount: float
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with freed memory given back behind each."""
+    for batch in batches:
+        yield batch
+        give_back()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([a.nbytes for a in arrays], "<i8").tobytes()
     return head + b"".join(a.tobytes() for a in arrays)
@@ -168,7 +175,7 @@ def totals(buckets: DataFrame) -> Totals:
     """Counts over all buckets, with one table per pair of a context and a word to begin with."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _each(batches):
             for data in batch["pairs"]:
                 word, contexts, fitted, _, words = _pairs(data.as_buffer())
                 held = fitted > 0
@@ -295,7 +302,7 @@ def seated(buckets: DataFrame, sums: Totals, strength: float, sweeps: int = BURN
     """`sums` with the tables that context restaurants and the parent have after `sweeps`."""
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _each(batches):
             for bucket, data in zip(batch["bucket"].to_pylist(), batch["pairs"]):
                 found = Seating(bucket, data.as_buffer(), sums, strength)
                 for _ in range(sweeps):
@@ -338,7 +345,7 @@ def score_texts(
     smooth = np.log10(sums.tokens + 0.1 * (sums.words + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _each(batches):
             for bucket, data, owners in zip(batch["bucket"].to_pylist(), batch["pairs"], batch["owners"]):
                 found = Seating(bucket, data.as_buffer(), sums, strength)
                 chance = np.zeros(len(found.word))

@@ -24,7 +24,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.llm.common import MASK, Words, mix, slices, words_of
