@@ -358,13 +358,21 @@ def fresh(label):
     return f"{label}_{uuid.uuid4().hex[:12]}"
 
 
+def leaving(lake, df, *tables):
+    """`df` written out, so that the tables it reads need not stay in the catalog."""
+    kept = stable(df)
+    for name in tables:
+        sinks.drop_object(lake.spark, name)
+    return kept
+
+
 @query("snk1_create_and_insert", "SELECT o_orderkey AS my_id, o_orderpriority AS my_string FROM orders UNION ALL SELECT c_custkey, c_name FROM customer")
 def create_and_insert(lake):
     name, schema = fresh("inserted"), T.StructType().add("my_id", "long").add("my_string", "string")
     sinks.create_table(lake.spark, name, schema, work_dir(lake.spark, name))
     sinks.insert(lake.orders.select("o_orderkey", "o_orderpriority"), name)
     sinks.insert(lake.customer.select("c_custkey", "c_name"), name)
-    return lake.spark.table(name)
+    return leaving(lake, lake.spark.table(name), name)
 
 
 @query("snk2_create_as_select", "SELECT 10::BIGINT AS rows, true AS known FROM region LIMIT 1")
@@ -372,7 +380,8 @@ def create_as_select(lake):
     name = fresh("selected")
     sinks.create_table_as(lake.orders, name, work_dir(lake.spark, name), limit=10)
     known = lake.spark.table(name).join(lake.orders.select("o_orderkey"), "o_orderkey", "left_semi")
-    return known.agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) == 10).alias("known"))
+    counted = known.agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) == 10).alias("known"))
+    return leaving(lake, counted, name)
 
 
 @query(
@@ -386,7 +395,7 @@ def table_formats(lake):
         rows = lake.customer.select("c_custkey", "c_mktsegment")
         sinks.create_table(lake.spark, name, rows.schema, work_dir(lake.spark, name), file_format)
         sinks.insert(rows, name)
-        part = lake.spark.table(name).select(F.lit(file_format).alias("format"), "*")
+        part = leaving(lake, lake.spark.table(name).select(F.lit(file_format).alias("format"), "*"), name)
         read = part if read is None else read.unionByName(part)
     return read
 
@@ -405,9 +414,7 @@ def delete_rows(lake):
         sinks.create_table(lake.spark, name, rows.schema, work_dir(lake.spark, name), **how)
         sinks.insert(rows, name)
         sinks.delete_rows(lake.spark, name, gone)
-        # By its files, so that the name can go.
-        kept = stable(lake.spark.table(name).select(F.lit(kind).alias("kind"), "o_orderkey", "o_orderstatus"))
-        sinks.drop_object(lake.spark, name)
+        kept = leaving(lake, lake.spark.table(name).select(F.lit(kind).alias("kind"), "o_orderkey", "o_orderstatus"), name)
         read = kept if read is None else read.unionByName(kept)
     return read
 
@@ -435,11 +442,16 @@ def dropped_objects(lake):
 @query("snk6_databases", "SELECT DISTINCT regexp_replace(namespace, '[. -]', '_', 'g') AS name FROM notifications", "notifications")
 def created_databases(lake):
     """Databases of all namespaces; their number is the number of namespaces."""
-    wanted = lake.notifications.select(names.database_name(F.col("namespace")).alias("name")).distinct()
-    for row in wanted.toLocalIterator():
-        sinks.create_database(lake.spark, row.name)
+    wanted = stable(lake.notifications.select(names.database_name(F.col("namespace")).alias("name")).distinct())
+    before = lake.spark.sql("SHOW DATABASES").select(F.col("namespace").alias("name"))
+    made = [row.name for row in wanted.join(before, "name", "left_anti").toLocalIterator()]
+    for name in made:
+        sinks.create_database(lake.spark, name)
     listed = lake.spark.sql("SHOW DATABASES").select(F.col("namespace").alias("name"))
-    return listed.join(wanted, "name", "left_semi")
+    found = stable(listed.join(wanted, "name", "left_semi"))
+    for name in made:
+        lake.spark.sql(f"DROP DATABASE `{name}`")
+    return found
 
 
 @query(
@@ -456,21 +468,27 @@ def appended_items(lake):
 
 @query(
     "agg5_catalog_statistics",
-    """SELECT 'o_orderkey' AS column_name, 'min' AS measure, cast(min(o_orderkey) AS varchar) AS value FROM orders
-    UNION ALL SELECT 'o_orderkey', 'max', cast(max(o_orderkey) AS varchar) FROM orders
-    UNION ALL SELECT 'o_orderkey', 'num_nulls', cast(count(*) - count(o_orderkey) AS varchar) FROM orders
-    UNION ALL SELECT 'o_orderpriority', 'max_col_len', cast(max(length(o_orderpriority)) AS varchar) FROM orders
-    UNION ALL SELECT 'o_orderpriority', 'num_nulls', cast(count(*) - count(o_orderpriority) AS varchar) FROM orders""",
+    "\nUNION ALL\n".join(
+        f"SELECT '{column}' AS column_name, '{measure}' AS measure, cast({value.format(column)} AS varchar) AS value FROM orders"
+        for columns, measures in (
+            (("o_orderkey", "o_custkey"), {"min": "min({})", "max": "max({})"}),
+            (("o_orderstatus", "o_orderpriority"), {"max_col_len": "max(length({}))"}),
+            (("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), {"num_nulls": "count(*) - count({})"}),
+        )
+        for column in columns for measure, value in measures.items()
+    ),
 )
 def catalog_statistics(lake):
     """The profile as the catalog keeps it; its distinct counts are estimates and left out."""
     name = fresh("analyzed")
     sinks.create_table_as(lake.orders, name, work_dir(lake.spark, name))
-    columns = ["o_orderkey", "o_orderpriority"]
+    columns = lake.orders.columns
     sinks.analyze(lake.spark, name, columns)
     found = catalog.table_statistics(lake.spark, name, columns)
-    kept = "measure in ('min', 'max', 'num_nulls') or (measure = 'max_col_len' and column_name = 'o_orderpriority')"
-    return found.where(kept)
+    # Bounds of whole numbers and lengths of texts; others are spelled in the engine's own way.
+    kept = """measure = 'num_nulls' or (measure in ('min', 'max') and column_name in ('o_orderkey', 'o_custkey'))
+      or (measure = 'max_col_len' and column_name in ('o_orderstatus', 'o_orderpriority'))"""
+    return leaving(lake, found.where(kept), name)
 
 
 @query(
@@ -489,7 +507,7 @@ def partitions_of_a_table(lake):
     )
     sinks.add_partitions(lake.spark, name, parts)
     sinks.add_partitions(lake.spark, name, parts)
-    return lake.spark.table(name)
+    return leaving(lake, lake.spark.table(name), name)
 
 
 # Streams -------------------------------------------------------------------
