@@ -7,11 +7,14 @@ table of a context restaurant is a customer of the parent.
 
 Tokens are gathered by dish: all contexts of a word meet in one bucket, so the
 parent's customers of that word are at hand, and what a bucket needs of others
-are totals per context restaurant, a table of fixed size. Customers are seated
-one after the other, then Gibbs moves take single customers from their tables and
-seat them again, for all dishes of a bucket side by side. Predictive
-probabilities are averages over the seatings of several sweeps. Draws are seeded
-by bucket, so a task that is run again seats alike.
+are totals per context restaurant, a table of fixed size. Predictions depend on
+the number of tables of each pair alone, so that is the state of the sampler: a
+sweep seats all customers of each pair, and of each word in the parent, again as
+one block, given the tables of the others. Pairs of up to `SHORT` customers are
+drawn from their exact distribution (generalised Stirling numbers), longer ones by
+Metropolis steps with a proposal close to it. Predictive probabilities are averages
+over the seatings of several sweeps. Draws are seeded by bucket, so a task that is
+run again seats alike.
 
 Buckets are rows of a written table: word pairs with their counts in one column,
 the documents of their tokens in another. Each later step is one pass over it.
@@ -39,7 +42,8 @@ BUCKETS = 128  # at least; otherwise four times the shuffle partitions
 STRENGTH = 1.0
 BURN_IN = 2
 SAMPLES = 3
-MOVES = 2  # of each dish in a sweep
+SHORT = 128  # customers up to which a draw is exact
+PARENT_STEPS = 4  # the parent's customers change between sweeps, so its draws begin anew
 
 _CONTEXTS = 1 << CONTEXT_BITS
 _END = np.uint64(0x5DEECE66D1234567)  # the end's hash; no word's hash is derived from it
@@ -57,6 +61,7 @@ class Totals:
     parent_tables: float
     discount: float
     parent_discount: float
+    shares: dict[int, int] | None = None  # tables of each bucket that was seated; without it, one per pair
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,25 +212,124 @@ def totals(buckets: DataFrame) -> Totals:
     return Totals(customers, tables, int(extra[0]), int(extra[1]), float(extra[1]), *share)
 
 
-def _tables(draw: np.random.Generator, customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
-    """Tables after seating all customers one after the other; `pull` is the weight of a new table.
+def _log_gamma(z: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers."""
+    shift = np.zeros_like(z)
+    for k in range(8):
+        shift += np.log(z + k)
+    z = z + 8
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
 
-    Customers come in blocks that grow by a third, and a block sees the tables in front of it.
+
+def stirling(size: int, discount: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: ways of n customers (rows) at t tables (columns), up to `size`."""
+    out = np.full((size + 1, size + 1), -np.inf)
+    out[0, 0] = 0.0
+    for n in range(size):
+        out[n + 1, 1:] = out[n, :-1]
+        t = np.arange(1, n + 1)
+        out[n + 1, 1 : n + 1] = np.logaddexp(out[n, :n], np.log(n - discount * t) + out[n, 1 : n + 1])
+    return out
+
+
+def _chosen(draw: np.random.Generator, logs: np.ndarray) -> np.ndarray:
+    """A column for each row, by weights whose logarithms are given."""
+    sums = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    return (sums < draw.random((len(logs), 1)) * sums[:, -1:]).sum(axis=1)
+
+
+class Dishes:
+    """Tables of dishes with `customers` each, all customers of a dish seated at once.
+
+    A dish with n customers has t tables with a chance proportional to S(n, t), the
+    product over further tables of `pull` = chance * (strength + discount * tables in
+    front), those of other dishes (`rest`) included.
+
+    Above `SHORT` customers the state is where tables open: `early` tables among the
+    first SHORT customers, and the places of later ones. A step proposes all of it
+    anew: openings at place p come with a rate of pull * p^(d-1) / n^d, as they would
+    if nobody but the first customer of a table were near; Metropolis decides with the
+    exact weight of the places.
     """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    seated = 1
-    open_ = np.flatnonzero(customers > seated)
-    while len(open_):
-        block = np.minimum(max(1, seated // 3), customers[open_] - seated)
-        chance = pull[open_] / (pull[open_] + np.maximum(seated + block / 2 - 0.5 - discount * tables[open_], 1e-9))
-        tables[open_] += draw.binomial(block, np.clip(chance, 0, 1))
-        seated += max(1, seated // 3)
-        open_ = open_[customers[open_] > seated]
-    return tables
+
+    def __init__(
+        self, draw: np.random.Generator, customers: np.ndarray, discount: float, strength: float, logs: np.ndarray | None = None
+    ):
+        self.draw, self.customers, self.discount, self.strength = draw, customers, discount, strength
+        self.logs = stirling(SHORT, discount) if logs is None else logs
+        order = np.argsort(customers, kind="stable")
+        order = order[customers[order] > 1]
+        cut = np.searchsorted(customers[order], SHORT, side="right")
+        sizes, firsts = np.unique(customers[order[:cut]], return_index=True)
+        self.groups = [(n, g) for n, g in zip(sizes.tolist(), np.split(order[:cut], firsts[1:]))]
+        self.long = order[cut:]
+        self.early, self.owner, self.place = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.steps = self.accepted = 0
+
+    def seat(self, tables: np.ndarray, rest: np.ndarray, chance: np.ndarray, steps: int = 1) -> np.ndarray:
+        """`tables` drawn again, with `steps` for long dishes; `rest` and `chance` belong to each dish."""
+        tables = tables.copy()
+        for n, group in self.groups:
+            step = max(1, (1 << 19) // n)
+            for at in (group[k : k + step] for k in range(0, len(group), step)):
+                logs = np.log(chance[at, None] * (self.strength + self.discount * (rest[at, None] + np.arange(n))))
+                logs[:, 0] = 0.0
+                tables[at] = 1 + _chosen(self.draw, np.cumsum(logs, axis=1) + self.logs[n, 1 : n + 1])
+        for _ in range(steps if len(self.long) else 0):
+            tables[self.long] = self._step(rest[self.long], chance[self.long])
+        return tables
+
+    def _step(self, rest: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        n, d = self.customers[self.long].astype(np.float64), self.discount
+        pull = chance * (self.strength + d * (rest + 1))
+        share = (SHORT / n) ** d
+        early = np.empty(len(n), dtype=np.int64)
+        for a in range(0, len(n), 4096):
+            logs = np.log(pull * share)[a : a + 4096, None] * np.arange(SHORT)
+            early[a : a + 4096] = 1 + _chosen(self.draw, logs + self.logs[SHORT, 1:])
+        owner = np.repeat(np.arange(len(n)), self.draw.poisson(pull / d * (1 - share)))
+        low = share[owner]
+        place = n[owner] * (low + self.draw.random(len(owner)) * (1 - low)) ** (1 / d)
+        place = np.clip(np.ceil(place), SHORT + 1, n[owner]).astype(np.int64)
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])])[: len(owner)]
+        owner, place = owner[new], place[new]
+        if self.early is None:
+            taken = np.ones(len(n), dtype=bool)
+            self.early = early
+        else:
+            gain = self._weight(early, owner, place, rest, chance) - self._weight(self.early, self.owner, self.place, rest, chance)
+            taken = np.log(self.draw.random(len(n))) < gain
+            self.early = np.where(taken, early, self.early)
+            self.steps, self.accepted = self.steps + len(n), self.accepted + int(taken.sum())
+        stay, come = ~taken[self.owner], taken[owner]
+        owner, place = np.concatenate([self.owner[stay], owner[come]]), np.concatenate([self.place[stay], place[come]])
+        order = np.argsort(owner, kind="stable")  # places of one owner are in order
+        self.owner, self.place = owner[order], place[order]
+        return self.early + np.bincount(self.owner, minlength=len(n))
+
+    def _weight(self, early: np.ndarray, owner: np.ndarray, place: np.ndarray, rest: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """Logarithm of target over proposal, up to what all states of a dish share."""
+        n, d = self.customers[self.long].astype(np.float64), self.discount
+        later = np.bincount(owner, minlength=len(n))
+        t = early + later
+        pull = chance * (self.strength + d * (rest + 1))
+        base = self.strength / d + rest + 1
+        out = (t - 1) * np.log(chance * d) + _log_gamma(base + t - 1) - _log_gamma(base)
+        out -= (early - 1) * np.log(pull * (SHORT / n) ** d)
+        # Customers that join a table, between openings: a product of (seated - d * tables).
+        index = np.arange(len(owner)) - (np.cumsum(later) - later)[owner]
+        before = early[owner] + index
+        p = place.astype(np.float64)
+        out += _log_gamma(n - d * t) - _log_gamma(SHORT - d * early)
+        rate = pull[owner] / d * (p**d - (p - 1) ** d) / n[owner] ** d
+        each = _log_gamma(p - 1 - d * before) - _log_gamma(p - d * (before + 1)) - rate - np.log(-np.expm1(-rate))
+        return out + np.bincount(owner, each, len(n))
 
 
 class Seating:
-    """Seats of a bucket's customers: tables of each pair, and of each word in the parent."""
+    """Tables of a bucket's pairs, and of its words in the parent."""
 
     def __init__(self, bucket: int, data, sums: Totals, strength: float):
         self.word, self.context, self.customers, self.every, words = _pairs(data)
@@ -233,61 +337,51 @@ class Seating:
         self.draw = np.random.default_rng(bucket)
         self.context_tables = sums.tables.copy()
         self.tables = np.minimum(self.customers, 1).astype(np.float64)
+        self.parent_tables = np.zeros(self.words)
+        self.parent_logs = stirling(SHORT, sums.parent_discount)
+        self.share = (sums.shares or {}).get(bucket, self.tables.sum())
         self._parent()
         self.several = np.flatnonzero(self.customers > 1)
+        self.dishes = Dishes(self.draw, self.customers[self.several], sums.discount, strength)
+        self.sweep()
+        if sums.shares is not None:  # the totals hold these pairs' tables already
+            self.context_tables = sums.tables.copy()
+
+    @property
+    def begins(self) -> np.ndarray:
+        """First seat of each pair of several customers, where each customer has one."""
         count = self.customers[self.several]
-        self.tables[self.several] = _tables(self.draw, count, self._pull(self.several), sums.discount)
-        self.begins = np.cumsum(count) - count
-        # The first customers of a pair open its tables, the others join one of them.
-        place = np.arange(int(count.sum())) - np.repeat(self.begins, count)
-        tables = np.repeat(self.tables[self.several], count)
-        joined = (self.draw.random(len(place)) * tables).astype(np.int64)
-        self.seat = np.where(place < tables, place, joined)
-        self.sizes = np.bincount(self.seat + np.repeat(self.begins, count), minlength=len(place))
-        self._parent()
+        return np.cumsum(count) - count
 
-    def _pull(self, at: np.ndarray) -> np.ndarray:
-        return (self.strength + self.sums.discount * self.context_tables[self.context[at]]) * self.chance[self.word[at]]
+    @property
+    def sizes(self) -> np.ndarray:
+        """A seating with these tables, by seats; sizes don't enter predictions, so the first table takes all it can."""
+        count, tables = self.customers[self.several], self.tables[self.several].astype(np.int64)
+        place = np.arange(int(count.sum())) - np.repeat(self.begins, count)
+        out = (place < np.repeat(tables, count)).astype(np.int64)
+        out[self.begins] += count - tables
+        return out
 
     def _parent(self) -> None:
         """Seat the tables of all contexts in the parent; probabilities of words there."""
         s = self.sums
         customers = np.bincount(self.word, self.tables, self.words).astype(np.int64)
-        everyone = max(float(s.tables.sum()), 1.0)
-        pull = np.full(self.words, (self.strength + s.parent_discount * s.parent_tables) / (s.words + 1))
-        self.parent_tables = _tables(self.draw, customers, pull, s.parent_discount)
-        self.chance = (np.maximum(customers - s.parent_discount * self.parent_tables, 0) + pull) / (self.strength + everyone)
-
-    def sweep(self, moves: int = MOVES) -> None:
-        """Take single customers from their tables and seat them again, one of each pair at a time."""
-        at, begins = self.several, self.begins
-        count = self.customers[at]
-        for _ in range(moves if len(at) else 0):
-            who = (self.draw.random(len(at)) * count).astype(np.int64)
-            left = self.seat[begins + who]
-            self.sizes[begins + left] -= 1
-            closed = self.sizes[begins + left] == 0
-            self.tables[at] -= closed
-            pull = self._pull(at)
-            opens = self.draw.random(len(at)) * (pull + count - 1 - self.sums.discount * self.tables[at]) < pull
-            opens |= self.tables[at] < 1
-            # A free table: the one just left, or one named like the customer; else no table is opened.
-            free = np.where(closed, left, who)
-            opens &= self.sizes[begins + free] == 0
-            seat = np.where(opens, free, -1)
-            waiting = np.flatnonzero(seat < 0)
-            for last in (*[False] * 12, True):
-                # Follow somebody else to their table, which counts less by the discount.
-                other = (who[waiting] + 1 + (self.draw.random(len(waiting)) * (count[waiting] - 1)).astype(np.int64)) % count[waiting]
-                table = self.seat[begins[waiting] + other]
-                size = self.sizes[begins[waiting] + table]
-                follow = (self.draw.random(len(waiting)) * size < size - self.sums.discount) | last
-                seat[waiting[follow]] = table[follow]
-                waiting = waiting[~follow]
-            self.seat[begins + who] = seat
-            self.sizes[begins + seat] += 1
-            self.tables[at] += opens
-            np.add.at(self.context_tables, self.context[at], opens.astype(np.float64) - closed)
+        # Other buckets' tables grow as those of this one do.
+        everyone = max(float(s.tables.sum()) * float(self.tables.sum()) / max(self.share, 1), 1.0)
+        even = np.full(self.words, 1 / (s.words + 1))
+        dishes = Dishes(self.draw, customers, s.parent_discount, self.strength, self.parent_logs)
+        rest = np.maximum(s.parent_tables - np.maximum(self.parent_tables, 1), 0)
+        self.parent_tables = tables = dishes.seat(np.minimum(customers, 1).astype(np.float64), rest, even, PARENT_STEPS)
+        pull = (self.strength + s.parent_discount * s.parent_tables) * even
+        self.chance = (np.maximum(customers - s.parent_discount * tables, 0) + pull) / (self.strength + everyone)
+
+    def sweep(self) -> None:
+        """Seat all customers of each pair again, given the tables of others, then the parent's."""
+        at = self.several
+        old = self.tables[at]
+        rest = np.maximum(self.context_tables[self.context[at]] - old, 0)
+        self.tables[at] = self.dishes.seat(old, rest, self.chance[self.word[at]])
+        np.add.at(self.context_tables, self.context[at], self.tables[at] - old)
         self._parent()
 
     def probabilities(self) -> np.ndarray:
@@ -310,7 +404,8 @@ def seated(buckets: DataFrame, sums: Totals, strength: float, sweeps: int = BURN
                 tables = np.bincount(found.context, found.tables, _CONTEXTS).astype(np.int64)
                 held = np.flatnonzero(tables)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(held, -1)), pa.array(np.append(tables[held], int(found.parent_tables.sum())))],
+                    [pa.array([*held.tolist(), -1, -2 - bucket]),
+                     pa.array([*tables[held].tolist(), int(found.parent_tables.sum()), int(found.tables.sum())])],
                     names=["context", "tables"],
                 )
 
@@ -321,7 +416,8 @@ def seated(buckets: DataFrame, sums: Totals, strength: float, sweeps: int = BURN
     context, t = got["context"].to_numpy(), got["tables"].to_numpy()
     tables = np.zeros(_CONTEXTS)
     tables[context[context >= 0]] = t[context >= 0]
-    return Totals(sums.customers, tables, sums.tokens, sums.words, float(t[context < 0].sum()), sums.discount, sums.parent_discount)
+    return Totals(sums.customers, tables, sums.tokens, sums.words, float(t[context == -1].sum()), sums.discount,
+                  sums.parent_discount, dict(zip((-2 - context[context < -1]).tolist(), t[context < -1].tolist())))
 
 
 def score_texts(
@@ -341,7 +437,8 @@ def score_texts(
     )
     buckets = written(gather(rows, count), "buckets")
     sums = totals(buckets)
-    sums = seated(buckets, sums, strength, burn_in)
+    for _ in range(burn_in):  # each with the totals of the one before
+        sums = seated(buckets, sums, strength, 1)
     smooth = np.log10(sums.tokens + 0.1 * (sums.words + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,6 +116,33 @@ def test_model_is_a_distribution(spark):
     assert 0.5 < total < 1.1
 
 
+def test_every_customer_is_seated_again():
+    """Tables of pairs follow their exact distribution, however many customers a pair has."""
+    for n, d, rest, chance in [(3, 0.5, 10, 0.1), (90, 0.7, 40, 0.05), (600, 0.3, 100, 0.05), (2000, 0.6, 500, 0.02)]:
+        front = np.cumsum(np.log(np.append(1 / chance, 1 + d * (rest + np.arange(1, n))) * chance))
+        weights = pitman_yor.stirling(n, d)[n, 1:] + front
+        weights = np.exp(weights - weights.max())
+        mean = (weights * np.arange(1, n + 1)).sum() / weights.sum()
+        dishes = pitman_yor.Dishes(np.random.default_rng(1), np.full(500, n), d, 1.0)
+        tables, got = np.ones(500), []
+        for _ in range(12):
+            tables = dishes.seat(tables, np.full(500, float(rest)), np.full(500, chance))
+            got.append(tables.mean())
+        assert np.mean(got[4:]) == pytest.approx(mean, rel=0.03)
+    # A pair of many customers forgets its tables within the sweeps of a run.
+    data = pitman_yor._pack(np.array([7, 9], "<u8"), np.array([1, 1], "<u4"), np.array([3, 3], "<u2"),
+                            np.array([5000, 4000], "<u4"), np.array([5000, 4000], "<u4"))
+    customers, tables = np.zeros(1 << pitman_yor.CONTEXT_BITS), np.zeros(1 << pitman_yor.CONTEXT_BITS)
+    customers[3], tables[3] = 9000, 2
+    found = pitman_yor.Seating(1, data, pitman_yor.Totals(customers, tables, 9000, 2, 2.0, 0.5, 0.5), 1.0)
+    drawn = []
+    for _ in range(200):
+        found.sweep()
+        drawn.append(found.tables.copy())
+    changed = (np.diff(np.array(drawn), axis=0) != 0).mean()
+    assert changed > 0.2 and np.mean(drawn) < 8
+
+
 def lines_by_brute_force(rows, least=2):
     first, out = {}, []
     named = sorted({(i, t) for i, t, *_ in rows if i is not None and t is not None})
