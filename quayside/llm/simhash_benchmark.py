@@ -8,6 +8,7 @@ Such windows get a 64-bit SimHash, weighted by counts. Fingerprints within
 `RADIUS` bits of an item's agree with it in one of `BLOCKS` blocks up to
 `RADIUS // BLOCKS` bits: items stand under all such values of each block, so an
 equi-join finds every item within the radius. The exact similarity decides.
+A document shorter than an item is one window as a whole, under the item's length.
 
 At similarity 0.75 a fingerprint bit differs with probability 0.17: 11 of 64 on
 average. The radius of 24 lies four standard deviations above.
@@ -107,17 +108,36 @@ def _tables(items: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
 def document_windows(
     docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """Windows of `docs` that may be similar to an item of their length, with fingerprints and shingles."""
+    """Windows of `docs` that may be similar to an item of their length, with fingerprints and shingles.
+
+    Documents shorter than an item, with enough shingles for it, are windows of the item's `n_words`.
+    """
     any_length, by_length, lengths = _tables(items)
     any_length, by_length = np.packbits(any_length), np.packbits(by_length)
 
     def holds(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
         return (table[slots >> np.uint64(3)] >> (7 - (slots & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
+    def windows(part, words, shingles: np.ndarray, starts: np.ndarray, per: int, n: int) -> pa.RecordBatch:
+        """Windows of `per` shingles each for items of `n` words."""
+        grid = shingles[starts[:, None] + np.arange(per)[None, :]]
+        rows = np.searchsorted(words.first, starts, side="right") - 1
+        return pa.RecordBatch.from_arrays(
+            [
+                part["doc_id"].take(pa.array(rows)),
+                pa.array((starts - words.first[rows]).astype(np.int32)),
+                pa.array(np.full(len(starts), n, dtype=np.int32)),
+                pa.array(fingerprints(grid)),
+                ragged(grid.ravel().view(np.int64), np.full(len(starts), per), pa.int64()),
+            ],
+            names=["doc_id", "begin", "n_words", "fingerprint", "shingles"],
+        )
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = words_of(part["text"], True)
             hashes, room = words.hashes(), words.room()
+            counts = np.diff(words.first)
             for k in sorted({min(size, n) for n in lengths}):
                 shingles = grams(hashes, k)
                 whole = room >= k
@@ -128,6 +148,14 @@ def document_windows(
                     mine = hit[holds(by_length, _slots(shingles[hit], n))]
                     per = n - k + 1  # shingles of a window
                     need = -(-2 * percent * per // (100 + percent))
+                    own = counts - k + 1  # shingles of a whole document
+                    least = -(-percent * (own + per) // (100 + percent))
+                    short = np.flatnonzero((counts < n) & (own >= np.maximum(least, 1)))
+                    begins = words.first[short]
+                    held = np.searchsorted(mine, begins + own[short]) - np.searchsorted(mine, begins)
+                    short = short[held >= least[short]]
+                    for size_ in np.unique(own[short]).tolist():
+                        yield windows(part, words, shingles, words.first[short[own[short] == size_]], size_, n)
                     # At a similar window's first hit, it has begun at most per - need places in front.
                     if len(mine) < need:
                         continue
@@ -138,18 +166,7 @@ def document_windows(
                     starts = starts[held >= need]
                     if not len(starts):
                         continue
-                    grid = shingles[starts[:, None] + np.arange(per)[None, :]]
-                    rows = np.searchsorted(words.first, starts, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part["doc_id"].take(pa.array(rows)),
-                            pa.array((starts - words.first[rows]).astype(np.int32)),
-                            pa.array(np.full(len(starts), n, dtype=np.int32)),
-                            pa.array(fingerprints(grid)),
-                            ragged(grid.ravel().view(np.int64), np.full(len(starts), per), pa.int64()),
-                        ],
-                        names=["doc_id", "begin", "n_words", "fingerprint", "shingles"],
-                    )
+                    yield windows(part, words, shingles, starts, per, n)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(find, _WINDOWS)
@@ -172,7 +189,8 @@ def contaminated(
     """`doc_id`, `item_id`, `begin` (word), `n_words`, `similarity`: the best window of each document and item.
 
     Of equally similar windows the first counts. A null or empty text matches
-    nothing, nor does an item without words; items shorter than a shingle must
+    nothing, nor does an item without words; a document shorter than the item is
+    compared as a whole. Items shorter than a shingle must
     occur as they are. Rows without an id are not reported. Repeated rows report once.
     """
     items = written(item_windows(items, size), "items")
@@ -194,14 +212,16 @@ def contaminated(
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             similarity = np.zeros(batch.num_rows)
-            for k, (x, y) in enumerate(zip(batch["x"], batch["y"])):
+            taken = np.zeros(batch.num_rows, dtype=np.int32)
+            for k, (n, x, y) in enumerate(zip(batch["n_words"].to_pylist(), batch["x"], batch["y"])):
+                taken[k] = len(x.values) + min(size, n) - 1  # fewer than the item's in a shorter document
                 x, nx = np.unique(x.values.to_numpy(), return_counts=True)
                 y, ny = np.unique(y.values.to_numpy(), return_counts=True)
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 both = np.minimum(nx[i], ny[j]).sum()
                 similarity[k] = both / (nx.sum() + ny.sum() - both)
             out = pa.RecordBatch.from_arrays(
-                [*[batch[c] for c in ("doc_id", "item_id", "begin", "n_words")], pa.array(similarity)],
+                [*[batch[c] for c in ("doc_id", "item_id", "begin")], pa.array(taken), pa.array(similarity)],
                 names=["doc_id", "item_id", "begin", "n_words", "similarity"],
             )
             yield out.filter(pa.array(100 * similarity >= percent))

@@ -426,3 +426,17 @@ def test_decontamination(spark, frame, corpus, clashing):
     assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {r[0] for r in want} | {None}
     assert simhash_benchmark.contaminated(docs, given.limit(0)).count() == 0
     assert simhash_benchmark.contaminated(frame([]), given).count() == 0
+
+
+def test_decontamination_of_short_documents(spark, frame):
+    """A document that is an item without some of its words is found, though no window of it is as long."""
+    body = [f"t{k}" for k in range(59)]
+    items = spark.createDataFrame([(1, " ".join(body)), (2, "a b c d e f"), (3, "x y")], "item_id long, text string")
+    rows = [(1, " ".join(body[:58])), (2, " ".join(body[1:])), (3, " ".join(body[:46])), (4, " ".join(body[:45])),
+            (5, " ".join([*body[:30], "other", *body[31:57]])), (6, "a b c d e"), (7, "x"), (8, " ".join(["t0"] * 58)), (9, " ".join(body))]
+    docs = frame([(i, t, "", "", 0) for i, t in rows])
+    got = simhash_benchmark.contaminated(docs, items).collect()
+    near = sorted((r.doc_id, r.item_id, r.begin, r.n_words, round(r.similarity, 4)) for r in got)
+    assert near == [(1, 1, 0, 58, round(54 / 55, 4)), (2, 1, 0, 58, round(54 / 55, 4)), (3, 1, 0, 46, round(42 / 55, 4)),
+                    (5, 1, 0, 57, round(48 / 60, 4)), (9, 1, 0, 59, 1.0)]
+    assert sorted(r.doc_id for r in simhash_benchmark.decontaminated(docs, items).collect()) == [4, 6, 7, 8]
