@@ -192,8 +192,11 @@ def contaminated(
     nothing, nor does an item without words; a document shorter than the item is
     compared as a whole. Items shorter than a shingle must
     occur as they are. Rows without an id are not reported. Repeated rows report once.
+    Items without an id count too, each text by itself, and are reported with a null.
     """
-    items = written(item_windows(items, size), "items")
+    # Ids are payload; a key that is never null, of id and shingles, brings items back.
+    keyed = item_windows(items, size).withColumn("item_key", F.xxhash64("item_id", "n_words", "shingles"))
+    items = written(keyed, "items")
     found = written(document_windows(docs.where("doc_id is not null"), items, size, percent).distinct(), "windows")
     blocks = [F.struct(F.lit(b).alias("block"), _block(b).alias("value")) for b in range(BLOCKS)]
     near = F.array(*[F.lit(v) for v in _near_values()])
@@ -203,10 +206,10 @@ def contaminated(
     )
     pairs = (
         asked.select("doc_id", "begin", "n_words", "fingerprint", "block", "value")
-        .join(offered.select("item_id", "n_words", "block", "value", F.col("fingerprint").alias("theirs")),
+        .join(offered.select("item_key", "n_words", "block", "value", F.col("fingerprint").alias("theirs")),
               ["n_words", "block", "value"])
         .where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("theirs"))) <= RADIUS)
-        .select("doc_id", "begin", "n_words", "item_id", "theirs").distinct()
+        .select("doc_id", "begin", "n_words", "item_key", "theirs").distinct()
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,23 +224,24 @@ def contaminated(
                 both = np.minimum(nx[i], ny[j]).sum()
                 similarity[k] = both / (nx.sum() + ny.sum() - both)
             out = pa.RecordBatch.from_arrays(
-                [*[batch[c] for c in ("doc_id", "item_id", "begin")], pa.array(taken), pa.array(similarity)],
-                names=["doc_id", "item_id", "begin", "n_words", "similarity"],
+                [*[batch[c] for c in ("doc_id", "item_id", "item_key", "begin")], pa.array(taken), pa.array(similarity)],
+                names=["doc_id", "item_id", "item_key", "begin", "n_words", "similarity"],
             )
             yield out.filter(pa.array(100 * similarity >= percent))
 
     met = pairs.join(
         found.select("doc_id", "begin", "n_words", F.col("shingles").alias("x")), ["doc_id", "begin", "n_words"]
     ).join(
-        items.select("item_id", "n_words", F.col("fingerprint").alias("theirs"), F.col("shingles").alias("y"))
-        .dropDuplicates(["item_id", "n_words", "theirs"]),
-        ["item_id", "n_words", "theirs"],
+        items.select("item_key", "item_id", "n_words", F.col("fingerprint").alias("theirs"), F.col("shingles").alias("y"))
+        .dropDuplicates(["item_key", "n_words", "theirs"]),
+        ["item_key", "n_words", "theirs"],
     )
-    similar = met.select("doc_id", "item_id", "begin", "n_words", "x", "y").mapInArrow(
-        verify, "doc_id long, item_id long, begin int, n_words int, similarity double"
+    similar = met.select("doc_id", "item_id", "item_key", "begin", "n_words", "x", "y").mapInArrow(
+        verify, "doc_id long, item_id long, item_key long, begin int, n_words int, similarity double"
     )
     best = F.max(F.struct("similarity", (-F.col("begin")).alias("begin"), "n_words")).alias("best")
-    return similar.groupBy("doc_id", "item_id").agg(best).select(
+    unnamed = F.when(F.col("item_id").isNull(), F.col("item_key"))
+    return similar.groupBy("doc_id", "item_id", unnamed.alias("_unnamed")).agg(best).select(
         "doc_id", "item_id", (-F.col("best.begin")).alias("begin"), "best.n_words", "best.similarity"
     )
 

@@ -440,3 +440,12 @@ def test_decontamination_of_short_documents(spark, frame):
     assert near == [(1, 1, 0, 58, round(54 / 55, 4)), (2, 1, 0, 58, round(54 / 55, 4)), (3, 1, 0, 46, round(42 / 55, 4)),
                     (5, 1, 0, 57, round(48 / 60, 4)), (9, 1, 0, 59, 1.0)]
     assert sorted(r.doc_id for r in simhash_benchmark.decontaminated(docs, items).collect()) == [4, 6, 7, 8]
+
+
+def test_decontamination_by_items_without_an_id(spark, frame):
+    one, two = (" ".join(f"{x}{k}" for k in range(20)) for x in "tu")
+    items = spark.createDataFrame([(None, one), (None, two), (None, one), (5, two)], "item_id long, text string")
+    docs = frame([(1, f"in front {one} behind", "", "", 0), (2, f"{two} {one}", "", "", 0), (3, "clean", "", "", 0)])
+    got = simhash_benchmark.contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id or 0, r.begin) for r in got) == [(1, 0, 2), (2, 0, 0), (2, 0, 20), (2, 5, 0)]
+    assert [r.doc_id for r in simhash_benchmark.decontaminated(docs, items).collect()] == [3]
