@@ -27,6 +27,7 @@ from quayside.session import tune, work_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = r"[^\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 2 << 20
 BATCH_BYTES = 6 << 20
 

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from quayside.llm import (
     fm_index,
     labelled,
+    lexical_search,
     line_runs,
     metric_tree,
     mixing,
     ngram_join,
     pitman_yor,
     simhash_benchmark,
+    source_divergence,
     subword_quality,
     token_records,
     toxicity_crf,
+    url_rules,
 )
 from quayside.llm.common import table, tuned
 
@@ -105,3 +108,23 @@ def line_runs_query(spark: SparkSession, folder: str) -> DataFrame:
 def language_model(spark: SparkSession, folder: str) -> DataFrame:
     """All documents scored by the hierarchical Pitman-Yor model of nine tenths of them."""
     return pitman_yor.score_texts(table(spark, folder, "documents"))
+
+
+@query("op11_hybrid_search", lexical_search.ORACLE)
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 documents of all that rank highest for each benchmark item."""
+    return lexical_search.top_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_source_divergence", source_divergence.ORACLE)
+def source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The word use of each source of all documents against its language and the other sources."""
+    return source_divergence.divergence(table(spark, folder, "documents"))
+
+
+@query("op13_url_rules", url_rules.ORACLE)
+def page_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages judged by rules on the hosts and paths of their URLs."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    found = url_rules.judged(pages, url_rules.rule_table(spark))
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
