@@ -13,8 +13,9 @@ from lake_queries.evolution import NEW_ORDERS
 from lake_queries.registry import query
 from quayside.functions import names, text
 from quayside.operators import access, profile
+from quayside.schemas import column_type
 from quayside.session import stable, work_dir
-from quayside.sources import catalog, documents, objects, registered, sinks
+from quayside.sources import catalog, documents, objects, registered, sinks, versions
 from quayside.streaming import permissions, refresh
 
 TRADES = T.StructType(
@@ -117,6 +118,57 @@ def latest_version(lake):
     return registered.scan_current(lake.spark, columns, marks, key, data)
 
 
+# Fixed values of the example: the columns of an object's three registered formats, and the delimiter of each.
+ORDER_FORMATS = {
+    0: ("|", [("order_id", "INT"), ("customer", "bigint"), ("price", "varchar(30)"), ("state", "char(1)")]),
+    1: (";", [("order_id", "bigint"), ("client", "bigint"), ("price", "double"), ("state", "char(1)")]),
+    2: ("|", [("order_id", "bigint"), ("client", "bigint"), ("price", "double"), ("status", "char(1)"), ("priority", "string")]),
+}
+
+
+@query(
+    "sch5_stored_versions",
+    """SELECT kind, o_orderkey AS order_id, o_custkey AS client, o_totalprice AS price, o_orderstatus AS status,
+      CASE WHEN year(o_orderdate) % 3 = 2 THEN o_orderpriority ELSE '' END AS priority, year(o_orderdate)::VARCHAR AS tyear
+    FROM orders, (VALUES ('ORC'), ('TXT')) kinds(kind)""",
+)
+def stored_versions(lake):
+    """Orders by year, stored under three formats: renamed, retyped and added columns, old versions left behind."""
+    root, year = work_dir(lake.spark, "formats"), F.year("o_orderdate")
+    rows = lake.orders.withColumn("year", year).withColumn("v", year % 3)
+    # Under the first format lie old rows of every year, which newer versions replace.
+    old = rows.where("v > 0").withColumn("o_orderkey", -F.col("o_orderkey")).withColumn("v", F.lit(0))
+    stored = stable(rows.withColumn("data", F.lit(1)).unionByName(old.withColumn("data", F.lit(0))))
+    source = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+    for version, (mark, columns) in ORDER_FORMATS.items():
+        part = stored.where(F.col("v") == version)
+        typed = [F.col(c).cast(column_type(kind)).alias(n) for c, (n, kind) in zip(source, columns)]
+        placed = part.select(*typed, F.concat(F.lit("data-v"), "data").alias("data"), F.col("year").alias("tyear"))
+        placed.write.partitionBy("data", "tyear").orc(f"{root}/ORC/schm-v{version}")
+        placed.select(F.concat_ws(mark, *[n for n, _ in columns]).alias("line"), "data", "tyear").write.partitionBy("data", "tyear").text(
+            f"{root}/TXT/schm-v{version}")
+    read = None
+    for kind in ("ORC", "TXT"):
+        key = ("NS", "ORDERS", "PRC", kind)
+        named = dict(zip(names.OBJECT_KEY, key))
+        own = [F.lit(v).alias(n) for n, v in named.items()]
+        data = stored.select("v", "data", "year").distinct().select(
+            *own, F.col("year").cast("string").alias("partition_value"), F.lit(None).cast("array<string>").alias("sub_partition_values"),
+            F.col("v").alias("format_version"), F.col("data").cast("long").alias("data_version"), F.lit("VALID").alias("status"),
+            F.format_string(f"{root}/{kind}/schm-v%d/data=data-v%d/tyear=%d", "v", "data", "year").alias("file_path"),
+        )
+        listed = [(*key, v, False, at, n, t, None) for v, (_, columns) in ORDER_FORMATS.items() for at, (n, t) in enumerate(columns)]
+        listed += [(*key, v, True, 0, "TYEAR", "string", None) for v in ORDER_FORMATS]
+        ids = ", ".join(f"{n} string" for n in names.OBJECT_KEY) + ", format_version int"
+        columns = lake.spark.createDataFrame(listed, f"{ids}, is_partition boolean, ordinal int, name string, type string, size string")
+        marks = lake.spark.createDataFrame(
+            [(*key, v, mark, "", "") for v, (mark, _) in ORDER_FORMATS.items()], f"{ids}, delimiter string, escape string, null_token string"
+        )
+        found = versions.scan_versions(lake.spark, columns, marks, key, data).withColumn("kind", F.lit(kind))
+        read = found if read is None else read.unionByName(found)
+    return read.withColumn("priority", F.coalesce("priority", F.lit("")))
+
+
 @query("src3_path_values", """SELECT c_custkey, c_nationkey::varchar AS trade_nation, c_mktsegment AS segment FROM customer""")
 def path_values(lake):
     """Versioned folders whose names spell the keys with hyphens."""

@@ -11,6 +11,8 @@ from quayside.functions.names import OBJECT_KEY
 from quayside.functions.partitions import short_list
 from quayside.operators import leases as lease_ops
 from quayside.operators import work
+from quayside.session import work_dir
+from quayside.streaming import leases as lease_stream_ops
 
 KEY = "namespace, object_name, usage_code, file_type"
 MAX_ATTEMPTS, RETRY_SECONDS, CLUSTER = 5, 120, "C1"
@@ -150,8 +152,8 @@ REQUESTS = f"""requests AS (
          concat('W', cast((id // 5) % 211 AS varchar)) AS worker_id FROM notifications)"""
 
 
-def lease_requests(lake):
-    return lake.notifications.select(
+def lease_requests(items):
+    return items.select(
         F.col("id").alias("seq"),
         *OBJECT_KEY,
         F.lit(0).alias("wf_type"),
@@ -160,9 +162,7 @@ def lease_requests(lake):
     )
 
 
-@query(
-    "wrk5_lease_merge",
-    f"""
+MERGED = f"""
 WITH {REQUESTS},
 live AS (SELECT * FROM leases WHERE expiration_dt >= TIMESTAMP '{AS_OF}'),
 asked AS (SELECT * FROM requests r WHERE seq = (SELECT max(seq) FROM requests x
@@ -181,13 +181,26 @@ SELECT {KEY}, cluster_id, worker_id, cast(wf_type AS int) AS wf_type, strftime(e
 UNION ALL
 SELECT {KEY}, cluster_id, worker_id, cast(wf_type AS int), '2001-06-01 00:05:00' FROM ext WHERE extended
 UNION ALL
-SELECT {KEY}, cluster_id, worker_id, cast(wf_type AS int), '2001-06-01 00:05:00' FROM ranked WHERE rn = 1""",
-    "notifications leases",
-)
-def lease_merge(lake):
-    merged = lease_ops.merged_leases(lake.leases, lease_requests(lake), AS_OF)
+SELECT {KEY}, cluster_id, worker_id, cast(wf_type AS int), '2001-06-01 00:05:00' FROM ranked WHERE rn = 1"""
+
+
+def shown_leases(leases):
     expires = F.date_format("expiration_dt", "yyyy-MM-dd HH:mm:ss").alias("expires")
-    return merged.select(*OBJECT_KEY, "cluster_id", "worker_id", "wf_type", expires)
+    return leases.select(*OBJECT_KEY, "cluster_id", "worker_id", "wf_type", expires)
+
+
+@query("wrk5_lease_merge", MERGED, "notifications leases")
+def lease_merge(lake):
+    return shown_leases(lease_ops.merged_leases(lake.leases, lease_requests(lake.notifications), AS_OF))
+
+
+@query("stm3_lease_stream", MERGED, "notifications leases")
+def lease_stream(lake):
+    """The same requests as a stream; its state begins with the leases there are."""
+    sink = work_dir(lake.spark, "lease-events")
+    asked = lease_requests(lake.streamed("notifications", "orders")).withColumn("requested_at", F.lit(AS_OF).cast("timestamp"))
+    lease_stream_ops.start_leases(asked, sink, work_dir(lake.spark, "leases"), lake.leases).awaitTermination()
+    return shown_leases(lease_stream_ops.leases_after(lake.spark.read.parquet(sink), lake.leases, AS_OF))
 
 
 @query(

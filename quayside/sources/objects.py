@@ -120,9 +120,16 @@ def scan_columnar(
 
 def path_value(path: Column, key: str) -> Column:
     """Value of a partition key in a file's path; the folder may spell the key
-    in either case and with hyphens."""
+    in either case and with hyphens, and its characters as `%xx`."""
     spelled = re.escape(key).replace("_", "[-_]")
-    return F.nullif(F.regexp_extract(path, f"(?i)/{spelled}=([^/]+)", 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(path, f"(?i)/{spelled}=([^/]+)", 1), F.lit(""))
+    # The path spells what the folder's name holds, and that name what the value holds.
+    return unescaped(unescaped(found))
+
+
+def unescaped(text: Column) -> Column:
+    """`%xx` as characters, where they are any; a plus stays."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
 def on_dates(df: DataFrame, date_column: str, partition_column: str | None, dates: list[str]) -> DataFrame:

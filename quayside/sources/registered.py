@@ -12,7 +12,8 @@ from quayside.schemas import column_type
 from quayside.sources.objects import scan_columnar, scan_delimited
 
 
-def _of(df: DataFrame, key: tuple[str, str, str, str]) -> DataFrame:
+def of_object(df: DataFrame, key: tuple[str, str, str, str]) -> DataFrame:
+    """Rows of one object."""
     for name, value in zip(OBJECT_KEY, key):
         df = df.where(F.col(name) == value)
     return df
@@ -27,7 +28,7 @@ def registered_schema(
     """
     data, parts = T.StructType(), T.StructType()
     # The columns of one object: as many rows as it is wide.
-    for c in _of(format_columns, key).orderBy("is_partition", "ordinal").collect():
+    for c in of_object(format_columns, key).orderBy("is_partition", "ordinal").collect():
         name = c["name"].lower()
         if c.is_partition:
             clash = name in data.fieldNames()
@@ -50,7 +51,7 @@ def scan_registered(
     if key[3].upper() == "ORC":
         read = scan_columnar(spark, paths, data, nested=True, path_keys=keys)
     else:
-        marks = _of(format_marks, key).first()
+        marks = of_object(format_marks, key).first()
         read = scan_delimited(
             spark, paths, data, marks.delimiter, marks.escape, marks.null_token, nested=True, path_keys=keys
         )
@@ -67,10 +68,11 @@ def scan_current(
     key: tuple[str, str, str, str],
     data: DataFrame,
 ) -> DataFrame:
-    """The newest valid version of each of an object's partitions.
+    """The newest valid version of each of an object's partitions, all stored in one format version.
 
     `data` is the registered data. The places to read are one per partition of one
-    object; Spark lists their files.
+    object; Spark lists their files. `versions.scan_versions` reads objects whose
+    format has changed.
     """
-    places = latest_valid(_of(data, key)).select("file_path").distinct()
+    places = latest_valid(of_object(data, key)).select("file_path").distinct()
     return scan_registered(spark, format_columns, format_marks, key, [r.file_path for r in places.toLocalIterator()])

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quayside.functions import names
 from quayside.session import stable
+from quayside.sources.objects import unescaped
 
 
 def create_database(spark: SparkSession, name: str) -> None:
@@ -65,7 +66,7 @@ def delete_rows(spark: SparkSession, table: str, gone: Column) -> str:
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
     if by:
         rows = spark.read.format(known["provider"]).options(**options).schema(schema).load(place)
-        folder = _unescaped(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
+        folder = unescaped(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
         # The folder of a partition spells its values as the catalog does.
         name = F.substring_index(folder, "/", -len(by))
         left = rows.select(name.alias("part_name"), folder.alias("location")).distinct()
@@ -79,17 +80,12 @@ def delete_rows(spark: SparkSession, table: str, gone: Column) -> str:
     return place
 
 
-def _unescaped(text: Column) -> Column:
-    """`%xx` as characters; a plus stays."""
-    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-
-
 def _spec(part_name: Column) -> Column:
     """`k=v/k2=v2` as a partition specification."""
     return F.array_join(
         F.transform(
             F.split(part_name, "/"),
-            lambda p: F.format_string("`%s`='%s'", F.substring_index(p, "=", 1), _unescaped(F.substring_index(p, "=", -1))),
+            lambda p: F.format_string("`%s`='%s'", F.substring_index(p, "=", 1), unescaped(F.substring_index(p, "=", -1))),
         ),
         ", ",
     )

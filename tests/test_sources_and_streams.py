@@ -287,6 +287,15 @@ def test_delete_from_partitioned_and_optioned_tables(spark, tmp_path):
     spark.sql("DROP TABLE cut_text")
 
 
+def test_values_in_paths_are_unescaped(spark, tmp_path):
+    given = ["a b", "O'Brien", "10:30", "50%", "x=y", "1+1", "é"]
+    spark.createDataFrame([(v, v) for v in given], "v string, part_key string").write.partitionBy("part_key").text(str(tmp_path / "o"))
+    (tmp_path / "o" / "part-key=5%").mkdir()
+    (tmp_path / "o" / "part-key=5%" / "a.txt").write_text("5%")
+    read = objects.scan_delimited(spark, str(tmp_path / "o"), T.StructType().add("v", "string"), "|", nested=True, path_keys=["part_key"])
+    assert sorted((r.v, r.part_key) for r in read.collect()) == sorted((v, v) for v in [*given, "5%"])
+
+
 def test_lease_history_in_a_stream(spark, tmp_path):
     beats = spark.createDataFrame(
         [(t,) for t in ("12:00:00", "12:01:00", "12:04:00", "12:30:00", "13:30:00")], "t string"
