@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lake_queries.registry import query
-from quayside.operators import evolution, profile
+from quayside.operators import evolution, profile, statistics
+from quayside.session import work_dir
 
 SIDES = """sides AS (SELECT coalesce(o.table_name, n.table_name) AS table_name, coalesce(o.is_partition, n.is_partition) AS is_partition,
     coalesce(o.ordinal, n.ordinal) AS ordinal, o.name AS old_name, o.type AS old_type, n.name AS new_name, n.type AS new_type
@@ -271,3 +272,44 @@ def estimated_profile(lake):
     )
     near = F.abs(F.col("distincts") - F.col("_exact")) <= 0.2 * F.col("_exact")
     return estimated.join(exact, [*by, "column_name"]).withColumn("distincts", near).drop("_exact")
+
+
+def states_sql(columns, by="", table="lineitem"):
+    """The profile with distinct counts up to a hundred, where a sketch holds them all."""
+    few = "CASE WHEN distincts <= 100 THEN distincts ELSE -1 END"
+    whole = "\nUNION ALL\n".join(profile_sql(c, k, by) + f" FROM {table}" + (f" GROUP BY {by.strip(',')}" if by else "") for c, k in columns)
+    return f"SELECT * REPLACE ({few} AS distincts) FROM (\n{whole})"
+
+
+def few_distincts(profiled):
+    return profiled.withColumn("distincts", F.when(F.col("distincts") <= 100, F.col("distincts")).otherwise(-1))
+
+
+@query("agg5_merged_profile", states_sql(LINE_COLUMNS))
+def merged_profile(lake):
+    """A table's profile from the states of its months, saved in two loads, the second of which replaces some."""
+    path, month = work_dir(lake.spark, "states"), F.date_format("l_shipdate", "yyyy-MM")
+    columns = [c for c, _ in LINE_COLUMNS]
+    dated = lake.lineitem.withColumn("month", month)
+    early = dated.where("month < '1996'")
+    statistics.save_states(statistics.column_states(early.where("l_linenumber < 3"), columns, ["month"]), path, ["month"])
+    statistics.save_states(statistics.column_states(dated, columns, ["month"]), path, ["month"])
+    merged = statistics.merged_states(statistics.saved_states(lake.spark, path, {"month": "string"}))
+    return few_distincts(shown(statistics.profile_of_states(merged)))
+
+
+ALL_EVENT_COLUMNS = [("event_id", "bound"), ("value", "bound"), *EVENT_COLUMNS]
+
+
+@query(
+    "agg5_weekday_profile",
+    "WITH e AS (SELECT *, dayofweek(ts) AS weekday, CASE WHEN value > 1 THEN value > 20 END AS big FROM events)\n"
+    + states_sql(ALL_EVENT_COLUMNS, "weekday,", "e"),
+)
+def weekday_profile(lake):
+    """States kept per day, merged to the days of the week."""
+    columns, path = [c for c, _ in ALL_EVENT_COLUMNS], work_dir(lake.spark, "states")
+    dated = lake.events.withColumn("tdate", F.col("ts").cast("date")).withColumn("big", F.when(F.col("value") > 1, F.col("value") > 20))
+    statistics.save_states(statistics.column_states(dated, columns, ["tdate"]), path, ["tdate"])
+    kept = statistics.saved_states(lake.spark, path, {"tdate": "date"}).withColumn("weekday", (F.dayofweek("tdate") - 1).cast("long"))
+    return few_distincts(shown(statistics.profile_of_states(statistics.merged_states(kept, ["weekday"]), ["weekday"]), ["weekday"]))

@@ -64,6 +64,21 @@ def latest_before(lake):
     return ops.latest_before(lake.registered_data, F.lit("1999-06-01").cast("date"))
 
 
+@query(
+    "ord5_latest_at_creation",
+    f"""WITH newest AS (SELECT {KEY}, partition_value, max(file_path) AS path FROM object_data GROUP BY ALL)
+    SELECT n.id, coalesce(o.partition_value, '') AS latest_value, coalesce(o.path, '') AS latest_path
+    FROM (SELECT *, strftime(date_created + INTERVAL 1 DAY, '%Y-%m-%d') AS upto FROM notifications) n
+    ASOF LEFT JOIN newest o ON o.namespace = n.namespace AND o.object_name = n.object_name AND o.usage_code = n.usage_code
+      AND o.file_type = n.file_type AND o.partition_value <= n.upto""",
+    "notifications object_data",
+)
+def latest_at_creation(lake):
+    """Each work item with the newest partition its object had when it was created."""
+    found = ops.latest_at(lake.notifications, lake.registered_data, F.col("date_created"))
+    return found.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("latest_value", "latest_path")])
+
+
 @query(
     "agg4_sub_partition_union",
     f"SELECT DISTINCT {KEY}, partition_value, coalesce(sub_value, '') AS sub_value FROM object_data",
@@ -153,6 +168,55 @@ def resubmission_filter(lake):
     )
 
 
+# Days spelled out, counted, and put together again where they follow each other.
+SPANS = f"""days AS (SELECT execution_id, d::DATE AS day, count(*) AS times FROM (
+    SELECT execution_id, unnest(CASE
+      WHEN contains(v, '__') AND split_part(v, '__', 2) < split_part(v, '__', 1)
+        THEN generate_series(cast(split_part(v, '__', 2) AS TIMESTAMP), cast(split_part(v, '__', 1) AS TIMESTAMP), INTERVAL 1 DAY)
+      WHEN contains(v, '__') THEN [cast(split_part(v, '__', 1) AS TIMESTAMP)]
+      WHEN contains(v, ',') THEN list_transform(string_split(v, ','), lambda x: try_cast(x AS TIMESTAMP))
+      ELSE [try_cast(v AS TIMESTAMP)] END) AS d FROM (SELECT execution_id, partition_values AS v FROM done))
+    WHERE d IS NOT NULL GROUP BY ALL),
+kinds AS (
+    SELECT execution_id, 'submitted' AS kind, day FROM days UNION ALL SELECT execution_id, 'overlapping', day FROM days WHERE times > 1
+    UNION ALL SELECT DISTINCT cast(a.id AS varchar), 'missing', cast(l.partition_value AS DATE) FROM latest l JOIN asked a USING ({KEY})
+    WHERE l.partition_value <> 'none' AND NOT EXISTS (
+      SELECT 1 FROM days d WHERE d.execution_id = cast(a.id AS varchar) AND d.day = cast(l.partition_value AS DATE)))"""
+
+
+@query(
+    "prt8_submitted_spans",
+    f"""WITH {LATEST}, {REQUESTS}, {SPANS}
+    SELECT execution_id, kind, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day
+    FROM (SELECT *, day - cast(row_number() OVER (PARTITION BY execution_id, kind ORDER BY day) AS INT) AS run FROM kinds)
+    GROUP BY execution_id, kind, run""",
+    "object_data notifications",
+)
+def submitted_spans(lake):
+    """What each back-load request has asked for so far, where it repeats itself, and what is left."""
+    asked = back_load_requests(lake).select(*OBJECT_KEY, F.col("id").cast("string").alias("execution_id"))
+    available = latest(lake).select(*OBJECT_KEY, "partition_value").join(asked, OBJECT_KEY).where("partition_value <> 'none'")
+    found = ops.submitted_spans(submitted_so_far(lake), available, ["execution_id"])
+    return found.select("execution_id", "kind", *[F.col(c).cast("string").alias(c) for c in ("first_day", "last_day")])
+
+
+@query(
+    "prt8_strict_resubmission",
+    f"""WITH {LATEST}, {REQUESTS}, {SPANS}
+    SELECT DISTINCT l.object_name, l.partition_value, cast(a.id AS varchar) AS execution_id,
+           EXISTS (SELECT 1 FROM days d WHERE d.execution_id = cast(a.id AS varchar) AND cast(d.day AS varchar) = l.partition_value)
+           OR EXISTS (SELECT 1 FROM done d WHERE d.execution_id = cast(a.id AS varchar) AND d.partition_values = l.partition_value) AS seen
+    FROM latest l JOIN asked a USING ({KEY})""",
+    "object_data notifications",
+)
+def strict_resubmission(lake):
+    """Partitions that a span or value of their request covers, and those that are left."""
+    asked = back_load_requests(lake).select(*OBJECT_KEY, F.col("id").cast("string").alias("execution_id"))
+    wanted = latest(lake).select(*OBJECT_KEY, "partition_value").distinct().join(asked, OBJECT_KEY)
+    found = ops.with_submitted(wanted, submitted_so_far(lake), strict=True)
+    return found.select("object_name", "partition_value", "execution_id", "seen")
+
+
 PLAN = f"""survivors AS (SELECT c.*, a.id FROM chunks c JOIN asked a USING ({KEY}) WHERE NOT EXISTS (
    SELECT 1 FROM seen s WHERE s.execution_id = cast(a.id AS varchar) AND s.partition_value = c.partition_value)),
 packed AS (SELECT {KEY}, id, chunk_no, min(partition_value) AS first, max(partition_value) AS last,

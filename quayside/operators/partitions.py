@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quayside.functions import partitions as pv
 from quayside.functions import workflow
 from quayside.functions.names import OBJECT_KEY
+from quayside.operators import spans
+from quayside.operators.asof import as_of_join
 from quayside.operators.runs import number_runs
 from quayside.session import stable
 
@@ -50,6 +52,14 @@ def latest_before(data: DataFrame, as_of_date: Column, keys: list[str] | None =
     )
 
 
+def latest_at(items: DataFrame, data: DataFrame, created: Column, keys: list[str] | None = None) -> DataFrame:
+    """`items` with `latest_value` and `latest_path`: the greatest partition value of their object up to and
+    including the day behind their own creation; of its files the greatest path. Null where there is none."""
+    entries = data.select(*(keys or OBJECT_KEY), F.col("partition_value").alias("latest_value"), F.col("file_path").alias("latest_path"))
+    limit = F.date_add(created.cast("date"), 1).cast("string")
+    return as_of_join(items, entries, keys or OBJECT_KEY, limit, F.col("latest_value"), ["latest_value", "latest_path"])
+
+
 def sub_partition_union(data: DataFrame) -> DataFrame:
     """Distinct sub-partition values of each partition, one row each.
 
@@ -126,16 +136,43 @@ def submitted_values(items: DataFrame, strict: bool = False) -> DataFrame:
     ).distinct()
 
 
+def with_submitted(chunks: DataFrame, items: DataFrame, strict: bool = False) -> DataFrame:
+    """`chunks` with `seen`: whether their partition value was requested under their execution id.
+
+    `strict` asks whether a requested span covers its day, without spelling out days;
+    values that are no dates must be equal.
+    """
+    if strict:
+        key = ["execution_id"]
+        day = F.col("partition_value").try_cast("date")
+        chunks = spans.inside(chunks, day, spans.value_spans(items, key), key, "_covered")
+        values = spans.other_values(items, key).distinct()
+    else:
+        chunks, values = chunks.withColumn("_covered", F.lit(False)), submitted_values(items)
+    found = chunks.join(values.withColumn("_named", F.lit(True)), ["execution_id", "partition_value"], "left")
+    return found.withColumn("seen", F.col("_covered") | F.coalesce("_named", F.lit(False))).drop("_covered", "_named")
+
+
 def without_submitted(chunks: DataFrame, items: DataFrame, strict: bool = False) -> DataFrame:
-    return chunks.join(
-        submitted_values(items, strict), ["execution_id", "partition_value"], "left_anti"
-    )
+    return with_submitted(chunks, items, strict).where("not seen").drop("seen")
 
 
 def already_submitted(chunks: DataFrame, items: DataFrame, strict: bool = False) -> DataFrame:
-    return chunks.join(
-        submitted_values(items, strict), ["execution_id", "partition_value"], "left_semi"
-    )
+    return with_submitted(chunks, items, strict).where("seen").drop("seen")
+
+
+def submitted_spans(items: DataFrame, available: DataFrame, keys: list[str]) -> DataFrame:
+    """Per `keys`, what items ask for as spans of days: `submitted`, `overlapping` where several do, and
+    `missing`, the days of `available` (`keys`, `partition_value`) that none asks for."""
+    asked = spans.value_spans(items, keys)
+    day = F.col("partition_value").try_cast("date")
+    days = available.select(*keys, day.alias("first_day"), day.alias("last_day")).distinct()
+    kinds = {"submitted": spans.covered(asked, keys), "overlapping": spans.covered(asked, keys, 2), "missing": spans.without(days, asked, keys)}
+    found = None
+    for kind, rows in kinds.items():
+        rows = rows.select(*keys, F.lit(kind).alias("kind"), *spans.SPAN)
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def back_load_plan(
@@ -159,18 +196,19 @@ def back_load_plan(
         "correlation_data",
         "cluster_name",
     )
-    available = stable(partition_weights(latest_valid(data.join(wanted, OBJECT_KEY, "left_semi"))))
+    # A partition and its sub-partitions are there if any version is valid; which one is newest changes no weight.
+    valid = data.where("status = 'VALID'").select(*PARTITION, "sub_partition_values")
+    available = stable(partition_weights(valid.join(wanted, OBJECT_KEY, "left_semi")))
     weighed = available.join(wanted.select(*OBJECT_KEY, "execution_id"), OBJECT_KEY).join(
         date_keyed, OBJECT_KEY, "left"
     )
-    seen = submitted_values(items, strict).withColumn("_seen", F.lit(True))
-    flagged = weighed.join(seen, ["execution_id", "partition_value"], "left").select(
+    flagged = with_submitted(weighed, items, strict).select(
         *OBJECT_KEY,
         "execution_id",
         "partition_value",
         "weight",
         F.coalesce("is_date", F.lit(False)).alias("is_date"),
-        F.col("_seen").isNull().alias("kept"),
+        (~F.col("seen")).alias("kept"),
     )
     group = [*OBJECT_KEY, "execution_id"]
     chunks = weighted_chunks(flagged, chunk_size, group, keep="kept")

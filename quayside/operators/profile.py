@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _ordered(kind: T.DataType) -> bool:
+def is_ordered(kind: T.DataType) -> bool:
     """Whether values of a type can be compared."""
     if isinstance(kind, T.ArrayType):
-        return _ordered(kind.elementType)
+        return is_ordered(kind.elementType)
     if isinstance(kind, T.StructType):
-        return all(_ordered(f.dataType) for f in kind.fields)
+        return all(is_ordered(f.dataType) for f in kind.fields)
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
@@ -35,7 +35,7 @@ def column_profile(
         c, kind = F.col(f"`{name}`"), types[name]
         text = isinstance(kind, (T.StringType, T.VarcharType, T.CharType))
         truth = isinstance(kind, T.BooleanType)
-        ordered = _ordered(kind)
+        ordered = is_ordered(kind)
         bounded = ordered and not text and not truth
         distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
         if not ordered:
