@@ -15,7 +15,7 @@ from quayside.functions import names, text
 from quayside.operators import access, profile
 from quayside.schemas import column_type
 from quayside.session import stable, work_dir
-from quayside.sources import catalog, documents, objects, registered, sinks, versions
+from quayside.sources import catalog, deletes, documents, objects, registered, sinks, versions
 from quayside.streaming import permissions, refresh
 
 TRADES = T.StructType(
@@ -465,7 +465,7 @@ def delete_rows(lake):
         name = fresh("thinned")
         sinks.create_table(lake.spark, name, rows.schema, work_dir(lake.spark, name), **how)
         sinks.insert(rows, name)
-        sinks.delete_rows(lake.spark, name, gone)
+        deletes.delete_rows(lake.spark, name, gone)
         kept = leaving(lake, lake.spark.table(name).select(F.lit(kind).alias("kind"), "o_orderkey", "o_orderstatus"), name)
         read = kept if read is None else read.unionByName(kept)
     return read

@@ -105,9 +105,14 @@ def canonical_partition(spec: Column) -> Column:
     return F.array_join(F.transform(F.split(kept, LIST), lower_key), "/")
 
 
+def quoted(value: Column) -> Column:
+    """A text as a literal of a statement."""
+    return F.concat(F.lit("'"), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
 def add_partition_text(table: Column, spec: Column, location: Column) -> Column:
     return F.format_string(
-        "ALTER TABLE `%s` ADD IF NOT EXISTS PARTITION %s LOCATION '%s';", table, spec, location
+        "ALTER TABLE `%s` ADD IF NOT EXISTS PARTITION %s LOCATION %s;", table, spec, quoted(location)
     )
 
 
@@ -116,7 +121,7 @@ def drop_partition_text(table: Column, spec: Column) -> Column:
 
 
 def move_partition_text(table: Column, spec: Column, location: Column) -> Column:
-    return F.format_string("ALTER TABLE `%s` PARTITION %s SET LOCATION '%s';", table, spec, location)
+    return F.format_string("ALTER TABLE `%s` PARTITION %s SET LOCATION %s;", table, spec, quoted(location))
 
 
 def is_date_key(partition_columns: Column, partition_key: Column) -> Column:

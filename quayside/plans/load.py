@@ -117,7 +117,7 @@ def load(
     )
     pairs = F.transform(
         F.arrays_zip(F.slice("keys", 1, F.size(values)).alias("k"), values.alias("v")),
-        lambda p: F.format_string("%s='%s'", p["k"], p["v"]),
+        lambda p: F.concat(p["k"], F.lit("="), pv.quoted(p["v"])),
     )
     spec = F.concat(F.lit("("), F.array_join(pairs, ", "), F.lit(")"))
     # A partition registered anew is dropped first, else it would keep its old place.
@@ -133,7 +133,7 @@ def load(
     placing = (
         selected.where(unkeyed).groupBy("id", "table_name").agg(F.max("file_path").alias("file_path"))
         .select(*_numbered(3, F.lit(0), F.format_string(
-            "alter table %s SET LOCATION '%s';", F.col("table_name"), F.col("file_path"))))
+            "alter table %s SET LOCATION %s;", F.col("table_name"), pv.quoted(F.col("file_path")))))
     )
     sub_keys = F.split("partition_key", ",")
     stats_items = items.withColumn(

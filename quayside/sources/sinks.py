@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions import names
-from quayside.session import stable
+from quayside.functions.partitions import quoted
 from quayside.sources.objects import unescaped
 
 
@@ -47,45 +43,15 @@ def create_table_as(df: DataFrame, name: str, location: str, limit: int | None =
     kept.write.option("path", location).saveAsTable(name)
 
 
-def delete_rows(spark: SparkSession, table: str, gone: Column) -> str:
-    """Delete by writing the kept rows beside the table's files and pointing the table there.
-
-    Format, options and partition columns are those of the catalog. Of a
-    partitioned table each partition is pointed to its new place, and one that has
-    become empty is dropped. A reader that started before goes on with the old
-    files. Gives the new place.
-    """
-    known = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {table} AS JSON").first()[0])
-    options = {k: v for k, v in known.get("storage_properties", {}).items() if k not in ("path", "serialization.format")}
-    by = known.get("partition_columns", [])
-    root = re.sub(r"-rows-[0-9a-f]{32}$", "", known["location"].rstrip("/"))
-    place = f"{root}-rows-{uuid.uuid4().hex}"
-    schema = spark.table(table).schema
-    kept = spark.table(table).where(~F.coalesce(gone, F.lit(False)))
-    kept.write.format(known["provider"]).options(**options).partitionBy(*by).save(place)
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
-    if by:
-        rows = spark.read.format(known["provider"]).options(**options).schema(schema).load(place)
-        folder = unescaped(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
-        # The folder of a partition spells its values as the catalog does.
-        name = F.substring_index(folder, "/", -len(by))
-        left = rows.select(name.alias("part_name"), folder.alias("location")).distinct()
-        placed = stable(left.withColumn("spec", _spec(F.col("part_name"))))
-        emptied = listed_partitions(spark, table).join(placed, "part_name", "left_anti").select(
-            _spec(F.col("part_name")).alias("spec"))
-        _drop_partitions(spark, table, emptied)
-        for part in placed.toLocalIterator():
-            spark.sql(f"ALTER TABLE {table} PARTITION ({part.spec}) SET LOCATION '{part.location}'")
-    spark.catalog.refreshTable(table)
-    return place
-
-
 def _spec(part_name: Column) -> Column:
-    """`k=v/k2=v2` as a partition specification."""
+    """`k=v/k2=v2`, as the catalog spells it, as a partition specification."""
     return F.array_join(
         F.transform(
             F.split(part_name, "/"),
-            lambda p: F.format_string("`%s`='%s'", F.substring_index(p, "=", 1), unescaped(F.substring_index(p, "=", -1))),
+            lambda p: F.concat(
+                F.lit("`"), F.substring_index(p, "=", 1), F.lit("`="),
+                quoted(unescaped(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p)))),
+            ),
         ),
         ", ",
     )
@@ -125,18 +91,19 @@ def append_items(items: DataFrame, path: str) -> None:
 def add_partitions(spark: SparkSession, table: str, parts: DataFrame, at_once: int = 200) -> int:
     """Point a table's partitions at their places. A repeat changes nothing.
 
-    `parts` has `spec`, such as `k='v', k2='v2'`, and `location`. They are
-    metadata of one load and go to the catalog in statements of bounded size.
+    `parts` has `spec`, such as `k='v', k2='v2'` (values as `quoted` spells them), and
+    `location`. They are metadata of one load and go to the catalog in statements of
+    bounded size.
     """
     done, batch = 0, []
 
     def send() -> None:
         dropped = ", ".join(f"PARTITION ({p.spec})" for p in batch)
-        added = " ".join(f"PARTITION ({p.spec}) LOCATION '{p.location}'" for p in batch)
+        added = " ".join(f"PARTITION ({p.spec}) LOCATION {p.location}" for p in batch)
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {dropped}")
         spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {added}")
 
-    for part in parts.select("spec", "location").toLocalIterator():
+    for part in parts.select("spec", quoted(F.col("location")).alias("location")).toLocalIterator():
         batch.append(part)
         if len(batch) == at_once:
             send()
@@ -176,5 +143,6 @@ def analyze(
 
 
 def repoint_table(spark: SparkSession, table: str, location: str) -> None:
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
+    escaped = location.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{escaped}'")
     spark.catalog.refreshTable(table)

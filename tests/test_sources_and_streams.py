@@ -175,16 +175,6 @@ def test_registration_requests(spark, tmp_path):
     assert [r.object_name for r in registration.drop_items(accepted).collect()] == ["OBJ_3"]
 
 
-def test_deleted_rows_leave_a_table(spark, tmp_path):
-    sinks.create_table_as(spark.range(10), "thinned_rows", str(tmp_path / "t"))
-    sinks.delete_rows(spark, "thinned_rows", F.col("id") >= 4)
-    assert spark.table("thinned_rows").count() == 4
-    sinks.delete_rows(spark, "thinned_rows", F.lit(True))
-    assert spark.table("thinned_rows").count() == 0
-    sinks.drop_object(spark, "thinned_rows")
-    assert not spark.catalog.tableExists("thinned_rows")
-
-
 EVENT = (
     "event_id int, event_type string, namespace string, object_name string, usage_code string, file_type string, "
     "partition_key string, partition_value string, new_status string, storage_name string"
@@ -268,25 +258,6 @@ def test_private_use_characters_and_escapes(spark, tmp_path):
     ]
 
 
-def test_delete_from_partitioned_and_optioned_tables(spark, tmp_path):
-    spark.sql("DROP TABLE IF EXISTS cut_parts")
-    schema = T.StructType().add("id", "long").add("kind", "string")
-    sinks.create_table(spark, "cut_parts", schema, str(tmp_path / "parts"), partition_columns=["kind"])
-    spark.range(10).select("id", F.when(F.col("id") < 5, "a b").otherwise("c").alias("kind")).write.insertInto("cut_parts")
-    place = sinks.delete_rows(spark, "cut_parts", F.col("id") >= 3)
-    assert [r.id for r in spark.table("cut_parts").orderBy("id").collect()] == [0, 1, 2]
-    assert spark.sql("SHOW PARTITIONS cut_parts").count() == 1
-    assert place.startswith(f"file:{tmp_path}/parts-rows-")
-    spark.sql("DROP TABLE cut_parts")
-    spark.sql("DROP TABLE IF EXISTS cut_text")
-    sinks.create_table(spark, "cut_text", schema, str(tmp_path / "text"), "csv", sep="|")
-    spark.range(4).select("id", F.lit("x").alias("kind")).write.insertInto("cut_text")
-    sinks.delete_rows(spark, "cut_text", F.col("id") == 0)
-    sinks.delete_rows(spark, "cut_text", F.col("id") == 1)
-    assert [tuple(r) for r in spark.table("cut_text").orderBy("id").collect()] == [(2, "x"), (3, "x")]
-    spark.sql("DROP TABLE cut_text")
-
-
 def test_values_in_paths_are_unescaped(spark, tmp_path):
     given = ["a b", "O'Brien", "10:30", "50%", "x=y", "1+1", "é"]
     spark.createDataFrame([(v, v) for v in given], "v string, part_key string").write.partitionBy("part_key").text(str(tmp_path / "o"))
