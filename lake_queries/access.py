@@ -371,6 +371,45 @@ def decisions(lake):
     return access.decisions(asked(lake), lake.grants, role_users(lake))
 
 
+# Roles of neighbouring suppliers in fours: each holds the next one, and in every second four the last holds the first.
+CHAINS = """SELECT a.role_id, b.role_name AS principal_name, 'ROLE' AS principal_type FROM roles a JOIN roles b
+      ON b.role_id = CASE WHEN a.role_id % 4 < 3 THEN a.role_id + 1 WHEN a.role_id % 8 = 7 THEN a.role_id - 3 END WHERE a.role_id > 0"""
+NESTED = f"""nested AS (SELECT role_id, principal_name, principal_type FROM role_map UNION ALL {CHAINS}),
+    links AS (SELECT DISTINCT r.role_name, n.principal_name AS member_role FROM nested n JOIN roles r USING (role_id)
+      WHERE principal_type = 'ROLE' AND principal_name IN (SELECT role_name FROM roles)),
+    reached AS (SELECT role_name, member_role FROM links UNION SELECT r.role_name, l.member_role FROM reached r JOIN links l ON l.role_name = r.member_role),
+    own AS (SELECT role_name, principal_name AS "user" FROM nested JOIN roles USING (role_id) WHERE principal_type = 'USER'),
+    role_users AS (SELECT role_name, "user" FROM own UNION SELECT r.role_name, o."user" FROM reached r JOIN own o ON o.role_name = r.member_role)"""
+
+
+def nested_role_map(lake):
+    """The role map with roles as members of roles, in chains and cycles."""
+    at = F.col("role_id")
+    held = F.when(at % 4 < 3, at + 1).when(at % 8 == 7, at - 3)
+    chains = lake.roles.where("role_id > 0").select("role_id", held.alias("held")).join(
+        lake.roles.select(at.alias("held"), F.col("role_name").alias("principal_name")), "held"
+    )
+    return lake.role_map.unionByName(chains.select("role_id", "principal_name", F.lit("ROLE").alias("principal_type")))
+
+
+@query("jn4_nested_role_members", f"WITH RECURSIVE {NESTED} SELECT * FROM role_users", "roles role_map")
+def nested_role_members(lake):
+    """Users of each role with those of the roles it holds, through chains and cycles."""
+    return access.all_role_members(lake.roles, nested_role_map(lake))
+
+
+@query(
+    "acl12_nested_decisions",
+    f"""WITH RECURSIVE {NAMED}, {ASKED}, {NESTED} SELECT a.*, EXISTS (SELECT 1 FROM grants g WHERE g.db_name = a.db_name AND g.tbl_name = a.tbl_name
+       AND g.privilege = 'SELECT' AND (g.principal_type = 'USER' AND g.principal = a."user" OR g.principal_type = 'ROLE' AND (g.principal = 'public'
+       OR EXISTS (SELECT 1 FROM role_users r WHERE r.role_name = g.principal AND r."user" = a."user")))) AS allowed FROM asked a""",
+    "databases tables grants roles role_map",
+)
+def nested_decisions(lake):
+    """Who may read what where roles hold roles."""
+    return access.decisions(asked(lake), lake.grants, access.all_role_members(lake.roles, nested_role_map(lake)))
+
+
 @query(
     "acl13_entitlements",
     f"""WITH {ROLE_USERS} SELECT DISTINCT "user", concat('FN_', p_type, '_', cast(p_size AS varchar)) AS function_name

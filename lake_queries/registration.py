@@ -192,6 +192,22 @@ def work_items_from_stream(lake):
     return lake.spark.read.parquet(sink).select(*ITEM)
 
 
+@query("stm1_work_items_without_repeats", MATCHED, "arrivals arrival_registrations")
+def work_items_without_repeats(lake):
+    """Every event delivered twice, half of them in another batch; items as from one delivery."""
+    source, sink = work_dir(lake.spark, "deliveries"), work_dir(lake.spark, "items")
+    told = lake.arrivals.join(lake.events.select("event_id", F.col("ts").cast("timestamp").alias("event_time")), "event_id")
+    again = told.where("event_id % 2 = 0")
+    told.unionByName(told.where("event_id % 2 = 1")).coalesce(1).write.parquet(f"{source}/batch=1")
+    again.coalesce(1).write.parquet(f"{source}/batch=2")
+    stream = lake.spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/batch=*")
+    # Deliveries of a whole history follow each other here, so all of it is remembered.
+    arrivals.start_arrivals(
+        stream, lambda: lake.arrival_registrations, sink, work_dir(lake.spark, "arrivals"), repeats_within="100 years"
+    ).awaitTermination()
+    return lake.spark.read.parquet(sink).select(*ITEM)
+
+
 @query(
     "stm4_storage_lifecycle_items",
     f"""SELECT m.event_id, m.notification_name, a.new_status FROM ({MATCHED}) m JOIN arrivals a USING (event_id)

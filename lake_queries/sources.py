@@ -15,8 +15,8 @@ from quayside.functions import names, text
 from quayside.operators import access, profile
 from quayside.schemas import column_type
 from quayside.session import stable, work_dir
-from quayside.sources import catalog, deletes, documents, objects, registered, sinks, versions
-from quayside.streaming import permissions, refresh
+from quayside.sources import catalog, deletes, documents, listing, objects, registered, sinks, versions
+from quayside.streaming import idle, permissions, refresh
 
 TRADES = T.StructType(
     [
@@ -403,6 +403,40 @@ def manifest_reconciliation(lake):
     )
 
 
+@query(
+    "agg6_storage_listing",
+    """WITH files AS (SELECT strftime(l_shipdate, '%Y-%m') AS tdate, concat('part-', l_returnflag, '.txt') AS file,
+        sum(length(cast(l_orderkey AS varchar)) + 1)::BIGINT AS size FROM lineitem GROUP BY ALL),
+    told AS (SELECT *, CASE WHEN tdate LIKE '%-04' AND file LIKE '%-R.txt' THEN NULL WHEN tdate LIKE '%-03' THEN size + 1 ELSE size END AS declared FROM files)
+    SELECT tdate, file, size AS file_size, coalesce(declared, -1) AS declared_size,
+      CASE WHEN declared IS NULL THEN 'extra' WHEN declared <> size THEN 'resized' ELSE 'same' END AS state FROM told
+    UNION ALL SELECT DISTINCT tdate, 'part-lost.txt', -1, 7, 'missing' FROM files
+    UNION ALL SELECT DISTINCT tdate, 'part-bare.txt', 0, 9, 'empty' FROM files""",
+)
+def storage_listing(lake):
+    """Files below an object's root by name and size against what was declared, some of it wrong; none is opened."""
+    place, keys = work_dir(lake.spark, "stored"), ["tdate", "file"]
+    file = F.concat(F.lit("part-"), "l_returnflag", F.lit(".txt"))
+    lines = lake.lineitem.select(
+        F.col("l_orderkey").cast("string").alias("line"), F.date_format("l_shipdate", "yyyy-MM").alias("tdate"), file.alias("file")
+    )
+    months = lines.select("tdate").distinct()
+    bare = months.select(F.lit(None).cast("string").alias("line"), "tdate", F.lit("part-bare.txt").alias("file"))
+    # One file in each folder; a null line leaves its file empty.
+    lines.repartition("tdate").write.partitionBy(*keys).text(place)
+    bare.write.mode("append").partitionBy(*keys).option("emptyValue", "").option("header", "false").csv(place)
+    sizes = lines.groupBy(*keys).agg(F.sum(F.length("line") + 1).alias("file_size"))
+    told = sizes.where(~(F.col("tdate").endswith("-04") & (F.col("file") == "part-R.txt"))).withColumn(
+        "file_size", F.col("file_size") + F.when(F.col("tdate").endswith("-03"), 1).otherwise(0)
+    )
+    for name, size in (("part-lost.txt", 7), ("part-bare.txt", 9)):
+        told = told.unionByName(months.select("tdate", F.lit(name).alias("file"), F.lit(size).cast("long").alias("file_size")))
+    found = listing.file_differences(listing.scan_listing(lake.spark, place, keys), told, keys)
+    return found.select(
+        *keys, *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("file_size", "declared_size")], "state"
+    )
+
+
 # Sinks ---------------------------------------------------------------------
 
 
@@ -616,3 +650,13 @@ def pending_refresh(lake):
     started.awaitTermination()
     return lake.spark.read.parquet(sink).drop("batch")
 
+
+@query("stm5_refresh_until_idle", work_queries.shown_sql(work_queries.LOAD_SQL), work_queries.WORK)
+def refresh_until_idle(lake):
+    """The same at an interval, by a query that stops when three triggers found nothing new."""
+    sink, checkpoint = work_dir(lake.spark, "pending"), work_dir(lake.spark, "refresh")
+    changes = lake.streamed("processing_log", "lineitem")
+    pending = lambda number: work_queries.listed(work_queries.eligible(lake))
+    idle.run_until_idle(lake.spark, lambda trigger: refresh.start_refresh(changes, pending, sink, checkpoint, **trigger), 1.0, 3)
+    return lake.spark.read.parquet(sink).drop("batch")
+

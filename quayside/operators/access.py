@@ -65,6 +65,34 @@ def role_members(roles: DataFrame, role_map: DataFrame) -> DataFrame:
     return users.join(roles, "role_id").select("role_name", F.col("principal_name").alias("user"))
 
 
+def nested_roles(roles: DataFrame, role_map: DataFrame) -> DataFrame:
+    """`role_name` with each role that is its member, directly or through others, as `member_role`.
+
+    Each round follows only the pairs found last, so there are as many rounds as the
+    longest chain has links; a cycle finds no new pairs and ends. A role in a cycle is
+    among its own members.
+    """
+    nested = role_map.where(F.col("principal_type") == "ROLE").join(roles, "role_id")
+    links = stable(nested.select("role_name", F.col("principal_name").alias("member_role")).distinct())
+    links = links.join(roles.select(F.col("role_name").alias("member_role")).distinct(), "member_role", "left_semi")
+    found = fresh = stable(links.select("role_name", "member_role"))
+    pair = ["role_name", "member_role"]
+    below = links.select(F.col("role_name").alias("member_role"), F.col("member_role").alias("deeper"))
+    while not fresh.isEmpty():
+        further = fresh.join(below, "member_role").select("role_name", F.col("deeper").alias("member_role")).distinct()
+        fresh = stable(further.join(found, pair, "left_anti"))
+        found = found.unionByName(fresh)
+    return found
+
+
+def all_role_members(roles: DataFrame, role_map: DataFrame) -> DataFrame:
+    """Users of each role, its own and those of the roles nested in it."""
+    own = role_members(roles, role_map)
+    inner = own.withColumnRenamed("role_name", "member_role")
+    inherited = nested_roles(roles, role_map).join(inner, "member_role").select("role_name", "user")
+    return own.unionByName(inherited).distinct()
+
+
 def table_privileges(databases: DataFrame, tables: DataFrame, grants: DataFrame) -> DataFrame:
     """Every table with its grants; a table without grants stays."""
     located = tables.join(databases.select("db_id", "db_name"), "db_id")

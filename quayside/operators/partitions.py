@@ -238,19 +238,16 @@ def selection_rule(wf_type: Column, partition_key: Column, values: Column) -> Co
     )
 
 
-def selected_partitions(
-    items: DataFrame, data: DataFrame, as_of_date: Column, carry: list[str] | None = None
-) -> DataFrame:
-    """Registered partitions each work item adds, by its selection rule, with its columns `carry`.
+def _ruled(items: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Work items with the rule that looks up their partitions."""
+    rule = selection_rule(F.col("wf_type"), F.col("partition_key"), F.col("partition_values"))
+    return items.withColumn("rule", rule).select(
+        "id", *OBJECT_KEY, "rule", "partition_values", F.struct(F.lit(0), *(carry or [])).alias("_carried")
+    )
 
-    `data` holds the latest valid partitions. Every rule comes down to partition
-    values and a leading part of the sub-partition values, so one equi-join
-    serves all and no rule turns into a scan over all pairs of an object.
-    """
-    ruled = items.withColumn(
-        "rule", selection_rule(F.col("wf_type"), F.col("partition_key"), F.col("partition_values"))
-    ).select("id", *OBJECT_KEY, "rule", "partition_values", F.struct(F.lit(0), *(carry or [])).alias("_carried"))
-    base = data.select(*PARTITION, "sub_partition_values", "file_path")
+
+def _named(ruled: DataFrame) -> DataFrame:
+    """Partition values that items name, with a leading part of the sub-partition values as `_path`."""
     given = pv.sub_values(F.col("partition_values"))
     nested = F.col("rule") == "sub-partitions"
     values = (
@@ -259,7 +256,7 @@ def selected_partitions(
         .otherwise(F.array_distinct(pv.expanded_values(F.col("partition_values"))))
     )
     path = F.array_join(F.slice(given, 2, F.greatest(F.size(given) - 1, F.lit(0))), ":")
-    named = ruled.where("rule <> 'latest'").select(
+    return ruled.where("rule <> 'latest'").select(
         "id",
         *OBJECT_KEY,
         "rule",
@@ -267,17 +264,41 @@ def selected_partitions(
         F.when(nested, path).otherwise(F.lit("")).alias("_path"),
         "_carried",
     )
-    singletons = ruled.where("rule = 'latest'")
+
+
+def _findable(base: DataFrame) -> DataFrame:
+    """Partitions under every leading part of their sub-partition values.
+
+    Fewer values than levels select every partition below them.
+    """
+    subs = F.coalesce("sub_partition_values", F.array().cast("array<string>"))
+    leading = F.transform(F.sequence(F.lit(0), F.size(subs)), lambda n: F.array_join(F.slice(subs, 1, n), ":"))
+    return base.withColumn("_path", F.explode(leading))
+
+
+def unavailable_partitions(items: DataFrame, data: DataFrame) -> DataFrame:
+    """`id`, `rule` and `partition_value` of what items name and no registered data has; sub-partitions behind a colon."""
+    wanted = _named(_ruled(items))
+    lacking = wanted.join(_findable(data.select(*PARTITION, "sub_partition_values")), [*PARTITION, "_path"], "left_anti")
+    value = F.when(F.col("_path") == "", F.col("partition_value")).otherwise(F.concat_ws(":", "partition_value", "_path"))
+    return lacking.select("id", "rule", value.alias("partition_value"))
+
+
+def selected_partitions(
+    items: DataFrame, data: DataFrame, as_of_date: Column, carry: list[str] | None = None
+) -> DataFrame:
+    """Registered partitions each work item adds, by its selection rule, with its columns `carry`.
+
+    `data` holds the latest valid partitions. Every rule comes down to partition
+    values and a leading part of the sub-partition values, so one equi-join
+    serves all and no rule turns into a scan over all pairs of an object.
+    """
+    ruled, base = _ruled(items, carry), data.select(*PARTITION, "sub_partition_values", "file_path")
+    named, singletons = _named(ruled), ruled.where("rule = 'latest'")
     newest = latest_before(base.join(singletons, OBJECT_KEY, "left_semi"), as_of_date)
     latest = singletons.join(newest, OBJECT_KEY).withColumn("_path", F.lit(""))
     wanted = named.unionByName(latest.select(*named.columns))
-    # Fewer values than levels select every partition below them, so each
-    # partition is found by every leading part of its sub-partition values.
-    subs = F.coalesce("sub_partition_values", F.array().cast("array<string>"))
-    leading = F.transform(
-        F.sequence(F.lit(0), F.size(subs)), lambda n: F.array_join(F.slice(subs, 1, n), ":")
-    )
-    found = wanted.join(base.withColumn("_path", F.explode(leading)), [*PARTITION, "_path"])
+    found = wanted.join(_findable(base), [*PARTITION, "_path"])
     return found.select(
         "id", *PARTITION, "rule", "sub_partition_values", "file_path", *[F.col(f"_carried.{c}").alias(c) for c in carry or []]
     )

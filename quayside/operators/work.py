@@ -127,8 +127,8 @@ def eligible_work(
     wanted = items.where(of_class(F.col("wf_type"), stats))
     tried = with_attempts(wanted, log)
     due = tried.where(
-        F.col("last_outcome").isNull()
-        | ((F.col("last_outcome") != "Y") & retry_due(as_of, max_attempts, retry_seconds))
+        (F.col("attempts") == 0)
+        | (~F.coalesce(F.col("last_outcome") == "Y", F.lit(False)) & retry_due(as_of, max_attempts, retry_seconds))
     )
     free = not_leased_elsewhere(due, leases, cluster_id, stats, match_on)
     return with_priority(free, workflows)
@@ -194,7 +194,7 @@ def backlog(items: DataFrame, log: DataFrame, *, max_attempts: int, stats: bool
     """Items never attempted, or failed last with attempts left."""
     tried = with_attempts(items.where(of_class(F.col("wf_type"), stats)), log)
     return tried.where(
-        F.col("last_outcome").isNull()
+        (F.col("attempts") == 0)
         | ((F.col("last_outcome") == "N") & (F.col("attempts") < max_attempts))
     )
 

@@ -26,10 +26,18 @@ NAMED_BY = ("correlation_data",)
 
 @dataclass(frozen=True)
 class Load:
-    """`statements` by `id`, `step`, `ordinal`; `stats` as new work items."""
+    """`statements` by `id`, `step`, `ordinal`; `stats` as new work items; `left_out` says what no statement adds.
+
+    `left_out` has `id`, `table_name`, `partition_value`, `sub_partition_values` and `reason`.
+    """
 
     statements: DataFrame
     stats: DataFrame
+    left_out: DataFrame
+
+
+# Why a partition gets no statement.
+NO_FORMAT, TOO_DEEP, NO_DATA = "no registered format", "more levels than keys", "no registered data"
 
 
 def _numbered(step: int, ordinal: Column, statement: Column) -> list[Column]:
@@ -125,10 +133,17 @@ def load(
         F.struct(F.lit(0).alias("at"), pv.drop_partition_text(F.col("table_name"), spec).alias("text")),
         F.struct(F.lit(1).alias("at"), pv.add_partition_text(F.col("table_name"), spec, F.col("file_path")).alias("text")),
     ))
+    reason = F.when(F.col("keys").isNull(), NO_FORMAT).when(F.size("keys") < F.size(values), TOO_DEEP)
+    judged = stable(selected.where(~unkeyed).join(registered, "_own", "left").withColumn("reason", reason))
     adding = (
-        selected.where(~unkeyed).join(registered, "_own").where(F.size("keys") >= F.size(values))
-        .select("id", both.alias("s")).select(*_numbered(3, F.col("s.at"), F.col("s.text")))
+        judged.where("reason is null").select("id", both.alias("s")).select(*_numbered(3, F.col("s.at"), F.col("s.text")))
+    )
+    lacking = ops.unavailable_partitions(items, data).join(named.select("id", "table_name"), "id").select(
+        "id", "table_name", "partition_value", F.lit(None).cast("array<string>").alias("sub_partition_values"), F.lit(NO_DATA).alias("reason")
     )
+    left_out = judged.where("reason is not null").select(
+        "id", "table_name", "partition_value", "sub_partition_values", "reason"
+    ).unionByName(lacking)
     # A table without partitions has one place: of several files the last.
     placing = (
         selected.where(unkeyed).groupBy("id", "table_name").agg(F.max("file_path").alias("file_path"))
@@ -142,4 +157,5 @@ def load(
     return Load(
         opening.unionByName(schema).unionByName(anew).unionByName(dropping).unionByName(adding).unionByName(placing),
         ops.stats_requests(stats_items),
+        left_out,
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quayside.functions import workflow
+from quayside.streaming.repeats import without_repeats
 from quayside.streaming.sinks import write_batch
 
 # The two kinds of events.
@@ -68,13 +69,19 @@ def start_arrivals(
     registrations: Callable[[], DataFrame],
     sink: str,
     checkpoint: str,
+    repeats_within: str | None = None,
+    event_time: str = "event_time",
     **trigger,
 ) -> StreamingQuery:
     """Append work items for a stream of events.
 
     Registrations are read anew for every batch, so a change takes effect with
-    the next one. A batch that runs again replaces its own output.
+    the next one. A batch that runs again replaces its own output. With
+    `repeats_within`, an event that is delivered again within that time of its
+    `event_time` counts once, in whatever batch it comes.
     """
+    if repeats_within is not None:
+        events = without_repeats(events, ["event_id"], event_time, repeats_within)
 
     def take(batch: DataFrame, number: int) -> None:
         write_batch(work_items(batch, registrations()), sink, number)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quayside.operators import access
+from quayside.streaming.repeats import without_repeats
 from quayside.streaming.sinks import write_batch
 
 # Fields of the message a permission change sends.
@@ -51,6 +52,9 @@ def start_permission_sync(
     checkpoint: str,
     databases: Callable[[], DataFrame] | None = None,
     schema_root: str = "",
+    repeats_within: str | None = None,
+    message_key: str = "message_id",
+    event_time: str = "event_time",
     **trigger,
 ) -> StreamingQuery:
     """Write the grant changes each batch of messages calls for.
@@ -59,8 +63,11 @@ def start_permission_sync(
     changed users lack go to `<sink>-schemas`.
 
     A change is judged by the permissions as they are now, so several messages
-    on one pair in a batch need one answer.
+    on one pair in a batch need one answer. With `repeats_within`, a message whose
+    `message_key` was seen within that time of its `event_time` is not answered again.
     """
+    if repeats_within is not None:
+        messages = without_repeats(messages, [message_key], event_time, repeats_within)
 
     def take(batch: DataFrame, number: int) -> None:
         changes = parsed_messages(batch).distinct()

@@ -21,11 +21,11 @@ SECURITY = (
 DAY = T.StructType().add("tdate", "string")
 LINES = {
     "2017-08-01": {
-        "a.txt": "2017-08-01,202.29,203.31,201.76,203.18,2015108,MMM\n2017-08-01,62.26,62.48,61.52,62.4,4484472,ATVI",
-        "b.txt": "2017-08-01,70.03,70.84,69.85,70.38,6681693,ABBV",
+        "a.txt": "2017-08-01,11.5,12.25,11.0,12.0,1500,QQA\n2017-08-01,40.75,41.0,39.5,40.5,72000,QQB",
+        "b.txt": "2017-08-01,8.25,8.5,8.0,8.125,31000,QQC",
     },
     "2017-08-02": {
-        "a.txt": "2017-08-02,203.19,205.6,202.82,205.41,2029646,MMM\n2017-08-02,62.6,62.65,60.43,61.45,5559231,ATVI\n",
+        "a.txt": "2017-08-02,12.0,13.5,11.75,13.0,1700,QQA\n2017-08-02,40.5,42.0,40.25,41.75,69000,QQB\n",
     },
 }
 
@@ -51,21 +51,21 @@ def lines(df, delimiter=","):
 
 def test_date_and_symbol_query(spark, security):
     found = scan(spark, security).where(
-        "date = date'2017-08-01' and (symbol = 'MMM' or symbol = 'ABBV')"
+        "date = date'2017-08-01' and (symbol = 'QQA' or symbol = 'QQC')"
     )
     assert sorted(lines(found)) == [
-        "2017-08-01,202.29,203.31,201.76,203.18,2015108,MMM,2017-08-01",
-        "2017-08-01,70.03,70.84,69.85,70.38,6681693,ABBV,2017-08-01",
+        "2017-08-01,11.5,12.25,11.0,12.0,1500,QQA,2017-08-01",
+        "2017-08-01,8.25,8.5,8.0,8.125,31000,QQC,2017-08-01",
     ]
 
 
 def test_dates_in_order_query(spark, security):
     found = scan(spark, security).where(
-        "date in (date'2017-08-01', date'2017-08-02') and symbol = 'ATVI'"
+        "date in (date'2017-08-01', date'2017-08-02') and symbol = 'QQB'"
     ).orderBy("date")
     assert lines(found, "|") == [
-        "2017-08-01|62.26|62.48|61.52|62.4|4484472|ATVI|2017-08-01",
-        "2017-08-02|62.6|62.65|60.43|61.45|5559231|ATVI|2017-08-02",
+        "2017-08-01|40.75|41.0|39.5|40.5|72000|QQB|2017-08-01",
+        "2017-08-02|40.5|42.0|40.25|41.75|69000|QQB|2017-08-02",
     ]
 
 
