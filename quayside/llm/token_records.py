@@ -139,8 +139,10 @@ class Encoder:
     """Token ids of texts, with the library asked once for each distinct piece.
 
     The vocabulary's pattern never joins what stands on both sides of a single
-    white space between other characters: the white space begins the next match.
-    So texts are cut there, and ids of the pieces in a row are the ids of the text.
+    white space between characters that are none: the white space begins the next
+    match. So texts are cut there, and ids of the pieces in a row are the ids of the
+    text. Names of special tokens in a text are what the library makes of them; a
+    vocabulary whose names hold white space is asked text by text.
     """
 
     KEPT = 1 << 20  # pieces remembered between slices
@@ -149,7 +151,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = any(c.isspace() for t in added for c in t)
         self.width = 2 if self.library.get_vocab_size() <= 65536 else 4
         # A byte-level token has one character for each byte.
         self.bytes = np.zeros(self.library.get_vocab_size(), dtype=np.int64)
@@ -162,7 +165,9 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one behind the other, and how many each row has."""
-        pieces = _pieces(column)
+        if self.whole:
+            return self._each(column)
+        pieces, dark = _pieces(column)
         keys, checks = pieces.hashes(1), pieces.hashes(2)
         distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if (checks[at][inverse] != checks).any():  # two pieces of one hash: each by itself
@@ -173,7 +178,7 @@ class Encoder:
             return self._each(column)
         fresh = at[~known]
         if len(fresh):
-            self._learn(keys[fresh], checks[fresh], *self._ask(pieces, fresh))
+            self._learn(keys[fresh], checks[fresh], *self._ask(pieces, dark, fresh))
             place = np.searchsorted(self.keys, distinct)
         begins = np.cumsum(self.counts) - self.counts
         sizes = self.counts[place][inverse]
@@ -181,15 +186,14 @@ class Encoder:
         sums = np.concatenate([[0], np.cumsum(sizes)])
         return flat, np.diff(sums[pieces.first])
 
-    def _ask(self, pieces: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ask(self, pieces: Words, dark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some pieces, and how many each has.
 
         Pieces that begin and end as a cut does are put together into one text: the
         bytes that each id stands for tell where a piece ends.
         """
         raw, starts, ends = pieces.data, pieces.starts[at], pieces.ends[at]
-        plain = (ends - starts > 1) & (raw[starts] <= 0x20) & (raw[ends - 1] > 0x20)
-        plain &= raw[np.minimum(starts + 1, ends - 1)] > 0x20
+        plain = (ends - starts > 1) & dark[ends - 1] & dark[np.minimum(starts + 1, ends - 1)]
         plain &= (raw[starts] == 0x20) | ((raw[starts] >= 0x09) & (raw[starts] <= 0x0D))
         counts = np.zeros(len(at), dtype=np.int64)
         lists = self._library([raw[s:e].tobytes().decode() for s, e in zip(starts[~plain].tolist(), ends[~plain].tolist())])
@@ -234,11 +238,30 @@ def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sums[-1]) if len(sums) else 0) + np.repeat(begins - (sums - sizes), sizes)
 
 
-def _pieces(column: pa.Array) -> Words:
-    """Texts cut in front of each single white space that has other characters on both sides."""
+# The white space of Unicode beyond ASCII, as UTF-8.
+_WHITE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _dark(data: np.ndarray) -> np.ndarray:
+    """Bytes of characters that are neither white space, of all Unicode, nor control characters."""
+    dark = data > 0x20
+    if not (data >= 0x80).any():
+        return dark
+    for size in (2, 3):
+        codes = sorted(int.from_bytes(w, "big") for w in _WHITE if len(w) == size)
+        first = np.flatnonzero(np.isin(data[: len(data) - size + 1], [c >> 8 * (size - 1) for c in codes]))
+        code = sum(data[first + k].astype(np.int64) << 8 * (size - 1 - k) for k in range(size))
+        white = first[np.isin(code, codes)]
+        for k in range(size):
+            dark[white + k] = False
+    return dark
+
+
+def _pieces(column: pa.Array) -> tuple[Words, np.ndarray]:
+    """Texts cut in front of each single white space that has other characters on both sides; which bytes are dark."""
     words = words_of(column, apart=np.zeros(256, dtype=bool))
     data, rows = words.data[:-7], len(words.first) - 1
-    dark = data > 0x20
+    dark = _dark(data)
     cut = np.zeros(len(data), dtype=bool)
     white = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
     if len(data) > 2:
@@ -251,7 +274,7 @@ def _pieces(column: pa.Array) -> Words:
     sizes = np.zeros(rows, dtype=np.int64)
     sizes[np.diff(words.first) > 0] = words.ends - words.starts
     np.cumsum(sizes, out=heads[1:])
-    return Words(words.data, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, heads))
+    return Words(words.data, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, heads)), dark
 
 
 @functools.cache
