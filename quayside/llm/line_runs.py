@@ -21,27 +21,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import written
+from quayside.llm.common import WORD, written
 from quayside.operators.ordering import numbered
 
-LEAST_LINES = 2
+LEAST_LINES = 1
 
 _PLACE = ["doc_id", "text_key", "pos"]
 
 
-def _named(rows: DataFrame, key: list[str]) -> DataFrame:
+def _named(rows: DataFrame, key: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose `key` occurs more than once, with its rank as `name` and its first place as `first`."""
     groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*_PLACE)).alias("first")).where("_n > 1")
     ranked = numbered(groups.drop("_n"), [F.col(k) for k in key], "name")
-    return written(rows.join(ranked, key).select(*_PLACE, "name", "first"), "names")
+    return written(rows.join(ranked, key).select(*_PLACE, "name", "first", *carry), "names")
 
 
 def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     """For k = 0, 1, ...: suffixes whose first 2^k lines occur more than once, with `name` and `first`.
 
-    `lines` has `doc_id`, `text_key`, `pos` and the line's hashes `h1`, `h2`.
+    `lines` has `doc_id`, `text_key`, `pos`, the line's hashes `h1`, `h2`, and `worded`,
+    which the first level keeps.
     """
-    levels = [_named(lines, ["h1", "h2"])]
+    levels = [_named(lines, ["h1", "h2"], ("worded",))]
     while not levels[-1].isEmpty():
         step = 1 << (len(levels) - 1)
         ahead = Window.partitionBy("doc_id", "text_key").orderBy("pos").rangeBetween(step, step)
@@ -57,18 +58,22 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     `end` (lines), and where the original begins: `from_id`, `from_key`,
     `from_begin`. What comes first is the smaller id, then the smaller line number.
     Runs of different originals may overlap. Lines end at line feeds; an empty line
-    is a line. Null ids and null texts take no part.
+    is a line, but by itself, as any line without a word, it is no run. Null ids and
+    null texts take no part.
     """
     if least < 1 or least & (least - 1):
         raise ValueError("least must be a power of two")
     lines = (
         docs.where("doc_id is not null and text is not null")
         .select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+        .select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
+                F.rlike("line", F.lit(WORD)).alias("worded"))
     )
     levels = suffix_levels(lines)[least.bit_length() - 1 :]
     later = None
     for k, level in enumerate(levels):
+        # Only the first level has the column; a copied line without words goes within longer runs.
+        level = level.where("worded") if least << k == 1 else level
         rows = level.where(F.struct(*_PLACE) != F.col("first")).select(
             *_PLACE, "first", F.lit(least << k).cast("long").alias("length"))
         later = rows if later is None else later.unionByName(rows)
@@ -100,20 +105,32 @@ def line_dedup(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "text_key", F.xxhash64("text")
     )
+    # Runs of one text that meet or overlap become one, so that what is left lies between two neighbours.
+    along = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end")
+    opens = F.coalesce((F.col("begin") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    apart = (
+        repeated_runs(rows, least).select("doc_id", "text_key", "begin", "end").withColumn("_opens", opens)
+        .withColumn("_run", F.sum("_opens").over(along))
+        .groupBy("doc_id", "text_key", "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    )
     spans = written(
-        repeated_runs(rows, least).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")),
-        "line-spans",
+        apart.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans")), "line-spans"
     )
     plain = rows.select(
         "doc_id", "text_key", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"),
     ).withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("spans", lambda s: (s["begin"] <= i) & (i < s["end"])))
+    fronts = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
+    backs = F.concat(F.col("spans.begin"), F.array(F.size(lines).cast("long")))
+    between = F.transform(
+        F.arrays_zip(fronts.alias("a"), backs.alias("b")), lambda g: F.slice("_lines", (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int"))
+    )
     cut = written(
         # Sorted and merged at any size: the spans grow with the documents.
-        rows.join(spans.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).withColumn("_kept", kept).select(
-            "doc_id", "text_key", (F.size(lines) - F.size("_kept")).cast("long").alias("n_removed"),
+        rows.join(spans.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).withColumn("_lines", lines)
+        .withColumn("_kept", F.flatten(between)).select(
+            "doc_id", "text_key", (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
             F.sha2(F.array_join("_kept", "\n"), 256).alias("cut_sha256"),
         ), "cut-lines",
     )
@@ -126,13 +143,14 @@ def line_dedup(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
 ORACLE = """
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
-pairs AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM lines),
--- A pair of neighbouring lines that began earlier takes both of its lines.
+pairs AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1
+    AND regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS alone, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM lines),
+-- A line with words that was there earlier goes; a pair of neighbouring lines that was takes both of its lines.
 later AS (
-  SELECT doc_id, pos, next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) > 1 AS copy
+  SELECT doc_id, pos, alone, next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) > 1 AS copy
   FROM pairs),
 gone AS (
-  SELECT *, copy OR coalesce(lag(copy) OVER (PARTITION BY doc_id ORDER BY pos), FALSE) AS gone FROM later),
+  SELECT *, alone OR copy OR coalesce(lag(copy) OVER (PARTITION BY doc_id ORDER BY pos), FALSE) AS gone FROM later),
 texts AS (
   SELECT l.doc_id, count(*) AS n_lines, sum(g.gone::INT)::BIGINT AS n_removed,
          sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE NOT g.gone), '')) AS kept_sha256
