@@ -13,14 +13,17 @@ routing vector and the triangle inequality show that the entry can't matter.
 Bounds are taken with a margin for rounding, scores are integers, and ties at the
 last rank are kept until ids decide, so results are exact.
 
-Each block of queries meets each shard in a task of its own; then the best of a
-query's shards are merged.
+A row goes to its shard once, and the trees are written once. Queries, a twentieth of
+the rows, go to all trees in blocks of bounded size, and the best of a query's shards
+are merged; so what is shuffled grows with rows, and what each block reads is the trees.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import written
+from quayside.session import work_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,7 +41,9 @@ SCALE = 64
 NEIGHBOURS = 20
 PAGE = 1024
 SHARD_ROWS = 16384
-QUERY_ROWS = 512
+QUERY_ROWS = 8192
+QUERY_BYTES = 8 << 20
+_FOUND = "query_id long, vec_id long, score long"
 _MARGIN = 1e-6
 
 
@@ -135,6 +141,55 @@ def search(
     return [(int(s), int(i)) for s, i in zip(scores, names)], computed
 
 
+def _number(longest: int) -> type:
+    """Sums of products below 2^24 or 2^53 are whole in floating point, which multiplies faster."""
+    return np.float32 if longest < 2**23 else np.float64 if longest < 2**52 else np.int64
+
+
+def _packed(page: Page) -> tuple:
+    return (page.routing, page.radius, page.apart, [_packed(c) for c in page.children], page.centres, page.radii, page.vectors, page.ids)
+
+
+def _unpacked(fields: tuple) -> Page:
+    return Page(*fields[:3], [_unpacked(c) for c in fields[3]], *fields[4:])
+
+
+def _plant(table: pa.Table, longest: int) -> pa.Table:
+    """The trees of one shard, one for each size of vectors."""
+    table = table.combine_chunks()
+    ids, sizes, lengths = (table[c].to_numpy() for c in ("id", "n", "length"))
+    flat = table["v"].combine_chunks().flatten().to_numpy() if table.num_rows else np.zeros(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        exact = flat[starts[mine][:, None] + np.arange(size)]
+        points = np.concatenate([exact, np.sqrt(np.maximum(longest - lengths[mine], 0))[:, None]], axis=1).astype(float)
+        out.append((size, pickle.dumps(_packed(build(points, exact.astype(_number(longest)), ids[mine])))))
+    return pa.table([pa.array([n for n, _ in out], pa.int32()), pa.array([t for _, t in out], pa.binary())], names=["n", "tree"])
+
+
+def _ask(trees: DataFrame, asked: pa.Table, longest: float, count: int) -> DataFrame:
+    """The best of each tree for a block of queries."""
+    asked = asked.combine_chunks()
+    ids, sizes = asked["id"].to_numpy(), asked["n"].to_numpy()
+    flat = asked["v"].combine_chunks().flatten().to_numpy() if asked.num_rows else np.zeros(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, tree in zip(batch["n"].to_pylist(), batch["tree"]):
+                root, out = _unpacked(pickle.loads(tree.as_buffer())), []
+                for q in np.flatnonzero(sizes == size).tolist():
+                    vector = flat[starts[q] : starts[q] + size].astype(_number(int(longest)))
+                    found, _ = search(root, longest, vector, int(ids[q]), count)
+                    out += [(int(ids[q]), i, s) for s, i in found]
+                columns = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return trees.mapInArrow(answer, _FOUND)
+
+
 def top_scores(
     vectors: DataFrame, id_name: str = "vec_id", vector_name: str = "embedding", every: int = 20,
     count: int = NEIGHBOURS, scale: int = SCALE, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
@@ -157,40 +212,20 @@ def top_scores(
     total, longest = rows.agg(F.count(F.lit(1)), F.max("length")).first()
     shards = max(1, -(-total // shard_rows))
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    blocks = max(1, -(-total // every // query_rows))
-    spread = lambda number, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(number)).cast("int")
-    # Blocks of queries meet shards: each shard's rows go once to each block, queries once to each shard.
-    data = rows.select("*", spread(shards, 1).alias("shard")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(False))
-    asks = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).withColumn(
-        "block", spread(blocks, 2)).withColumn("asks", F.lit(True))
-
-    def answer(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, sizes, lengths = (table[c].to_numpy() for c in ("id", "n", "length"))
-        asking = table["asks"].to_numpy()
-        flat = table["v"].combine_chunks().flatten().to_numpy() if table.num_rows else np.zeros(0, np.int64)
-        starts = np.cumsum(sizes) - sizes
-        out: list[tuple[int, int, int]] = []
-        for size in np.unique(sizes[asking]).tolist():
-            mine, theirs = np.flatnonzero(~asking & (sizes == size)), np.flatnonzero(asking & (sizes == size))
-            if not len(mine):
-                continue
-            take = np.arange(size)
-            exact = flat[starts[mine][:, None] + take]
-            points = np.concatenate([exact, np.sqrt(np.maximum(longest - lengths[mine], 0))[:, None]], axis=1).astype(float)
-            # Sums of products below 2^24 or 2^53 are whole in floating point, which multiplies faster.
-            kind = np.float32 if longest < 2**23 else np.float64 if longest < 2**52 else np.int64
-            root = build(points, exact.astype(kind), ids[mine])
-            for q in theirs.tolist():
-                asked = flat[starts[q] : starts[q] + size].astype(kind)
-                found, _ = search(root, float(longest), asked, int(ids[q]), count)
-                out += [(int(ids[q]), i, s) for s, i in found]
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    met = data.unionByName(asks).select("shard", "block", "id", "v", "n", "length", "asks")
-    found = met.groupBy("shard", "block").applyInArrow(answer, "query_id long, vec_id long, score long")
+    # Each row goes to its shard once, and each shard's trees are written once.
+    shard = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int")
+    trees = written(
+        rows.withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: _plant(t, longest), "n int, tree binary"), "trees"
+    )
+    # Queries go to the trees in blocks of bounded size; only the best of each shard come back.
+    widest = max(1, queries.agg(F.max("n")).first()[0] or 1)
+    per_block = max(1, min(query_rows, QUERY_BYTES // (8 * widest)))
+    blocks = max(1, -(-queries.count() // per_block))
+    place = work_dir(vectors.sparkSession, "found")
+    for k in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)) == k).select("id", "v", "n").toArrow()
+        _ask(trees, asked, float(longest or 0), count).write.mode("append").parquet(place)
+    found = vectors.sparkSession.read.schema(_FOUND).parquet(place)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select(
         "query_id", "rank", "vec_id", "score"
