@@ -7,7 +7,8 @@ tells; it may say yes for others, never no), which no similar window can lack.
 Such windows get a 64-bit SimHash, weighted by counts. Fingerprints within
 `RADIUS` bits of an item's agree with it in one of `BLOCKS` blocks up to
 `RADIUS // BLOCKS` bits: items stand under all such values of each block, so an
-equi-join finds every item within the radius. The exact similarity decides.
+equi-join finds every item within the radius. The exact similarity decides: texts with
+such windows are read again, and their windows slide along the item one word at a time.
 A document shorter than an item is one window as a whole, under the item's length.
 
 At similarity 0.75 a fingerprint bit differs with probability 0.17: 11 of 64 on
@@ -26,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import grams, mix, ragged, slices, words_of, written
+from quayside.llm.common import asked_rows, grams, mix, slices, words_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,7 +37,9 @@ RADIUS = 24
 BLOCKS = 8
 TABLE_BITS = 22
 
-_WINDOWS = "doc_id long, begin int, n_words int, fingerprint long, shingles array<long>"
+SPAN = 1 << 16  # neighbouring windows that get their fingerprints together
+
+_WINDOWS = "doc_id long, text_key long, begin int, n_words int, held int, fingerprint long"
 
 
 def _shingles(hashes: np.ndarray, words: int, size: int) -> np.ndarray:
@@ -53,6 +56,22 @@ def fingerprints(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > shingles.shape[1], axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
 
 
+def window_fingerprints(shingles: np.ndarray, starts: np.ndarray, per: int) -> np.ndarray:
+    """As `fingerprints` of the `per` shingles from each of the sorted `starts` on, by running sums of votes."""
+    out = np.zeros(len(starts), dtype=np.int64)
+    at = 0
+    while at < len(starts):
+        end = int(np.searchsorted(starts, starts[at] + SPAN))
+        low, high = int(starts[at]), int(starts[end - 1]) + per
+        bits = np.unpackbits(mix(shingles[low:high]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.zeros((high - low + 1, 64), dtype=np.int32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        votes = sums[starts[at:end] - low + per] - sums[starts[at:end] - low]
+        out[at:end] = np.packbits(2 * votes > per, axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
+        at = end
+    return out
+
+
 def _slots(shingles: np.ndarray, words: int) -> np.ndarray:
     return mix(shingles + np.uint64(words * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - TABLE_BITS)
 
@@ -108,9 +127,10 @@ def _tables(items: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
 def document_windows(
     docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """Windows of `docs` that may be similar to an item of their length, with fingerprints and shingles.
+    """Windows of `docs` (`doc_id`, `text`, `text_key`) that may be similar to an item of their length.
 
-    Documents shorter than an item, with enough shingles for it, are windows of the item's `n_words`.
+    `held` is the number of a window's shingles. Documents shorter than an item, with
+    enough shingles for it, are windows of the item's `n_words`.
     """
     any_length, by_length, lengths = _tables(items)
     any_length, by_length = np.packbits(any_length), np.packbits(by_length)
@@ -120,17 +140,15 @@ def document_windows(
 
     def windows(part, words, shingles: np.ndarray, starts: np.ndarray, per: int, n: int) -> pa.RecordBatch:
         """Windows of `per` shingles each for items of `n` words."""
-        grid = shingles[starts[:, None] + np.arange(per)[None, :]]
         rows = np.searchsorted(words.first, starts, side="right") - 1
         return pa.RecordBatch.from_arrays(
             [
-                part["doc_id"].take(pa.array(rows)),
+                *[part[c].take(pa.array(rows)) for c in ("doc_id", "text_key")],
                 pa.array((starts - words.first[rows]).astype(np.int32)),
-                pa.array(np.full(len(starts), n, dtype=np.int32)),
-                pa.array(fingerprints(grid)),
-                ragged(grid.ravel().view(np.int64), np.full(len(starts), per), pa.int64()),
+                *[pa.array(np.full(len(starts), v, dtype=np.int32)) for v in (n, per)],
+                pa.array(window_fingerprints(shingles, starts, per)),
             ],
-            names=["doc_id", "begin", "n_words", "fingerprint", "shingles"],
+            names=["doc_id", "text_key", "begin", "n_words", "held", "fingerprint"],
         )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +177,7 @@ def document_windows(
                     # At a similar window's first hit, it has begun at most per - need places in front.
                     if len(mine) < need:
                         continue
-                    starts = np.unique((mine[:, None] - np.arange(per - need + 1)[None, :]).ravel())
-                    starts = starts[starts >= 0]
+                    starts = _in_front(mine, per - need, len(hashes))
                     starts = starts[room[starts] >= n]
                     held = np.searchsorted(mine, starts + per) - np.searchsorted(mine, starts)
                     starts = starts[held >= need]
@@ -168,8 +185,40 @@ def document_windows(
                         continue
                     yield windows(part, words, shingles, starts, per, n)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(find, _WINDOWS)
+    return docs.select("doc_id", "text", "text_key").mapInArrow(find, _WINDOWS)
+
+
+def _in_front(places: np.ndarray, reach: int, size: int) -> np.ndarray:
+    """Places, in order, that one of `places` is at most `reach` behind."""
+    steps = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(steps, np.maximum(places - reach, 0), 1)
+    np.add.at(steps, places + 1, -1)
+    return np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+
+
+def overlaps(codes: list[int], counts: list[int], begins: list[int], per: int) -> list[int]:
+    """Shingles in common, each as often as both have it, of windows that begin at sorted `begins` with an item.
+
+    `codes` has the item's number of each shingle, -1 for others, and `counts` how often
+    the item has each. A window follows from the one in front by what leaves and enters.
+    """
+    out, held, both, at = [], [0] * len(counts), 0, None
+    for begin in begins:
+        if at is None or begin - at >= per:
+            held, both, leaving, entering = [0] * len(counts), 0, [], codes[begin : begin + per]
+        else:
+            leaving, entering = codes[at:begin], codes[at + per : begin + per]
+        for code in leaving:
+            if code >= 0:
+                both -= held[code] <= counts[code]
+                held[code] -= 1
+        for code in entering:
+            if code >= 0:
+                both += held[code] < counts[code]
+                held[code] += 1
+        at = begin
+        out.append(both)
+    return out
 
 
 def _block(number: int):
@@ -197,46 +246,56 @@ def contaminated(
     # Ids are payload; a key that is never null, of id and shingles, brings items back.
     keyed = item_windows(items, size).withColumn("item_key", F.xxhash64("item_id", "n_words", "shingles"))
     items = written(keyed, "items")
-    found = written(document_windows(docs.where("doc_id is not null"), items, size, percent).distinct(), "windows")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    found = written(document_windows(rows, items, size, percent), "windows")
     blocks = [F.struct(F.lit(b).alias("block"), _block(b).alias("value")) for b in range(BLOCKS)]
     near = F.array(*[F.lit(v) for v in _near_values()])
     asked = found.select("*", F.inline(F.array(*blocks)))
     offered = items.select("*", F.inline(F.array(*blocks))).withColumn(
         "value", F.explode(F.transform(near, lambda v: v.bitwiseXOR(F.col("value"))))
     )
+    window = ["doc_id", "text_key", "n_words", "held"]
     pairs = (
-        asked.select("doc_id", "begin", "n_words", "fingerprint", "block", "value")
+        asked.select(*window, "begin", "fingerprint", "block", "value")
         .join(offered.select("item_key", "n_words", "block", "value", F.col("fingerprint").alias("theirs")),
               ["n_words", "block", "value"])
         .where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("theirs"))) <= RADIUS)
-        .select("doc_id", "begin", "n_words", "item_key", "theirs").distinct()
+        # One row per text and item, with the places its windows begin at.
+        .groupBy(*window, "item_key").agg(F.sort_array(F.collect_set("begin")).alias("begins"))
     )
+    pairs = written(pairs, "near-windows")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            similarity = np.zeros(batch.num_rows)
-            taken = np.zeros(batch.num_rows, dtype=np.int32)
-            for k, (n, x, y) in enumerate(zip(batch["n_words"].to_pylist(), batch["x"], batch["y"])):
-                taken[k] = len(x.values) + min(size, n) - 1  # fewer than the item's in a shorter document
-                x, nx = np.unique(x.values.to_numpy(), return_counts=True)
-                y, ny = np.unique(y.values.to_numpy(), return_counts=True)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = np.minimum(nx[i], ny[j]).sum()
-                similarity[k] = both / (nx.sum() + ny.sum() - both)
-            out = pa.RecordBatch.from_arrays(
-                [*[batch[c] for c in ("doc_id", "item_id", "item_key", "begin")], pa.array(taken), pa.array(similarity)],
+        for part in slices(batches, "text"):
+            words, out = words_of(part["text"], True), []
+            hashes, bounds = words.hashes(), words.first.tolist()
+            listed = zip(part["n_words"].to_pylist(), part["held"].to_pylist(), part["begins"], part["shingles"])
+            for k, (n, per, begins, theirs) in enumerate(listed):
+                mine = _shingles(hashes[bounds[k] : bounds[k + 1]], n, size)
+                theirs, counts = np.unique(theirs.values.to_numpy().view(np.uint64), return_counts=True)
+                code = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+                code = np.where(theirs[code] == mine, code, -1)
+                begins = begins.values.to_pylist()
+                both = np.array(overlaps(code.tolist(), counts.tolist(), begins, per))
+                similarity = both / (per + counts.sum() - both)
+                # Of one document and item the best window counts, of equal ones the first.
+                best = int(similarity.argmax())
+                if 100 * similarity[best] >= percent:
+                    out.append((k, begins[best], per + min(size, n) - 1, similarity[best]))
+            at, begin, taken, similarity = list(zip(*out)) or [(), (), (), ()]
+            named = [part[c].take(pa.array(at, pa.int64())) for c in ("doc_id", "item_id", "item_key")]
+            yield pa.RecordBatch.from_arrays(
+                [*named, pa.array(begin, pa.int32()), pa.array(taken, pa.int32()), pa.array(similarity, pa.float64())],
                 names=["doc_id", "item_id", "item_key", "begin", "n_words", "similarity"],
             )
-            yield out.filter(pa.array(100 * similarity >= percent))
-
-    met = pairs.join(
-        found.select("doc_id", "begin", "n_words", F.col("shingles").alias("x")), ["doc_id", "begin", "n_words"]
-    ).join(
-        items.select("item_key", "item_id", "n_words", F.col("fingerprint").alias("theirs"), F.col("shingles").alias("y"))
-        .dropDuplicates(["item_key", "n_words", "theirs"]),
-        ["item_key", "n_words", "theirs"],
+
+    # Only texts with such windows are read again and shuffled.
+    texts = asked_rows(rows, pairs.select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text_key"])
+    met = pairs.join(texts, ["doc_id", "text_key"]).join(
+        items.select("item_key", "n_words", "item_id", "shingles").dropDuplicates(["item_key", "n_words"]), ["item_key", "n_words"]
     )
-    similar = met.select("doc_id", "item_id", "item_key", "begin", "n_words", "x", "y").mapInArrow(
+    similar = met.select("doc_id", "text", "n_words", "held", "begins", "item_id", "item_key", "shingles").mapInArrow(
         verify, "doc_id long, item_id long, item_key long, begin int, n_words int, similarity double"
     )
     best = F.max(F.struct("similarity", (-F.col("begin")).alias("begin"), "n_words")).alias("best")
@@ -248,5 +307,6 @@ def contaminated(
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of `docs` without a window similar to an item, with their own columns."""
-    found = contaminated(docs, items, size, percent).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(written(found, "found"), F.col("doc_id") == F.col("_found"), "left_anti")
+    found = contaminated(docs, items, size, percent).select("doc_id").distinct()
+    kept = docs.join(written(found, "found"), "doc_id", "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
