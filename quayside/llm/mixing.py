@@ -73,37 +73,33 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
 
 def mixture(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, carry: list[str] | None = None
 ) -> DataFrame:
-    """All rows of `docs` with `_size`, `_source_size`, `_target` and `_copies`.
+    """`row` (the caller's columns, or those in `carry`), `size`, `source_size`, `target` and `copies` of each row.
 
     A document gets floor(rate) copies and one more with the fraction's
     probability, decided by a hash of its id. Rows that repeat get the same number
     of copies each; a null id draws as the empty text.
     """
-    sized = docs.withColumn("_size", words(F.col("text").cast("string")))
-    shares = source_targets(sized.select("source", F.col("_size").alias("size")), weights, most).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"), F.col("rate").alias("_rate"),
-    )
-    joined = sized.join(written(shares, "shares"), F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.floor("_rate")
-    extra = (draw(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")
-    return joined.withColumn("_copies", (whole + extra).cast("long")).drop("_source", "_rate")
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns])
+    sized = docs.select(row.alias("row"), F.col("source").alias("own"), F.col("doc_id").alias("id"), words(F.col("text").cast("string")).alias("size"))
+    shares = source_targets(sized.select(F.col("own").alias("source"), "size"), weights, most)
+    joined = sized.join(written(shares, "shares"), F.col("own").eqNullSafe(F.col("source")))
+    whole = F.floor("rate")
+    extra = (draw(F.col("id"), seed) < F.col("rate") - whole).cast("long")
+    return joined.select("row", "size", "source_size", "target", (whole + extra).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of `docs`, with its own columns, as often as it is taken."""
-    drawn = mixture(docs, weights, most, seed)
-    copies = F.array_repeat(F.lit(True), F.col("_copies").cast("int"))
-    return drawn.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    copies = F.array_repeat(F.lit(True), F.col("copies").cast("int"))
+    return mixture(docs, weights, most, seed).select("row", F.explode(copies)).select("row.*")
 
 
 def mixture_report(docs: DataFrame, **how) -> DataFrame:
     """`doc_id`, `size`, `source_size`, `target`, `taken` of each row."""
-    return mixture(docs.select("doc_id", "text", "source"), **how).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"),
+    return mixture(docs, carry=["doc_id"], **how).select(
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
     )
 
 

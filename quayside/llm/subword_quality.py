@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quayside.llm.common import grams, slices, words_of
+from quayside.llm.common import free_name, grams, slices, words_of
 from quayside.llm.labelled import training_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -148,11 +148,13 @@ def fit_subwords(
 
 
 def score_quality(docs: DataFrame, model: Subwords) -> DataFrame:
-    """All columns of `docs` with `_score`, the probability of label 1.
+    """All columns of `docs` with `_score`, or what `free_name` makes of it, the probability of label 1.
 
     A null or empty text has no features and the score of the bias.
     """
 
+    name = free_name(docs, "_score")
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sums, counts = np.zeros(part.num_rows), np.zeros(part.num_rows)
@@ -161,7 +163,7 @@ def score_quality(docs: DataFrame, model: Subwords) -> DataFrame:
                 counts += np.bincount(rows, minlength=part.num_rows)
             odds = np.clip(sums / np.maximum(counts, 1) + model.bias, -30, 30)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(1 / (1 + np.exp(-odds)))], names=[*part.schema.names, "_score"]
+                [*part.columns, pa.array(1 / (1 + np.exp(-odds)))], names=[*part.schema.names, name]
             )
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

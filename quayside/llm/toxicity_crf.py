@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quayside.llm.common import MASK, Words, mix, slices, words_of
+from quayside.llm.common import MASK, Words, free_name, mix, slices, words_of
 from quayside.llm.labelled import training_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -288,15 +288,16 @@ def train_field(
 
 
 def score_toxicity(docs: DataFrame, field: Field) -> DataFrame:
-    """All columns of `docs` with `_score` (0 to 1) and `_spans`.
+    """All columns of `docs` with `_score` (0 to 1) and `_spans`, or what `free_name` makes of these names.
 
     `_spans` are the runs of words more likely offending than not: begin and end
     in characters, and the largest marginal. A null or empty text has the score of
     a text without evidence and no spans.
     """
+    names = [free_name(docs, "_score"), free_name(docs, "_spans")]
     added = [
-        T.StructField("_score", T.DoubleType()),
-        T.StructField("_spans", T.ArrayType(T.StructType([
+        T.StructField(names[0], T.DoubleType()),
+        T.StructField(names[1], T.ArrayType(T.StructType([
             T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()),
             T.StructField("marginal", T.DoubleType()),
         ]))),
@@ -329,7 +330,7 @@ def score_toxicity(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(1 / (1 + np.exp(-np.clip(odds, -_LIMIT, _LIMIT)))),
                  pa.ListArray.from_arrays(pa.array(offsets), spans)],
-                names=[*part.schema.names, "_score", "_spans"],
+                names=[*part.schema.names, *names],
             )
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added]))

@@ -32,7 +32,6 @@ def test_token_records(spark, corpus, frame, clashing):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(token_records.VOCABULARY)
-    library.encode_special_tokens = True
     rows = [*corpus(), (3, corpus()[3][1], "en", "s3", 1), (None, "no id", "en", "s", 5), (-4, "<|endoftext|> a  b", "en", "s", 3)]
     docs = clashing(frame(rows), "file", "n_tokens", "start")
     path = work_dir(spark, "records-test")
@@ -64,6 +63,27 @@ def test_token_records(spark, corpus, frame, clashing):
     assert token_records.token_digest(frame([])).count() == 0
 
 
+def test_ids_are_those_of_the_library():
+    """Texts of white space of all kinds, names of special tokens, parts of them, and characters of several bytes."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_records.VOCABULARY)
+    rng = random.Random(11)
+    pieces = [" ", " ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x00", "\x85", "\xa0", "\u1680", "\u2003", "\u200b", "\u2028", "\u202f", "\u205f",
+              "\u3000", "\u2019", "a", "the", "don't", "42", "é", "日本", "😀", "<|endoftext|>", "<|endo", "text|>", "'s", "!?"]
+    texts = ["a <|endoftext|> b", "x\xa0 y \xa0z", " <|endoftext|>", *["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(20_000)]]
+    encoder = token_records.Encoder(token_records.VOCABULARY)
+    for at in range(0, len(texts), 4000):
+        part = texts[at : at + 4000]
+        flat, counts = encoder.encode(pa.array(part))
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want]
+        assert flat.tolist() == [i for w in want for i in w]
+
+
 def test_checksums():
     # The check value of CRC-32C.
     value = 0xE3069283
@@ -143,18 +163,21 @@ def test_every_customer_is_seated_again():
     assert changed > 0.2 and np.mean(drawn) < 8
 
 
-def lines_by_brute_force(rows, least=2):
+def lines_by_brute_force(rows, least=1):
     first, out = {}, []
     named = sorted({(i, t) for i, t, *_ in rows if i is not None and t is not None})
     for i, text in named:
         lines = text.split("\n")
         gone = [False] * len(lines)
-        for k in range(len(lines) - least + 1):
-            window = tuple(lines[k : k + least])
-            if window in first:
-                gone[k : k + least] = [True] * least
-            else:
-                first[window] = (i, k)
+        for size in {least, 2}:
+            for k in range(len(lines) - size + 1):
+                window = tuple(lines[k : k + size])
+                if size == 1 and not words(window[0]):
+                    continue  # a line without words is no run of its own
+                if window in first:
+                    gone[k : k + size] = [True] * size
+                else:
+                    first[window] = (i, k)
         out.append((i, len(lines), sum(gone), hashlib.sha256("\n".join(x for x, g in zip(lines, gone) if not g).encode()).hexdigest()))
     return out
 
@@ -173,6 +196,24 @@ def test_line_runs(frame, corpus, clashing):
     assert line_runs.line_dedup(frame([])).count() == 0
 
 
+def test_lines_alone(frame):
+    """A copied line goes by itself if it holds a word; blank lines go within longer runs only."""
+    one = "a line of its own"
+    rows = [(1, one, "", "", 0), (2, one, "", "", 0), (3, f"x\n\n{one}\n\ny\n \nz", "", "", 0), (4, "p\n\nq\n \nr", "", "", 0), (5, "k\n\ny", "", "", 0)]
+    got = line_runs.line_dedup(frame(rows)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in got) == [(1, 1, 0), (2, 1, 1), (3, 7, 1), (4, 5, 0), (5, 3, 2)]
+
+
+def test_long_texts_of_copied_lines(frame):
+    """The cut of a text takes time in proportion to its lines."""
+    import time
+
+    rows = [(1, "\n".join(f"line {k}" for k in range(30_000)), "", "", 0), (2, "\n".join(f"line {k}" if k % 3 else f"new {k}" for k in range(30_000)), "", "", 0)]
+    began = time.monotonic()
+    got = {r.doc_id: r.n_removed for r in line_runs.line_dedup(frame(rows)).collect()}
+    assert got == {1: 0, 2: 20_000} and time.monotonic() - began < 60
+
+
 def test_line_runs_are_maximal(frame):
     docs = frame([(1, "a\nb\nc\nd\ne", "", "", 0), (2, "x\nb\nc\nd\ny\na\nb", "", "", 0)]).withColumn("text_key", F.xxhash64("text"))
     runs = line_runs.repeated_runs(docs).select("doc_id", "begin", "end", "from_id", "from_begin").collect()
@@ -183,7 +224,7 @@ def test_mixing(spark, corpus, frame, clashing, tmp_path):
     import duckdb
 
     rows = [*corpus(4, 120), (7, "repeated row", "en", "s3", 1), (None, "no id", "en", "s0", 1)]
-    docs = clashing(frame(rows), "size", "target", "rate")
+    docs = clashing(frame(rows), "size", "target", "rate", "row", "own", "copies", "_source", "_size", "_copies", "_rate")
     got = mixing.mixture_report(docs).collect()
     frame(rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     db = duckdb.connect()
@@ -194,6 +235,7 @@ def test_mixing(spark, corpus, frame, clashing, tmp_path):
     assert all(r.taken <= 3 * r.size for r in got) and all(r.target <= 3 * r.source_size + 1e-9 for r in got)
     taken = mixing.mixed(docs)
     assert taken.columns == docs.columns
+    assert {r for r in taken.select("size", "copies", "_size", "_copies").distinct().collect()} == {("given",) * 4}
     assert taken.select(F.sum(mixing.words(F.col("text")))).first()[0] == sum(r.taken for r in got)
     assert mixing.mixture_report(frame([])).count() == 0
 
@@ -231,6 +273,8 @@ def test_toxicity(spark, frame, labelled, clashing):
     rows, labels = labelled
     odd = [(9000, None, None, None, None), (9001, "", "en", "s", 0), (None, "you IDIOT you", "en", "s", 0), (9002, "word " * 50000, "en", "s", 0)]
     docs = clashing(frame([*rows, *odd]), "score", "label")
+    twice = toxicity_crf.score_toxicity(clashing(frame(odd), "_score", "_SPANS"), toxicity_crf.train_field(frame([]), spark.createDataFrame(labels, LABELS)))
+    assert twice.columns[-4:] == ["_score", "_SPANS", "__score", "__spans"] and {r["_score"] for r in twice.collect()} == {"given"}
     given = spark.createDataFrame([*labels, (3, None, None), (None, 1, 1), (5, 1, 0)], LABELS)
     scored = toxicity_crf.score_toxicity(docs, toxicity_crf.train_field(docs, given)).collect()
     truth = {i: t for i, _, t in labels}
@@ -331,6 +375,20 @@ def test_search(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert metric_tree.top_scores(table.limit(0)).count() == 0
     assert metric_tree.top_scores(table.where("vec_id in (0, 1, 2)")).count() == 2
+    # Vectors of several sizes meet their own size only; a small block holds one query.
+    mixed = spark.createDataFrame([(k, [float(k)] * (2 + k % 2), 1) for k in range(0, 81)], table.schema)
+    answers = metric_tree.top_scores(mixed, query_rows=1, shard_rows=30).where("query_id = 20 and rank <= 2").collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in answers) == [(1, 80, 2 * 64 * 80 * 64 * 20), (2, 78, 2 * 64 * 78 * 64 * 20)]
+
+
+def test_each_row_goes_to_one_tree(spark, monkeypatch):
+    """However many blocks of queries there are, trees are built once."""
+    built, asked = [], []
+    inner = metric_tree._ask
+    monkeypatch.setattr(metric_tree, "_ask", lambda trees, *a: (built.append(trees), asked.append(a[0].num_rows), inner(trees, *a))[-1])
+    table = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    assert metric_tree.top_scores(table, shard_rows=100, query_rows=5).count() == 400
+    assert len(asked) == 4 and sum(asked) == 20 and len({id(t) for t in built}) == 1
 
 
 def test_search_skips_distances():
@@ -418,11 +476,12 @@ def test_decontamination(spark, frame, corpus, clashing):
     items = [(k, " ".join(w[10 : 10 + 20 + k])) for k, w in enumerate(source[:6])]
     items += [(20, " ".join([*source[0][5:30], "changed", *source[0][31:50]])), (21, "One two"), (22, ""), (23, None), (21, "One two"), (24, "word " * 12)]
     given = spark.createDataFrame(items, "item_id long, text string")
-    docs = clashing(frame([*rows, (None, items[0][1], "", "", 0), rows[2]]), "begin", "similarity", "_found")
+    docs = clashing(frame([*rows, (None, items[0][1], "", "", 0), rows[2]]), "begin", "similarity", "_found", "Text key")
     got = simhash_benchmark.contaminated(docs, given).collect()
     want = passages_by_brute_force([*rows], items)
     assert sorted((r.doc_id, r.item_id, r.begin, round(r.similarity, 9)) for r in got) == want and len(want) > 8
-    left = simhash_benchmark.decontaminated(docs.drop("_found"), given)
+    left = simhash_benchmark.decontaminated(docs, given)
+    assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {r[0] for r in want} | {None}
     assert simhash_benchmark.contaminated(docs, given.limit(0)).count() == 0
     assert simhash_benchmark.contaminated(frame([]), given).count() == 0
@@ -442,6 +501,31 @@ def test_decontamination_of_short_documents(spark, frame):
     assert sorted(r.doc_id for r in simhash_benchmark.decontaminated(docs, items).collect()) == [4, 6, 7, 8]
 
 
+def test_decontamination_by_long_items(spark, frame):
+    """An item of very many words inside a longer text, whole, with changes, and with repeated shingles."""
+    body = [f"w{k % 7919}" for k in range(20_000)]
+    changed = [("new" if k % 60 == 0 else w) for k, w in enumerate(body)]
+    around = [f"z{k}" for k in range(20_000)]
+    rows = [(1, " ".join([*around, *body, *around]), "", "", 0), (2, " ".join([*around[:777], *changed, *around]), "", "", 0),
+            (3, " ".join([*around, *body[:9000], *around]), "", "", 0), (4, " ".join(["w1"] * 30_000), "", "", 0)]
+    items = spark.createDataFrame([(1, " ".join(body)), (2, "some other item of ten words at the least here")], "item_id long, text string")
+    got = simhash_benchmark.contaminated(frame(rows), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.begin, r.similarity > 0.99) for r in got) == [(1, 1, 20_000, True), (2, 1, 777, False)]
+
+
+def test_sliding_overlaps_and_fingerprints(monkeypatch):
+    rng = np.random.default_rng(8)
+    codes, counts = rng.integers(-1, 5, 300).tolist(), [3, 1, 4, 2, 2]
+    begins = [0, 1, 2, 5, 60, 61, 130, 200]
+    want = [sum(min(codes[b : b + 40].count(c), n) for c, n in enumerate(counts)) for b in begins]
+    assert simhash_benchmark.overlaps(codes, counts, begins, 40) == want
+    shingles = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    starts = np.flatnonzero(rng.random(450) < 0.4)
+    grid = shingles[starts[:, None] + np.arange(50)]
+    monkeypatch.setattr(simhash_benchmark, "SPAN", 64)
+    assert simhash_benchmark.window_fingerprints(shingles, starts, 50).tolist() == simhash_benchmark.fingerprints(grid).tolist()
+
+
 def test_decontamination_by_items_without_an_id(spark, frame):
     one, two = (" ".join(f"{x}{k}" for k in range(20)) for x in "tu")
     items = spark.createDataFrame([(None, one), (None, two), (None, one), (5, two)], "item_id long, text string")
