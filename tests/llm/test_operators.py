@@ -422,7 +422,7 @@ def spans_by_brute_force(rows, size=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowded", [2, 1024])
+@pytest.mark.parametrize("crowded", [2, 16_384])
 def test_substring_dedup(frame, corpus, clashing, monkeypatch, crowded):
     monkeypatch.setattr(fm_index, "CROWDED", crowded)
     rows = [*corpus(5, 100), (3, "another text of the third", "en", "s", 1)]
@@ -450,6 +450,30 @@ def test_backward_search():
         assert sorted(index.places[a:b].tolist()) == at
 
 
+def test_matching_statistics():
+    """Of streams that are in the text, partly in it, and not at all, cut off at ten."""
+    rng = np.random.default_rng(9)
+    text = np.append(rng.integers(1, 4, 600), 0)
+    text[[100, 250, 400]] = 0
+    index = fm_index.FmIndex(text, 6, 10)
+    streams = [text[120:180].copy(), rng.integers(1, 5, 80), np.array([5, 6, 1, 2, -1, 2, 1, 3, 3]), np.array([6]), text[251:399].copy()]
+    flat, sizes = np.concatenate(streams), np.array([len(x) for x in streams])
+    lengths, lows, highs = index.statistics(flat, np.cumsum(sizes), sizes, 10)
+    # What is behind a place in the text, up to its separator.
+    parts = [text[k : k + 10].tolist() for k in range(len(text))]
+    parts = [p[: p.index(0)] if 0 in p else p for p in parts]
+    at = 0
+    for stream in streams:
+        for k in range(len(stream)):
+            rest = stream[k : k + 10].tolist()
+            want = max((n for n in range(len(rest) + 1) if n == 0 or any(p[:n] == rest[:n] for p in parts)), default=0)
+            assert lengths[at] == want
+            if want:
+                places = sorted(j for j, p in enumerate(parts) if p[:want] == rest[:want])
+                assert sorted(index.places[lows[at] : highs[at]].tolist()) == places
+            at += 1
+
+
 def passages_by_brute_force(rows, items):
     found = {}
     for i, text, *_ in rows:
