@@ -21,25 +21,16 @@ BY_BACK_LOAD = "SUBMITTED_BY_BACKLOADING"
 
 
 def latest_valid(data: DataFrame, parts: list[str] | None = None) -> DataFrame:
-    """The newest valid version of each partition, by format then data version.
+    """The newest valid version of each partition, by format then data version; of several the greatest file path.
 
-    Both versions go into one decimal, whose maximum aggregates in a hash table and
-    combines before the shuffle. Only rows of that version meet again, and of
-    several the greatest file path counts.
+    A ranking of which only the first is kept: Spark drops the others in each task
+    before the shuffle, so one exchange carries at most a row per partition and task,
+    however many versions a partition has.
     """
     keys = parts or [*PARTITION, "sub_partition_values"]
-    version = (
-        F.col("format_version").cast("decimal(10,0)") * F.lit(str(2**63)).cast("decimal(20,0)")
-        + F.col("data_version").cast("decimal(19,0)")
-    ).cast("decimal(38,0)")
-    valid = data.where(F.col("status") == "VALID").withColumn("_version", version)
-    newest = valid.groupBy(*keys).agg(F.max("_version").alias("_newest"))
-    same = F.col("_version") == F.col("_newest")
-    for k in keys:
-        same &= F.col(f"v.{k}").eqNullSafe(F.col(f"n.{k}"))
-    tied = valid.alias("v").join(newest.alias("n"), same).select("v.*")
-    rank = Window.partitionBy(*keys).orderBy(F.desc("file_path"))
-    return tied.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").select(*data.columns)
+    newest = Window.partitionBy(*keys).orderBy(F.desc("format_version"), F.desc("data_version"), F.desc("file_path"))
+    ranked = data.where(F.col("status") == "VALID").withColumn("_rank", F.row_number().over(newest))
+    return ranked.where("_rank = 1").select(*data.columns)
 
 
 def latest_before(data: DataFrame, as_of_date: Column, keys: list[str] | None = None) -> DataFrame:
@@ -189,27 +180,29 @@ def back_load_plan(
     partition key is a date. An object without partitions gives one row with
     chunk null, so that it can be reported.
     """
-    wanted = requests.select(
+    # Requests are few and are met five times.
+    wanted = stable(requests.select(
         *OBJECT_KEY,
         F.col("id").cast("string").alias("execution_id"),
         "partition_key",
         "correlation_data",
         "cluster_name",
-    )
+    ))
     # A partition and its sub-partitions are there if any version is valid; which one is newest changes no weight.
     valid = data.where("status = 'VALID'").select(*PARTITION, "sub_partition_values")
     available = stable(partition_weights(valid.join(wanted, OBJECT_KEY, "left_semi")))
     weighed = available.join(wanted.select(*OBJECT_KEY, "execution_id"), OBJECT_KEY).join(
         date_keyed, OBJECT_KEY, "left"
     )
-    flagged = with_submitted(weighed, items, strict).select(
+    # Written, as the ranges that chunks are cut in are sampled from it first.
+    flagged = stable(with_submitted(weighed, items, strict).select(
         *OBJECT_KEY,
         "execution_id",
         "partition_value",
         "weight",
         F.coalesce("is_date", F.lit(False)).alias("is_date"),
         (~F.col("seen")).alias("kept"),
-    )
+    ))
     group = [*OBJECT_KEY, "execution_id"]
     chunks = weighted_chunks(flagged, chunk_size, group, keep="kept")
     encoded = encoded_chunks(chunks, group, "is_date")

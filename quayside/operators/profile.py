@@ -24,8 +24,7 @@ def column_profile(
     Bounds, nulls, distinct values, lengths and truth counts of all columns come
     from one aggregation that combines before its shuffle. A type without an order,
     such as a map, has no bounds, and its distinct values are null. Distinct values are
-    estimated unless `exact`, which counts them through one more exchange of
-    values, never by holding a set.
+    estimated unless `exact`, which counts them by `distinct_counts`.
     """
     by = by or []
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -37,9 +36,7 @@ def column_profile(
         truth = isinstance(kind, T.BooleanType)
         ordered = is_ordered(kind)
         bounded = ordered and not text and not truth
-        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        if not ordered:
-            distinct = none.cast("long")
+        distinct = F.approx_count_distinct(c) if ordered and not exact else none.cast("long")
         measures.append(
             F.struct(
                 F.lit(name).alias("column_name"),
@@ -53,8 +50,37 @@ def column_profile(
                 (F.count_if(~c) if truth else none.cast("long")).alias("falses"),
             )
         )
-    profiled = df.groupBy(*by).agg(F.array(*measures).alias("_profile"))
-    return profiled.select(*by, F.inline("_profile"))
+    profiled = df.groupBy(*by).agg(F.array(*measures).alias("_profile")).select(*by, F.inline("_profile"))
+    counted = [c for c in columns if is_ordered(types[c])] if exact else []
+    if not counted:
+        return profiled
+    counts = distinct_counts(df, counted, by)
+    same = F.col("p.column_name") == F.col("c.column_name")
+    for k in by:
+        same &= F.col(f"p.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
+    held = F.when(F.col("p.column_name").isin(counted), F.coalesce("c.distincts", F.lit(0)))
+    joined = profiled.alias("p").join(counts.alias("c"), same, "left").withColumn("_held", held)
+    return joined.select(*[(F.col("_held").alias(n) if n == "distincts" else F.col(f"p.`{n}`")) for n in profiled.columns])
+
+
+def distinct_counts(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """`column_name` and `distincts`, exact, per group if `by` is given; a column of nulls alone has no row.
+
+    Columns of one type go through one exchange of their values, each once per task, so
+    a row is as wide as one value and no set is held.
+    """
+    by = by or []
+    kinds: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        if f.name in columns:
+            kinds.setdefault(f.dataType.simpleString(), []).append(f.name)
+    found = None
+    for names in kinds.values():
+        each = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").alias("_value")) for n in names])
+        values = df.select(*by, F.inline(each)).where("_value is not null").distinct()
+        counted = values.groupBy(*by, "column_name").agg(F.count(F.lit(1)).alias("distincts"))
+        found = counted if found is None else found.unionByName(counted)
+    return found
 
 
 def row_counts(scanned: DataFrame, keys: list[str]) -> DataFrame:
