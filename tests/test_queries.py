@@ -19,7 +19,9 @@ SOME = [
     "scl6_partition_values", "scl16_columns_of_definition", "sch4_change_plan", "sch6_change_reports",
     "agg5_partition_profile", "acl2_full_sync", "acl5_role_of_database", "acl12_decisions", "wrk10_registration_effects",
     "stm1_work_items_from_stream", "stm3_lease_history", "src1_delimited_scan", "src7_format_registrations",
-    "snk4_delete_rows",
+    "snk4_delete_rows", "sch5_stored_versions", "agg5_merged_profile", "agg5_weekday_profile", "ord5_latest_at_creation", "prt8_submitted_spans",
+    "prt8_strict_resubmission", "plan_load_left_out", "jn4_nested_role_members", "acl12_nested_decisions", "agg6_storage_listing",
+    "stm1_work_items_without_repeats",
 ]
 
 
