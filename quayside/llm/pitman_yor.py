@@ -18,6 +18,10 @@ run again seats alike.
 
 Buckets are rows of a written table: word pairs with their counts in one column,
 the documents of their tokens in another. Each later step is one pass over it.
+
+A word with more tokens than an average bucket is split by its contexts over buckets
+of its own, as many as its tokens ask for. Each of them knows the word's tables and
+tokens in the others from the pass before, as it knows all other totals.
 """
 
 from __future__ import annotations
@@ -50,6 +54,57 @@ _END = np.uint64(0x5DEECE66D1234567)  # the end's hash; no word's hash is derive
 _SLICE_ROWS = 1 << 16
 
 
+@dataclass
+class Hot:
+    """Words with buckets of their own: hashes in order, the first bucket of each, and one behind the last."""
+
+    words: np.ndarray
+    first: np.ndarray
+
+    def spread(self, hashes: np.ndarray, contexts: np.ndarray, to: np.ndarray) -> None:
+        """Send tokens of such words, by context, to the buckets of their word."""
+        if not len(self.words):
+            return
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        mine = np.flatnonzero(self.words[at] == hashes)
+        parts = np.diff(self.first)[at[mine]]
+        to[mine] = self.first[at[mine]] + (mix(contexts[mine].astype(np.uint64) + np.uint64(7)) % parts.astype(np.uint64)).astype(np.int64)
+
+    def siblings(self, bucket: int) -> range:
+        """The buckets of a bucket's word; none for a bucket of many words."""
+        if not len(self.words) or bucket < self.first[0]:
+            return range(0)
+        at = int(np.searchsorted(self.first, bucket, side="right")) - 1
+        return range(int(self.first[at]), int(self.first[at + 1]))
+
+
+def hot_words(docs: DataFrame, buckets: int) -> Hot:
+    """Words with more tokens than an average bucket, which are fewer than buckets, from counts over all texts.
+
+    Of each slice only words with a quarter of that share are counted, so the others of a
+    word's tokens are too few to matter to where it goes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            hashes, _, _ = tokens_of(part["text"])
+            words, counts = np.unique(hashes, return_counts=True)
+            many = 4 * buckets * counts >= len(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(words[many], np.uint64(0)).view(np.int64)), pa.array(np.append(counts[many], len(hashes))),
+                 pa.array(np.append(np.zeros(int(many.sum()), bool), True))],
+                names=["word", "n", "whole"],
+            )
+
+    counted = docs.mapInArrow(count, "word long, n long, whole boolean").groupBy("whole", "word").agg(F.sum("n").alias("n"))
+    whole = counted.agg(F.sum(F.when(F.col("whole"), F.col("n")))).first()[0] or 0
+    found = counted.where(~F.col("whole") & (F.col("n") * buckets > whole)).select("word", "n").toArrow()
+    words, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(words)
+    parts = -(-n[order] * buckets // max(whole, 1))
+    return Hot(words[order], buckets + np.concatenate([[0], np.cumsum(parts)]).astype(np.int64))
+
+
 @dataclass
 class Totals:
     """Sums over all buckets: customers and tables of contexts; tokens, words and tables of the parent; discounts."""
@@ -62,6 +117,8 @@ class Totals:
     discount: float
     parent_discount: float
     shares: dict[int, int] | None = None  # tables of each bucket that was seated; without it, one per pair
+    hot: Hot | None = None
+    pieces: dict[int, tuple[int, int]] | None = None  # tokens and tables of each bucket of one word
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,12 +158,14 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, (mix(front) >> np.uint64(64 - CONTEXT_BITS)).astype("<u2"), rows
 
 
-def gather(docs: DataFrame, buckets: int) -> DataFrame:
+def gather(docs: DataFrame, buckets: int, hot: Hot | None = None) -> DataFrame:
     """`docs` (`doc_id`, `text`, `fitted`) as buckets: `bucket`, `pairs`, `owners`; negative buckets list ids.
 
     `pairs`: distinct word hashes, pairs of each word, their contexts, fitted and all
-    tokens of each pair. `owners`: slice and row of each token, pair by pair.
+    tokens of each pair. `owners`: slice and row of each token, pair by pair. Words in
+    `hot` go to buckets behind the others.
     """
+    every = buckets if hot is None else int(hot.first[-1])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -115,12 +174,14 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
                 part = whole.slice(at, _SLICE_ROWS)
                 number += 1
                 hashes, contexts, rows = tokens_of(part["text"])
-                to = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
+                to = (mix(hashes.copy()) % np.uint64(buckets)).astype(np.int64)
+                if hot is not None:
+                    hot.spread(hashes, contexts, to)
                 order = np.lexsort((hashes, to))
                 hashes, contexts, rows, to = hashes[order], contexts[order], rows[order].astype("<u2"), to[order]
-                bounds = np.searchsorted(to, np.arange(buckets + 1)).tolist()
+                bounds = np.searchsorted(to, np.arange(every + 1)).tolist()
                 fitted = part["fitted"].to_numpy(zero_copy_only=False)[rows]
-                data, held = [], [k for k in range(buckets) if bounds[k] < bounds[k + 1]]
+                data, held = [], [k for k in range(every) if bounds[k] < bounds[k + 1]]
                 for a, b in ((bounds[k], bounds[k + 1]) for k in held):
                     distinct, counts = np.unique(hashes[a:b], return_counts=True)
                     data.append(_pack(distinct, counts.astype("<u4"), contexts[a:b], rows[a:b], np.packbits(fitted[a:b])))
@@ -176,12 +237,12 @@ def _pairs(data) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.repeat(np.arange(len(words)), per_word), contexts.astype(np.int64), fitted.astype(np.int64), every.astype(np.int64), words
 
 
-def totals(buckets: DataFrame) -> Totals:
+def totals(buckets: DataFrame, hot: Hot | None = None) -> Totals:
     """Counts over all buckets, with one table per pair of a context and a word to begin with."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _each(batches):
-            for data in batch["pairs"]:
+            for bucket, data in zip(batch["bucket"].to_pylist(), batch["pairs"]):
                 word, contexts, fitted, _, words = _pairs(data.as_buffer())
                 held = fitted > 0
                 customers = np.bincount(contexts, fitted, _CONTEXTS)
@@ -191,25 +252,33 @@ def totals(buckets: DataFrame) -> Totals:
                 seen = np.flatnonzero(customers)
                 extra = [per_word.sum(), (per_word > 0).sum(), (fitted == 1).sum(), (fitted == 2).sum(),
                          (met == 1).sum(), (met == 2).sum()]
+                piece = []
+                if hot is not None and hot.siblings(bucket):
+                    extra[1] = extra[4] = extra[5] = 0  # its word counts once, and has many contexts
+                    piece = [-100 - bucket]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([seen, -1 - np.arange(6)])),
-                     pa.array(np.concatenate([customers[seen], extra]).astype(np.int64)),
-                     pa.array(np.concatenate([tables[seen], np.zeros(6)]).astype(np.int64))],
+                    [pa.array(np.concatenate([seen, -1 - np.arange(6), piece]).astype(np.int64)),
+                     pa.array(np.concatenate([customers[seen], extra, per_word.sum(keepdims=True)[: len(piece)]]).astype(np.int64)),
+                     pa.array(np.concatenate([tables[seen], np.zeros(6), [held.sum()][: len(piece)]]).astype(np.int64))],
                     names=["context", "customers", "tables"],
                 )
 
     got = (
-        buckets.where("bucket >= 0").select("pairs").mapInArrow(count, "context long, customers long, tables long")
+        buckets.where("bucket >= 0").select("bucket", "pairs").mapInArrow(count, "context long, customers long, tables long")
         .groupBy("context").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).toArrow()
     )
     context, n, t = (got[c].to_numpy() for c in ("context", "customers", "tables"))
-    extra = np.zeros(6)
-    extra[-1 - context[context < 0]] = n[context < 0]
+    extra, sums = np.zeros(6), (context < 0) & (context >= -6)
+    extra[-1 - context[sums]] = n[sums]
+    own = context <= -100
+    pieces = {int(b): (int(a), int(c)) for b, a, c in zip(-100 - context[own], n[own], t[own])}
+    if hot is not None:
+        extra[1] += sum(any(pieces.get(b, (0, 0))[0] for b in range(a, e)) for a, e in zip(hot.first[:-1].tolist(), hot.first[1:].tolist()))
     customers, tables = np.zeros(_CONTEXTS), np.zeros(_CONTEXTS)
     customers[context[context >= 0]], tables[context[context >= 0]] = n[context >= 0], t[context >= 0]
     # Discounts by how many dishes have one customer and how many have two.
     share = [min(max((a + 0.5) / (a + 2 * b + 1), 0.05), 0.95) for a, b in ((extra[2], extra[3]), (extra[4], extra[5]))]
-    return Totals(customers, tables, int(extra[0]), int(extra[1]), float(extra[1]), *share)
+    return Totals(customers, tables, int(extra[0]), int(extra[1]), float(extra[1]), *share, hot=hot, pieces=pieces)
 
 
 def _log_gamma(z: np.ndarray) -> np.ndarray:
@@ -340,6 +409,11 @@ class Seating:
         self.parent_tables = np.zeros(self.words)
         self.parent_logs = stirling(SHORT, sums.parent_discount)
         self.share = (sums.shares or {}).get(bucket, self.tables.sum())
+        # The word of a bucket that is one of several: what the others hold of it.
+        siblings = sums.hot.siblings(bucket) if sums.hot is not None else range(0)
+        others = [sums.pieces.get(b, (0, 0)) for b in siblings if b != bucket]
+        self.tokens_elsewhere, self.tables_elsewhere = (sum(o[k] for o in others) for k in (0, 1))
+        self.reports = not siblings or bucket == siblings[0]
         self._parent()
         self.several = np.flatnonzero(self.customers > 1)
         self.dishes = Dishes(self.draw, self.customers[self.several], sums.discount, strength)
@@ -365,7 +439,7 @@ class Seating:
     def _parent(self) -> None:
         """Seat the tables of all contexts in the parent; probabilities of words there."""
         s = self.sums
-        customers = np.bincount(self.word, self.tables, self.words).astype(np.int64)
+        customers = np.bincount(self.word, self.tables, self.words).astype(np.int64) + self.tables_elsewhere
         # Other buckets' tables grow as those of this one do.
         everyone = max(float(s.tables.sum()) * float(self.tables.sum()) / max(self.share, 1), 1.0)
         even = np.full(self.words, 1 / (s.words + 1))
@@ -405,7 +479,7 @@ def seated(buckets: DataFrame, sums: Totals, strength: float, sweeps: int = BURN
                 held = np.flatnonzero(tables)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([*held.tolist(), -1, -2 - bucket]),
-                     pa.array([*tables[held].tolist(), int(found.parent_tables.sum()), int(found.tables.sum())])],
+                     pa.array([*tables[held].tolist(), int(found.parent_tables.sum()) * found.reports, int(found.tables.sum())])],
                     names=["context", "tables"],
                 )
 
@@ -416,8 +490,10 @@ def seated(buckets: DataFrame, sums: Totals, strength: float, sweeps: int = BURN
     context, t = got["context"].to_numpy(), got["tables"].to_numpy()
     tables = np.zeros(_CONTEXTS)
     tables[context[context >= 0]] = t[context >= 0]
+    shares = dict(zip((-2 - context[context < -1]).tolist(), t[context < -1].tolist()))
+    pieces = {b: (n, shares.get(b, 0)) for b, (n, _) in (sums.pieces or {}).items()}
     return Totals(sums.customers, tables, sums.tokens, sums.words, float(t[context == -1].sum()), sums.discount,
-                  sums.parent_discount, dict(zip((-2 - context[context < -1]).tolist(), t[context < -1].tolist())))
+                  sums.parent_discount, shares, sums.hot, pieces)
 
 
 def score_texts(
@@ -428,15 +504,18 @@ def score_texts(
     Rows whose crc32 of the id as text leaves 0 modulo `folds` are held out. A null
     text is empty: one end. A null id counts as the empty text. `base_score` is the
     log10 probability under single words with 0.1 added to counts; `score` that of
-    the averaged seatings. Without any fitted row all words are unknown.
+    the averaged seatings. Without any fitted row all words are unknown. Draws are seeded
+    by bucket: a run with as many shuffle partitions gives the same scores, one with
+    others the scores of other draws.
     """
     count = max(BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         (remainder(F.col("doc_id"), folds) != 0).alias("fitted"),
     )
-    buckets = written(gather(rows, count), "buckets")
-    sums = totals(buckets)
+    hot = hot_words(rows, count)
+    buckets = written(gather(rows, count, hot), "buckets")
+    sums = totals(buckets, hot)
     for _ in range(burn_in):  # each with the totals of the one before
         sums = seated(buckets, sums, strength, 1)
     smooth = np.log10(sums.tokens + 0.1 * (sums.words + 1))
@@ -450,7 +529,7 @@ def score_texts(
                     found.sweep()
                     if k >= burn_in:
                         chance += found.probabilities() / samples
-                counts = np.bincount(found.word, found.customers, found.words)[found.word]
+                counts = (np.bincount(found.word, found.customers, found.words) + found.tokens_elsewhere)[found.word]
                 base = np.log10(counts + 0.1) - smooth
                 head = np.frombuffer(owners.as_buffer(), "<i8", 3)
                 wide = "<u2" if head[1] == head[2] else "<u4"
