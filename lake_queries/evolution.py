@@ -207,7 +207,9 @@ def shown(profiled, by=()):
     )
 
 
-EVENT_COLUMNS = [("user_id", "bound"), ("event_type", "text"), ("props", "text"), ("big", "truth")]
+EVENT_COLUMNS = [
+    ("event_id", "bound"), ("ts", "bound"), ("user_id", "bound"), ("event_type", "text"), ("value", "bound"), ("props", "text"), ("big", "truth"),
+]
 
 
 @query(
@@ -217,8 +219,7 @@ EVENT_COLUMNS = [("user_id", "bound"), ("event_type", "text"), ("props", "text")
 )
 def partition_profile(lake):
     dated = lake.events.select(
-        F.col("ts").cast("date").cast("string").alias("tdate"), "user_id", "event_type", "props",
-        F.when(F.col("value") > 1, F.col("value") > 20).alias("big"),
+        F.col("ts").cast("date").cast("string").alias("tdate"), "*", F.when(F.col("value") > 1, F.col("value") > 20).alias("big")
     )
     columns = [c for c, _ in EVENT_COLUMNS]
     return shown(profile.column_profile(dated, columns, ["tdate"], exact=True), ["tdate"])
@@ -298,17 +299,14 @@ def merged_profile(lake):
     return few_distincts(shown(statistics.profile_of_states(merged)))
 
 
-ALL_EVENT_COLUMNS = [("event_id", "bound"), ("value", "bound"), *EVENT_COLUMNS]
-
-
 @query(
     "agg5_weekday_profile",
     "WITH e AS (SELECT *, dayofweek(ts) AS weekday, CASE WHEN value > 1 THEN value > 20 END AS big FROM events)\n"
-    + states_sql(ALL_EVENT_COLUMNS, "weekday,", "e"),
+    + states_sql(EVENT_COLUMNS, "weekday,", "e"),
 )
 def weekday_profile(lake):
     """States kept per day, merged to the days of the week."""
-    columns, path = [c for c, _ in ALL_EVENT_COLUMNS], work_dir(lake.spark, "states")
+    columns, path = [c for c, _ in EVENT_COLUMNS], work_dir(lake.spark, "states")
     dated = lake.events.withColumn("tdate", F.col("ts").cast("date")).withColumn("big", F.when(F.col("value") > 1, F.col("value") > 20))
     statistics.save_states(statistics.column_states(dated, columns, ["tdate"]), path, ["tdate"])
     kept = statistics.saved_states(lake.spark, path, {"tdate": "date"}).withColumn("weekday", (F.dayofweek("tdate") - 1).cast("long"))
