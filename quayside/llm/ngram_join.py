@@ -278,8 +278,10 @@ def similar_groups(
     key = ["n_shingles", "first_key", "second_key"]
     named = sets.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("set_id"))
-    # One row of each class carries the prefix on.
-    heads = named.join(classes, key).where("doc_id = set_id").dropDuplicates(["doc_id", *key])
+    # Equal sets have equal prefixes, so an aggregate carries one on and no row meets its class for it.
+    heads = named.groupBy(*key).agg(
+        F.min("doc_id").alias("doc_id"), F.any_value("matches").alias("matches"), F.any_value("prefix").alias("prefix")
+    )
     tokens = heads.select("doc_id", "n_shingles", "matches", "prefix").mapInArrow(_spread, _TOKENS)
     # Tokens of one set only make no candidates; that is most of them.
     shared = written(
