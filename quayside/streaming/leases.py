@@ -2,8 +2,9 @@
 
 Two keyed states follow each other. The first knows what each worker holds or
 asked for last: of a worker's requests in a batch the last one counts, and a
-request for something else gives up what the worker had. The second knows who holds
-each object: what is given up becomes free, the holder's own request extends the
+request for something else gives up what the worker had. A worker that extends one
+of several leases keeps the others until the batch is decided. The second knows who
+holds each object: what is given up becomes free, the holder's own request extends the
 lease by five minutes, and of other requests for a free object the earliest wins.
 A timer ends a lease nobody extends. Both run on the time of the requests, so a
 batch that runs again decides alike; for requests of one moment the decisions are
@@ -71,7 +72,9 @@ class Moves(StatefulProcessor):
         self.timer = _Timer(handle)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        rows = [(*(_plain(row[c]) for c in _WANTED), int(row["expires"])) for _, row in initialState.iterrows()]
+        # Many leases of a worker come in several frames.
+        rows = [tuple(h) for h in self.held.get()] if self.held.exists() else []
+        rows += [(*(_plain(row[c]) for c in _WANTED), int(row["expires"])) for _, row in initialState.iterrows()]
         self.held.put(rows)
         self.timer.set(max(r[-1] for r in rows))
 
@@ -83,9 +86,12 @@ class Moves(StatefulProcessor):
                 last = row
         wanted = tuple(_plain(last[c]) for c in _WANTED)
         out = [("request", int(last["seq"]), *wanted[:-1], *key, wanted[-1])]
-        for held in self.held.get() if self.held.exists() else []:
-            if tuple(held)[:-1] != wanted:
-                out.append(("release", int(last["seq"]), *tuple(held)[:-2], *key, tuple(held)[-2]))
+        before = [tuple(h) for h in self.held.get()] if self.held.exists() else []
+        # Only leases from before the stream are more than one; one of them that lives is an extension.
+        extends = any(h[:-1] == wanted and h[-1] >= int(last["micros"]) for h in before)
+        for held in before:
+            if held[:-1] != wanted:
+                out.append(("leave" if extends else "release", int(last["seq"]), *held[:-2], *key, held[-2]))
         until = int(last["micros"]) + LEASE_MICROS
         self.held.put([(*wanted, until)])
         self.timer.set(until)
@@ -117,14 +123,14 @@ class Leases(StatefulProcessor):
         moves = pd.concat(list(rows)).sort_values("seq")
         lease = tuple(self.lease.get()) if self.lease.exists() else None
         out = []
-        for request in (False, True):
-            for row in moves[(moves["kind"] == "request") == request].to_dict("records"):
+        for kind in ("release", "request", "leave"):
+            for row in moves[moves["kind"] == kind].to_dict("records"):
                 who = tuple(_plain(row[c]) for c in [*WORKER, "wf_type"])
                 seq, micros = int(row["seq"]), int(row["micros"])
                 if lease is not None and lease[-1] < micros:
                     lease = None
                 own = lease is not None and lease[:-1] == who
-                if not request:
+                if kind != "request":
                     if own:
                         out.append(("released", seq, *key, *who, micros, None))
                         lease = None

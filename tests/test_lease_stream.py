@@ -91,3 +91,40 @@ def test_timers_end_leases(spark, tmp_path):
         ("granted", 1, "A", "w1"), ("denied", 2, "A", "w2"), ("extended", 3, "A", "w1"), ("granted", 4, "B", "w3"),
         ("expired", None, "A", "w1"), ("granted", 5, "A", "w2"), ("denied", 6, "A", "w3")]
     assert [(r.object_name, r.worker_id) for r in found.where("event = 'released'").collect()] == [("B", "w3")]
+
+
+def test_extending_keeps_the_other_leases_until_the_batch_is_decided(spark, tmp_path):
+    """What a worker holds besides the lease it extends is denied to others, as in a merge, and free afterwards."""
+    later = START + datetime.timedelta(seconds=200)
+    before = spark.createDataFrame([("ns", name, "PRC", "TXT", "c", "w1", 0, later) for name in "ABC"], LEASE)
+    rows = [(1, "ns", "B", "PRC", "TXT", "c", "w2", 0), (2, "ns", "A", "PRC", "TXT", "c", "w1", 0), (3, "ns", "D", "PRC", "TXT", "c", "w3", 0)]
+    asked = spark.createDataFrame(rows, REQUEST)
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = spark.createDataFrame([], REQUEST + ", requested_at timestamp").schema
+    spark.createDataFrame([(*r, START) for r in rows], schema).coalesce(1).write.parquet(source)
+    stream.start_leases(spark.readStream.schema(schema).parquet(source), sink, str(tmp_path / "cp"), before).awaitTermination()
+    events = spark.read.parquet(sink)
+    decided = batch.request_decisions(before, asked, str(START)).collect()
+    want = {r.seq: "extended" if r.extended else "granted" if r.granted else "denied" for r in decided}
+    assert want == {1: "denied", 2: "extended", 3: "granted"}
+    assert {r.seq: r.event for r in events.where("event <> 'released'").collect()} == want
+    columns = [*OBJECT_KEY, "cluster_id", "worker_id", "wf_type", "expiration_dt"]
+    after = batch.merged_leases(before, asked, str(START))
+    assert tuples(stream.leases_after(events, before, str(START)), *columns) == tuples(after, *columns)
+
+
+def test_leases_of_a_worker_in_several_frames(spark, tmp_path):
+    """All of them are given up, however the rows of a worker are cut."""
+    later, schema = START + datetime.timedelta(seconds=200), spark.createDataFrame([], REQUEST + ", requested_at timestamp").schema
+    before = spark.createDataFrame([("ns", f"o{k}", "PRC", "TXT", "c", "w1", 0, later) for k in range(7)], LEASE)
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, "ns", "X", "PRC", "TXT", "c", "w1", 0, START)], schema).coalesce(1).write.parquet(source)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        stream.start_leases(spark.readStream.schema(schema).parquet(source), sink, str(tmp_path / "cp"), before).awaitTermination()
+    finally:
+        spark.conf.set(name, kept)
+    events = spark.read.parquet(sink)
+    assert {r.object_name for r in events.where("event = 'released'").collect()} == {f"o{k}" for k in range(7)}
