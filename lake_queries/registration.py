@@ -198,13 +198,15 @@ def work_items_without_repeats(lake):
     source, sink = work_dir(lake.spark, "deliveries"), work_dir(lake.spark, "items")
     told = lake.arrivals.join(lake.events.select("event_id", F.col("ts").cast("timestamp").alias("event_time")), "event_id")
     again = told.where("event_id % 2 = 0")
-    told.unionByName(told.where("event_id % 2 = 1")).coalesce(1).write.parquet(f"{source}/batch=1")
-    again.coalesce(1).write.parquet(f"{source}/batch=2")
-    stream = lake.spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/batch=*")
-    # Deliveries of a whole history follow each other here, so all of it is remembered.
-    arrivals.start_arrivals(
-        stream, lambda: lake.arrival_registrations, sink, work_dir(lake.spark, "arrivals"), repeats_within="100 years"
-    ).awaitTermination()
+    checkpoint = work_dir(lake.spark, "arrivals")
+    # The stream takes what is there as one batch, and goes on from its checkpoint with the next delivery.
+    for number, delivered in enumerate((told.unionByName(told.where("event_id % 2 = 1")), again), 1):
+        delivered.write.parquet(f"{source}/batch={number}")
+        stream = lake.spark.readStream.schema(told.schema).parquet(f"{source}/batch=*")
+        # Deliveries of a whole history follow each other here, so all of it is remembered.
+        arrivals.start_arrivals(
+            stream, lambda: lake.arrival_registrations, sink, checkpoint, repeats_within="100 years"
+        ).awaitTermination()
     return lake.spark.read.parquet(sink).select(*ITEM)
 
 
