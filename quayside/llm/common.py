@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.session import tune, work_dir
+from quayside.session import tune_texts, work_dir
 
 # Tasks get the helpers below by value, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,7 +41,7 @@ MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 def tuned(spark: SparkSession) -> SparkSession:
     """The library's settings, and batches of texts that leave memory to the tasks' own arrays."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return tune(spark)
+    return tune_texts(spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -27,7 +27,6 @@ def as_of_join(
     nulls; entries without a time don't count. Both times must be of one type. Rows keep
     all columns; `carry` must not repeat one of their names.
     """
-    count = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = [F.col(f"`{k}`").alias(f"k{n}") for n, k in enumerate(keys)]
     names = [f"k{n}" for n in range(len(keys))]
     held = F.struct(*[F.col(f"`{c}`") for c in carry])
@@ -39,7 +38,9 @@ def as_of_join(
     both = known.withColumn("kind", F.lit(_ENTRY)).unionByName(asked.withColumn("kind", F.lit(_ROW)), allowMissingColumns=True)
     # Rows of one moment may be many; a hash spreads them behind the entry of that moment.
     order = [*names, "time", "kind", F.xxhash64(*[F.col(f"row.`{c}`") for c in rows.columns])]
-    placed = stable(both.repartitionByRange(count, *order).withColumn("part", F.spark_partition_id()))
+    # Without a number, ranges are put together by their size at run time.
+    ranged = both.repartitionByRange(partitions, *order) if partitions else both.repartitionByRange(*order)
+    placed = stable(ranged.withColumn("part", F.spark_partition_id()))
 
     here = Window.partitionBy("part", *names).orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
     found = placed.withColumn("found", F.last("entry", ignorenulls=True).over(here)).where(F.col("kind") == _ROW)

@@ -21,6 +21,15 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Tables of the lake: exchanges are cut finely and put together again by size, so what
+# one task holds depends neither on the input nor on `spark.sql.shuffle.partitions`.
+GRAIN = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "200",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
+    "spark.sql.files.maxPartitionBytes": "32m",
+}
+
 
 def new_session(app: str = "quayside", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -38,6 +47,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tune_tables(spark: SparkSession) -> SparkSession:
+    """As `tune`, with exchanges and scans in pieces of bounded size."""
+    for key, value in GRAIN.items():
+        spark.conf.set(key, value)
+    return tune(spark)
+
+
+def tune_texts(spark: SparkSession) -> SparkSession:
+    """As `tune`, without the grain of an earlier `tune_tables`."""
+    for key, value in GRAIN.items():
+        if spark.conf.get(key, None) == value:
+            spark.conf.unset(key)
+    return tune(spark)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`, which every executor must see.
 
