@@ -306,7 +306,7 @@ def added_partitions(lake):
     "object_data date_keyed",
 )
 def singleton_refresh(lake):
-    data = latest(lake)
+    data = stable(latest(lake))
     newest = ops.latest_before(data, F.lit(AS_OF_DATE).cast("date"))
     # Objects whose key is no date are the singletons here.
     singletons = lake.date_keyed.where("not is_date").select(*OBJECT_KEY)

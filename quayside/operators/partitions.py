@@ -303,7 +303,7 @@ def added_partitions(existing: DataFrame, requested: DataFrame) -> DataFrame:
     Both have `table_name`, `part_name` and `location`; a partition requested
     twice takes the greatest location, so that a repeat changes nothing.
     """
-    fresh = requested.groupBy("table_name", "part_name").agg(F.max("location").alias("location"))
+    fresh = stable(requested.groupBy("table_name", "part_name").agg(F.max("location").alias("location")))
     kept = existing.join(fresh, ["table_name", "part_name"], "left_anti")
     return kept.select("table_name", "part_name", "location").unionByName(fresh)
 
@@ -312,6 +312,8 @@ def refreshed_singletons(existing: DataFrame, latest: DataFrame) -> DataFrame:
     """The partition table after singletons drop their dated partitions and add
     the latest one. `latest` has `table_name`, `partition_value`, `part_name`,
     `location`; `existing` has `partition_value` too."""
+    # Met three times.
+    latest = stable(latest)
     tables = latest.select("table_name").distinct()
     dated = existing.where(F.col("partition_value") > "1970-01-01")
     dropped = dated.join(tables, "table_name", "left_semi").select("table_name", "part_name").distinct()
