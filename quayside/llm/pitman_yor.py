@@ -193,12 +193,14 @@ def gather(docs: DataFrame, buckets: int, hot: Hot | None = None) -> DataFrame:
                     [pa.array([*held, -number]), pa.array([number] * len(data)), pa.array(data, pa.binary())],
                     names=["bucket", "slice", "data"],
                 )
+                del hashes, contexts, rows, to, order, fitted, data
+                give_back()
 
     def merge(table):
         bucket = table["bucket"][0].as_py()
-        blobs, numbers = table["data"].to_pylist(), table["slice"].to_numpy()
+        blobs, numbers = [x.as_buffer() for x in table["data"]], table["slice"].to_numpy()
         if bucket < 0:
-            pairs, owners = blobs[0], b""
+            pairs, owners = blobs[0].to_pybytes(), b""
         else:
             keys, contexts, owners, fitted = [], [], [], []
             for number, blob in zip(numbers.tolist(), blobs):
