@@ -20,6 +20,10 @@ def spelled_out(mark: str) -> str:
     return mark
 
 
+# What stands for an escaped escape and an escaped delimiter; lines that hold them are split by an expression.
+_STAND_INS = ("\x01", "\x02")
+
+
 def _literal(mark: str) -> str:
     """A regular expression that matches `mark` as it is, simple enough to split fast."""
     return "".join("\\" + c if c in ".$|()[]{}^?*+\\" else c for c in mark)
@@ -37,7 +41,22 @@ def split_line(line: Column, delimiter: str, escape: str) -> Column:
     rest = f"(?!{d}){_literal(delimiter[0])}|" if len(delimiter) > 1 else ""
     field = f"{d}((?:{free}|{rest}{held})*+)"
     guarded = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(field), F.lit(1))
-    return F.when(line.contains(escape), guarded).otherwise(plain)
+    if len(delimiter) > 1 or len(escape) > 1 or delimiter == escape or {delimiter, escape} & set(_STAND_INS):
+        return F.when(line.contains(escape), guarded).otherwise(plain)
+    # Without the expression: escaped pairs, from the left, give way to stand-ins while the line is split.
+    marks = list(zip((escape + escape, escape + delimiter), _STAND_INS))
+    free_of_marks = ~line.contains(_STAND_INS[0]) & ~line.contains(_STAND_INS[1])
+    masked = line
+    for pair, mark in marks:
+        masked = F.replace(masked, F.lit(pair), F.lit(mark))
+
+    def restored(piece: Column) -> Column:
+        for pair, mark in marks:
+            piece = F.replace(piece, F.lit(mark), F.lit(pair))
+        return piece
+
+    quick = F.transform(F.split(masked, d), restored)
+    return F.when(~line.contains(escape), plain).when(free_of_marks, quick).otherwise(guarded)
 
 
 def field_value(
@@ -83,8 +102,9 @@ def scan_delimited(
     separator, mark = spelled_out(delimiter), spelled_out(escape)
     path = F.col("_metadata.file_path")
     from_path = [path_value(path, k).alias(k.lower().replace("-", "_")) for k in path_keys or []]
+    # Generated, so that filters on columns don't split each line once more per condition.
     split = read.select(
-        split_line(F.col("value"), separator, mark).alias("_fields"), *folders.fieldNames(), *from_path
+        F.explode(F.array(split_line(F.col("value"), separator, mark))).alias("_fields"), *folders.fieldNames(), *from_path
     )
     columns = [
         field_value(F.get("_fields", at), f.dataType, separator, mark, null_token).alias(f.name)
