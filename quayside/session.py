@@ -28,6 +28,7 @@ GRAIN = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
     "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.files.openCostInBytes": "128k",  # a task takes hundreds of small files
 }
 
 
