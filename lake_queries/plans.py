@@ -10,14 +10,15 @@ from lake_queries.registry import query
 from lake_queries.scalars import EXPANDED, LATE, ORIGINAL, clean
 from lake_queries.tables import AS_OF_DATE
 from quayside.operators import work
-from quayside.plans.load import load
+from quayside.plans.load import load, named_items, schema_statements
 from quayside.plans.round import close_round
 from quayside.session import stable
 
 TABLE_NAME = f"""regexp_replace(concat(coalesce({ORIGINAL}, {LATE}, object_name), '_', usage_code, '_', file_type), '[. -]', '_', 'g')"""
 
 
-def planned(lake, columns=None):
+def loaded(lake, columns=None):
+    """What a load plans from without registered data: items, known tables, old and new columns."""
     items = work.with_attempts(lake.notifications.where("wf_type in (0, 1)"), lake.processing_log)
     full = F.translate(F.concat_ws("_", "object_name", "usage_code", "file_type"), ". -", "___")
     # Columns of table tN belong to object OBJ-N.
@@ -29,10 +30,13 @@ def planned(lake, columns=None):
         joined = columns.join(owners, "table_name").drop("table_name")
         return joined.withColumnRenamed("_full", "table_name")
 
-    return load(
-        items, stable(latest(lake)), owners.select(F.col("_full").alias("table_name")), owned(lake.old_columns), owned(lake.new_columns if columns is None else columns),
-        F.lit(AS_OF_DATE).cast("date"),
-    )
+    new_columns = lake.new_columns if columns is None else columns
+    return items, owners.select(F.col("_full").alias("table_name")), owned(lake.old_columns), owned(new_columns)
+
+
+def planned(lake, columns=None):
+    items, *tables = loaded(lake, columns)
+    return load(items, stable(latest(lake)), *tables, F.lit(AS_OF_DATE).cast("date"))
 
 
 PARTITION_CTES = f"""{LATEST}, {EXPANDED}, i AS (SELECT *, {TABLE_NAME} AS table_name FROM notifications WHERE wf_type IN (0, 1)),
@@ -87,7 +91,8 @@ SCHEMA_STATEMENTS = """SELECT id, 0 AS step, 0 AS ordinal, concat('CREATE DATABA
     "notifications old_columns new_columns date_keyed",
 )
 def load_schema_statements(lake):
-    return planned(lake).statements.where("step <= 1")
+    items, existing, old_columns, new_columns = loaded(lake)
+    return schema_statements(named_items(items, existing), old_columns, new_columns)
 
 
 @query(
