@@ -41,6 +41,8 @@ POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 
 _BLOCK = 256
+# Arrays over a slice take a hundred times its bytes, and the encoder stays in its Python worker behind the task.
+_SLICE_BYTES = 1 << 20
 _INDEX = "file string, offset long, length long, doc_id long, n_tokens long, before long, width int"
 
 
@@ -145,7 +147,7 @@ class Encoder:
     vocabulary whose names hold white space is asked text by text.
     """
 
-    KEPT = 1 << 20  # pieces remembered between slices
+    KEPT = 1 << 18  # pieces remembered between slices
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -306,7 +308,7 @@ def write_records(
         store, root = _place(path)
         file = f"records-{uuid.uuid4().hex}.bin"
         stream, offset, before = None, 0, 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", _SLICE_BYTES):
             if stream is None:
                 stream = store.open_output_stream(f"{root}/{file}")
             encoder.forget()
