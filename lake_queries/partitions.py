@@ -75,7 +75,8 @@ def latest_before(lake):
 )
 def latest_at_creation(lake):
     """Each work item with the newest partition its object had when it was created."""
-    found = ops.latest_at(lake.notifications, lake.registered_data, F.col("date_created"))
+    items = lake.notifications.select("id", *OBJECT_KEY, "date_created")
+    found = ops.latest_at(items, lake.registered_data, F.col("date_created"))
     return found.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("latest_value", "latest_path")])
 
 
